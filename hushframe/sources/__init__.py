@@ -1,0 +1 @@
+"""Sources and file formats."""
