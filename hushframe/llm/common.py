@@ -21,6 +21,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 
+#: Texts that a Python worker holds as Python objects at once.
+ROWS = 256
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
@@ -47,7 +51,9 @@ def per_text(fn: Callable[[pa.Array], pa.Array], returns: str):
     when its result is both filtered on and returned."""
 
     def run(texts: pa.Array) -> pa.Array:
-        return fn(texts.fill_null("") if texts.null_count else texts)
+        texts = texts.fill_null("") if texts.null_count else texts
+        parts = [fn(texts.slice(at, ROWS)) for at in range(0, max(len(texts), 1), ROWS)]
+        return parts[0] if len(parts) == 1 else pa.concat_arrays(parts)
 
     run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
     return arrow_udf(run, returns).asNondeterministic()

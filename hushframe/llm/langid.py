@@ -33,7 +33,7 @@ MOST_ROWS = 2000
 #: Contexts of three bytes kept, at most: the most frequent ones.
 MOST_CONTEXTS = 20_000
 #: Bytes scored at once.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 
 FOLD = bytes(b if b >= 128 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import ROWS, cut
 from .tokens import Encoder, tokenizer_path
 
 LENGTH = 2048
@@ -181,17 +181,18 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int, length: int, id_col:
     def run(batches):
         encode = Encoder.get(tokenizer).ids
         end = np.array([end_id], "<u4").tobytes()
-        for b in batches:
-            keys, columns = [], [[] for _ in range(5)]
-            for row, text in enumerate(b.column(1).to_pylist()):
-                ids = encode(text or "") + end
-                for piece, (start, n) in enumerate(pieces_of(len(ids) // 4, length)):
-                    part = ids[4 * start : 4 * (start + n)]
-                    keys.append(row)
-                    for c, v in zip(columns, (piece, start, n, zlib.crc32(part), part), strict=True):
-                        c.append(v)
-            arrays = [b.column(0).take(pa.array(keys, pa.int64())), pa.array(columns[0], pa.int32()), *[pa.array(c, pa.int64()) for c in columns[1:4]]]
-            yield pa.RecordBatch.from_arrays(arrays + [pa.array(columns[4], pa.binary())] * keep_ids, names=["id", "piece", "start", "length", "ids_crc32"] + ["ids"] * keep_ids)
+        for batch in batches:
+            for b in (batch.slice(at, ROWS) for at in range(0, batch.num_rows, ROWS)):
+                keys, columns = [], [[] for _ in range(5)]
+                for row, text in enumerate(b.column(1).to_pylist()):
+                    ids = encode(text or "") + end
+                    for piece, (start, n) in enumerate(pieces_of(len(ids) // 4, length)):
+                        part = ids[4 * start : 4 * (start + n)]
+                        keys.append(row)
+                        for c, v in zip(columns, (piece, start, n, zlib.crc32(part), part if keep_ids else None), strict=True):
+                            c.append(v)
+                arrays = [b.column(0).take(pa.array(keys, pa.int64())), pa.array(columns[0], pa.int32()), *[pa.array(c, pa.int64()) for c in columns[1:4]]]
+                yield pa.RecordBatch.from_arrays(arrays + [pa.array(columns[4], pa.binary())] * keep_ids, names=["id", "piece", "start", "length", "ids_crc32"] + ["ids"] * keep_ids)
 
     kind = docs.select(id_col).schema[0].dataType.simpleString()
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids)

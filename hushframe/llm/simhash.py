@@ -39,7 +39,7 @@ from .graph import components
 #: Distinct fingerprints on a signature from which on pairs are no longer formed.
 DENSE = 64
 #: Hashes whose bits are counted at once.
-BLOCK = 1 << 18
+BLOCK = 1 << 15
 
 
 def fingerprints(texts: list[bytes], words: int = 3) -> np.ndarray:

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import ROWS, shared_dir
 from .tokens import Encoder, tokenizer_path
 
 MAGIC, VERSION, BLOCK = b"HFPF", 1, 256
@@ -169,7 +169,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: in
             keys, counts, ids, number = [], [], [], number + 1
 
         waiting = 0
-        for b in batches:
+        for b in (x.slice(at, ROWS) for x in batches for at in range(0, x.num_rows, ROWS)):
             for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 got = encode(text or "") + end
                 keys.append(key)

@@ -16,8 +16,8 @@ import re
 from array import array
 from pathlib import Path
 
-#: Pre-tokens kept per worker, some 90 MB.
-MOST_PIECES = 400_000
+#: Pre-tokens kept per worker, some 50 MB.
+MOST_PIECES = 200_000
 #: A character outside the range in which the patterns are exact (or whose lower case is).
 UNUSUAL = re.compile("[^\x00-įı-ɏ‐-‧‰-⁞]")
 LETTER = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ"
