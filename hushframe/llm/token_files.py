@@ -40,6 +40,8 @@ FILE_IDS = 4 << 20
 #: Blocks coded at once.
 MANY = 4096
 NULL = 0xFFFFFFFF
+#: Pre-tokens that a worker keeps here, some 90 MB.
+MOST_PIECES = 400_000
 
 
 def bit_length(x: np.ndarray) -> np.ndarray:
@@ -155,7 +157,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: in
 
         system, root = fs.FileSystem.from_uri(folder)
         part, attempt = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId()
-        encode, end = Encoder.get(path).ids, np.array([end_id], "<u4").tobytes()
+        encode, end = Encoder.get(path, MOST_PIECES).ids, np.array([end_id], "<u4").tobytes()
         keys, counts, ids, number = [], [], [], 0
         done = []
 

@@ -52,7 +52,7 @@ class Encoder:
 
     loaded: dict[str, Encoder] = {}
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = MOST_PIECES):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -63,6 +63,7 @@ class Encoder:
         self.model = self.tokenizer.model
         self.letters = byte_letters()
         self.known: dict[str, bytes] = {}
+        self.most = most
         about = json.loads(Path(path).read_text(encoding="utf-8"))
         before, normal = about.get("pre_tokenizer") or {}, about.get("normalizer")
         self.kind = None
@@ -72,9 +73,9 @@ class Encoder:
             self.kind = "words"
 
     @classmethod
-    def get(cls, path: str) -> Encoder:
+    def get(cls, path: str, most: int = MOST_PIECES) -> Encoder:
         if path not in cls.loaded:
-            cls.loaded[path] = cls(path)
+            cls.loaded[path] = cls(path, most)
         return cls.loaded[path]
 
     def whole(self, text: str) -> bytes:
@@ -89,7 +90,7 @@ class Encoder:
             return b"".join(map(self.known.__getitem__, pieces))
         except KeyError:
             pass
-        if len(self.known) > MOST_PIECES:
+        if len(self.known) > self.most:
             self.known.clear()
         for piece in set(pieces).difference(self.known):
             letters = piece.encode().decode("latin-1").translate(self.letters)
