@@ -26,9 +26,9 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def validity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How long an event is the user's latest, in microseconds; the last one's is null."""
+    """How long an event is the user's latest, in microseconds; -1 for the last one."""
     found = valid_until(events(spark, sf_dir).dropDuplicates(["user_id", "ts"]).select("user_id", "ts"), ["user_id"], "ts")
-    return found.select("user_id", F.unix_micros("ts").alias("us"), (F.unix_micros("until") - F.unix_micros("ts")).alias("held"))
+    return found.select("user_id", F.unix_micros("ts").alias("us"), F.coalesce(F.unix_micros("until") - F.unix_micros("ts"), F.lit(-1)).alias("held"))
 
 
 def slots(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,7 +55,7 @@ WITH c AS (SELECT *, CASE WHEN lag(event_type) {OVER}) IS NOT DISTINCT FROM even
 i AS (SELECT *, CAST(sum(c) {OVER} ROWS UNBOUNDED PRECEDING) AS BIGINT) AS island FROM c)
 SELECT user_id, island, event_type, count(*) AS n, min(event_id) AS least FROM i GROUP BY ALL""",
     "validity": """
-SELECT user_id, epoch_us(ts) AS us, epoch_us(lead(ts) OVER (PARTITION BY user_id ORDER BY ts)) - epoch_us(ts) AS held FROM (SELECT DISTINCT user_id, ts FROM events)""",
+SELECT user_id, epoch_us(ts) AS us, coalesce(epoch_us(lead(ts) OVER (PARTITION BY user_id ORDER BY ts)) - epoch_us(ts), -1) AS held FROM (SELECT DISTINCT user_id, ts FROM events)""",
     "slots": """
 SELECT user_id, event_id FROM (
   SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id, date_trunc('hour', ts) ORDER BY ts) AS n
