@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import streams, texts
+from .plans import layouts, running, streams, texts
 
-QUERIES = texts.QUERIES | streams.QUERIES
-SQL = texts.SQL | streams.SQL
+QUERIES = texts.QUERIES | streams.QUERIES | layouts.QUERIES | running.QUERIES
+SQL = texts.SQL | streams.SQL | layouts.SQL | running.SQL
