@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
-from ..functions.spans import piece
-from ..operators import layout, screens, tracking
+from ..functions.spans import piece, scan
+from ..operators import entities, layout, screens, tracking, words
 from .texts import spans_sql, table
 
 EMAIL = next(r for r in R.GENERAL if r.name == "email")
@@ -98,7 +98,29 @@ def items_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     return screens.items(entries(spark, sf_dir), "doc_id", "line")
 
 
-QUERIES = {f.__name__: f for f in (page_texts, page_rects, page_bars, tracked, track_spans, covers, track_parents, bands, items_seen)}
+def name_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Capitalized words in place of a model's tokens; the score is a hash of the word."""
+    parts = entities.chunks(table(spark, sf_dir, "documents"), "doc_id")
+    found = parts.withColumn("s", F.explode(scan(F.col("chunk"), r"(?U)(?<!\w)\p{Lu}\p{Ll}{2}", "PER")))
+    word = piece(F.col("chunk"), F.col("s"))
+    return found.select("doc_id", "offset", "chunk", "s.start", "s.end", F.lit("I-PER").alias("entity"), (F.crc32(word.cast("binary")) % 100 / 100).alias("score"))
+
+
+def name_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks to tokens to names, at places in the whole text."""
+    found = entities.named(name_tokens(spark, sf_dir), ["doc_id", "offset"])
+    return found.select("doc_id", "label", (F.col("offset") + F.col("start")).alias("start"), (F.col("offset") + F.col("end")).alias("end"), F.round("score", 6).alias("score"))
+
+
+def read_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Placed words of two passes, the second a little off and less sure, merged and lined up."""
+    one = page_items(spark, sf_dir).select("id", (F.col("n") * 2).alias("n"), "str", "x", (F.lit(700.0) - F.col("y")).alias("y"), F.greatest(F.col("width"), F.lit(1.0)).alias("w"), F.lit(10.0).alias("h"), F.lit(90.0).alias("conf"))
+    two = one.withColumns({"n": F.col("n") + 1, "x": F.col("x") + 1, "conf": F.col("conf") - F.crc32(F.col("str").cast("binary")) % 60})
+    found = words.with_lines(words.merged(one.union(two), "id"), "id")
+    return words.text_of(words.word_parts(found, "id"), "id")
+
+
+QUERIES = {f.__name__: f for f in (page_texts, page_rects, page_bars, tracked, track_spans, covers, track_parents, bands, items_seen, name_spans, read_lines)}
 
 ITEMS = f"""SELECT CAST(doc_id AS VARCHAR) || ':' || CAST(k // {PAGE} AS VARCHAR) AS id, k AS n, w AS str, 40.0 * (k % {WORD}) AS x,
   700 - 12.0 * ((k // {WORD}) % {LINE}) AS y, 6.0 * length(w) AS width
