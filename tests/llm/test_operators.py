@@ -175,6 +175,20 @@ def test_rule_statistics():
     assert counts == [len(words), sum(map(len, words)), 2, 1, len(repeat)]
 
 
+@pytest.mark.parametrize("n", [60, 400, 799, 800, 801, 5000])
+def test_distinct_words_are_counted_over_all_words(n):
+    share = lambda words: quality.measure(" ".join(words))[1][quality.STATS.index("distinct")]
+    unlike = [f"w{i}" for i in range(n)]
+    assert share(unlike) == 1
+    # every other word repeats: in step with a stride of two, or between its steps
+    for first in (0, 1):
+        words = list(unlike)
+        words[first::2] = ["x"] * len(words[first::2])
+        blocks = [words[at : at + 400] for at in range(0, n, 400)]
+        assert share(words) == sum(len(set(b)) for b in blocks) / n
+        assert 0.49 < share(words) < 0.54
+
+
 def test_quality_keeps_good_documents(spark):
     found = quality.rules(real(spark, "documents"), real(spark, "labels")).join(real(spark, "labels"), "doc_id").where("not base_failed").toPandas()
     assert found[found.quality == 1].kept.mean() > 0.97
