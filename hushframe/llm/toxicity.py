@@ -8,9 +8,12 @@ its parts:
 
     raw = w0 + sum_i w_i + 1/2 sum_f [(sum_i v_if)^2 - sum_i v_if^2]
 
-It is fitted to log loss by AdaGrad on a bounded sample of labelled rows. Terms are
-screened first: those whose share among toxic and other texts differs most for chance
-carry weights, the others none. The raw score is calibrated by a logistic fit.
+It is fitted to log loss by AdaGrad on a bounded sample of labelled rows. Every term that
+two of them hold has a weight and factors. None is left out for being neutral by itself, as
+it may count in a pair; but the less its share among toxic and other texts differs for
+chance, the more evidence its weight needs (an L2 penalty by term). Factors are penalized by
+the term's frequency. The raw score is calibrated by a logistic fit on scores of rows
+by fits that have not seen them.
 """
 
 from __future__ import annotations
@@ -31,11 +34,15 @@ BUCKETS = 1 << 18
 WORDS = re.compile(r"[^\W\d_]+")
 #: Labelled rows learned from, at most: those with the smallest hashed id.
 MOST_ROWS = 12_000
-#: Terms with weights, at most; and texts that must hold a term for it to count.
-MOST_TERMS, LEAST_TEXTS = 2048, 3
-#: Least size of a term's z score, in standard deviations.
-LEAST_Z = 3.5
-FACTORS, EPOCHS, STEPS, BATCH, RATE, DECAY = 4, 30, 1500, 256, 0.5, 1e-4
+#: Labelled rows that must hold a term for it to have a weight: one tells nothing of others.
+LEAST_TEXTS = 2
+FACTORS, EPOCHS, STEPS, BATCH, RATE, RATE_FACTORS, INIT = 4, 20, 500, 256, 0.1, 0.03, 0.02
+#: The penalty of a weight is PENALTY at a z score of USUAL_Z, falls with its fourth power, and
+#: stays in the limits given. That of factors grows with the number of rows that hold the term.
+PENALTY, USUAL_Z, LIMITS = 10.0, 3.5, (0.3, 300.0)
+PENALTY_FACTORS, PENALTY_ROW = 100.0, 0.02
+#: Parts of the rows, each scored by a fit on the others, to calibrate on; precision of the prior there.
+FOLDS, PRIOR = 3, 0.1
 THRESHOLD = 0.7
 
 
@@ -95,60 +102,77 @@ def fit(rows: list[np.ndarray], toxic: np.ndarray, seed: int = 7) -> Model | Non
     if len(rows) == 0 or toxic.min() == toxic.max():
         return None
     y = toxic.astype(float)
-    flat, which = np.concatenate([*rows, np.zeros(0, np.int64)]), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    buckets, at = np.unique(flat, return_inverse=True)
-    among = np.bincount(at, y[which], len(buckets))
-    total = np.bincount(at, minlength=len(buckets))
-    share = y.mean()
-    z = (among - total * share) / np.sqrt((total + 1) * share * (1 - share))
-    z[total < LEAST_TEXTS] = 0
-    chosen = np.sort(np.argsort(-np.abs(z), kind="stable")[:MOST_TERMS])
-    chosen = chosen[np.abs(z[chosen]) > LEAST_Z]
-    index = {int(buckets[c]): i for i, c in enumerate(chosen)}
+    flat, bounds = np.concatenate([*rows, np.zeros(0, np.int64)]), ranges(np.array([len(r) for r in rows]))
+    buckets, at, total = np.unique(flat, return_inverse=True, return_counts=True)
+    chosen = np.flatnonzero(total >= LEAST_TEXTS)
     place = np.full(len(buckets), -1)
     place[chosen] = np.arange(len(chosen))
-    kept, row = place[at], which
-    kept, row = kept[kept >= 0], row[place[at] >= 0]
-    bounds = np.searchsorted(row, np.arange(len(rows) + 1))
-    short = [kept[bounds[i] : bounds[i + 1]] for i in range(len(rows))]
+    at = place[at]
+    short = [part[part >= 0] for part in (at[bounds[i] : bounds[i + 1]] for i in range(len(rows)))]
+    m = max(1, len(chosen))
+    # Calibration: a logistic fit of the label to raw scores, each by a fit on the other folds.
+    fold = np.random.default_rng(seed).permutation(len(rows)) % FOLDS
+    x = np.zeros(len(rows))
+    for k in range(FOLDS):
+        seen, out = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
+        if len(out) and len(seen) and y[seen].min() < y[seen].max():
+            x[out] = raw(*descend([short[i] for i in seen], y[seen], m, seed), [short[i] for i in out])
+    a, b = calibrate(x, y)
+    return Model({int(k): i for i, k in enumerate(buckets[chosen])}, *descend(short, y, m, seed), a, b)
+
+
+def descend(rows: list[np.ndarray], y: np.ndarray, m: int, seed: int) -> tuple[float, np.ndarray, np.ndarray]:
+    """``w0, w, v`` of ``m`` terms by AdaGrad on log loss with penalties."""
+    share = y.mean()
+    flat, which = np.concatenate([*rows, np.zeros(0, np.int64)]), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    total = np.bincount(flat, minlength=m).astype(float)
+    z = (np.bincount(flat, y[which], m) - total * share) / np.sqrt((total + 1) * share * (1 - share))
+    # Penalties come in parts, one each time a row with the term is seen.
+    each = np.maximum(total, 1)
+    hold = np.clip(PENALTY * (USUAL_Z / np.maximum(np.abs(z), 1e-3)) ** 4, *LIMITS) / each
+    hold_v = (PENALTY_ROW * total + PENALTY_FACTORS) / each
 
     rng = np.random.default_rng(seed)
-    m = max(1, len(chosen))
-    w0, w, v = float(np.log(share / (1 - share))), np.zeros(m), rng.normal(0, 0.05, (m, FACTORS))
-    g0, gw, gv = 1e-8, np.full(m, 1e-8), np.full((m, FACTORS), 1e-8)
+    w0, w, v = float(np.log(share / (1 - share))), np.zeros(m), rng.normal(0, INIT, (m, FACTORS))
+    g0, gw, gv = 1.0, np.ones(m), np.ones((m, FACTORS))
     for _ in range(max(EPOCHS, STEPS * BATCH // len(rows))):
         order = rng.permutation(len(rows))
         for first in range(0, len(order), BATCH):
             part = order[first : first + BATCH]
-            mine = [short[i] for i in part]
-            error = 1 / (1 + np.exp(-raw(w0, w, v, mine))) - y[part]
-            n = np.array([len(r) for r in mine])
-            ids, of = np.concatenate([*mine, np.zeros(0, np.int64)]), np.repeat(np.arange(len(mine)), n)
-            d0 = error.mean()
+            mine = [rows[i] for i in part]
+            error = 1 / (1 + np.exp(-np.clip(raw(w0, w, v, mine), -30, 30))) - y[part]
+            ids, of = np.concatenate([*mine, np.zeros(0, np.int64)]), np.repeat(np.arange(len(mine)), [len(r) for r in mine])
+            d0 = error.sum()
             g0 += d0 * d0
             w0 -= RATE * d0 / np.sqrt(g0)
             if not len(ids):
                 continue
             sums = np.stack([np.bincount(of, v[ids, f], len(mine)) for f in range(FACTORS)], 1)
-            used = np.unique(ids)
-            dw = np.bincount(ids, error[of], m)[used] / len(part) + DECAY * w[used]
-            pull = error[of][:, None] * (sums[of] - v[ids])
-            dv = np.stack([np.bincount(ids, pull[:, f], m) for f in range(FACTORS)], 1)[used] / len(part) + 10 * DECAY * v[used]
+            seen = np.bincount(ids, minlength=m)
+            used = np.flatnonzero(seen)
+            seen, pull = seen[used], np.bincount(ids, error[of], m)[used]
+            dw = pull + hold[used] * seen * w[used]
+            with_others = np.stack([np.bincount(ids, (error * sums[:, f])[of], m) for f in range(FACTORS)], 1)[used]
+            dv = with_others + (hold_v[used] * seen - pull)[:, None] * v[used]
             gw[used] += dw * dw
             gv[used] += dv * dv
             w[used] -= RATE * dw / np.sqrt(gw[used])
-            v[used] -= RATE * 0.1 * dv / np.sqrt(gv[used])
-    # Calibration: a logistic fit of the label to the raw score, by Newton steps with a small prior.
-    x = np.clip(raw(w0, w, v, short), -30, 30)
+            v[used] -= RATE_FACTORS * dv / np.sqrt(gv[used])
+    return w0, w, v
+
+
+def calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Scale and shift of raw scores, by Newton steps with a small prior."""
+    x = np.clip(x, -30, 30)
     a, b = 1.0, 0.0
     for _ in range(25):
         p = 1 / (1 + np.exp(-(a * x + b)))
         s = p * (1 - p) + 1e-9
-        g = np.array([((p - y) * x).sum() + (a - 1), (p - y).sum() + b])
-        h = np.array([[(s * x * x).sum() + 1, (s * x).sum()], [(s * x).sum(), s.sum() + 1]])
+        g = np.array([((p - y) * x).sum() + PRIOR * (a - 1), (p - y).sum() + PRIOR * b])
+        h = np.array([[(s * x * x).sum() + PRIOR, (s * x).sum()], [(s * x).sum(), s.sum() + PRIOR]])
         step = np.linalg.solve(h, g)
         a, b = a - step[0], b - step[1]
-    return Model(index, w0, w, v, float(max(a, 0.05)), float(b))
+    return float(max(a, 0.05)), float(b)
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_rows: int = MOST_ROWS) -> Model | None:

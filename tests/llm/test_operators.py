@@ -74,6 +74,31 @@ def test_fm_learns_a_pair():
     assert score(1, 2) > 0.9 and score(1) < 0.1 and score(2) < 0.1
 
 
+def test_fm_learns_a_pair_of_terms_neutral_alone():
+    rng = np.random.default_rng(1)
+    rows, y = [], []
+    for _ in range(3000):
+        a, b = rng.random(2) < 0.5
+        rows.append(np.array([1] * int(a) + [2] * int(b) + sorted(set(rng.integers(10, 300, 10).tolist())), np.int64))
+        y.append(int(a == b))
+    m = toxicity.fit(rows[:2000], np.array(y[:2000]))
+    found = m.scale * m.raw([np.array([m.index[x] for x in r.tolist() if x in m.index], np.int64) for r in rows[2000:]]) + m.shift
+    assert ((found > 0) == (np.array(y[2000:]) == 1)).mean() > 0.95
+    assert {1, 2, *range(10, 300)} <= set(m.index)
+
+
+def test_a_harmless_context_lowers_the_score():
+    rng = np.random.default_rng(2)
+    rows, y = [], []
+    for _ in range(3000):
+        insult, quoted = rng.random(2) < (0.2, 0.5)
+        rows.append(np.array([1] * int(insult) + [2] * int(quoted) + [3], np.int64))
+        y.append(int(insult and not quoted))
+    m = toxicity.fit(rows, np.array(y))
+    score = lambda *t: 1 / (1 + np.exp(-(m.scale * m.raw([np.array([m.index[x] for x in t])]) + m.shift)))[0]
+    assert score(1, 3) > 0.9 and score(1, 2, 3) < 0.1
+
+
 def test_base_spans():
     text = "a@b.c x@y 1.2.3.4 1.2.3.256, 4111 1111 1111 1111 +1 (415) 555-0100 +12 999"
     assert pii_crf.base_spans(text) == [("email", 0, 5), ("ip", 10, 17), ("card", 29, 48), ("phone", 49, 66)]
