@@ -17,12 +17,13 @@ def shared(spark: SparkSession) -> str:
     return f"{folder.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
-def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events by hour and type, counted as a stream."""
+def hourly(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
+    """Events by hour and type, counted as a stream. All events count, in whatever order their
+    files come: the run ends when it has caught up, so its state needs no watermark."""
     path = f"{sf_dir}/events.parque[t]"  # a pattern, as the table may be a file or a folder
-    events = jobs.files(spark, path).select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    events = jobs.files(spark, path, **options).select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
     folder = shared(spark)
-    jobs.updates_to(jobs.windowed(events, "ts", ["event_type"], late="60 days"), f"{folder}/out", f"{folder}/progress").awaitTermination()
+    jobs.updates_to(jobs.windowed(events.where("ts IS NOT NULL"), "ts", ["event_type"], late=None), f"{folder}/out", f"{folder}/progress").awaitTermination()
     return jobs.latest(spark, f"{folder}/out", ["event_type"]).select(F.unix_seconds("start").alias("start"), "event_type", "n")
 
 

@@ -26,10 +26,11 @@ def mask_to(stream: DataFrame, out: str, checkpoint: str, style: str = "labels",
     return copy.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
 
 
-def windowed(stream: DataFrame, time: str, keys: list[str], every: str = "1 hour", late: str = "1 day") -> DataFrame:
+def windowed(stream: DataFrame, time: str, keys: list[str], every: str = "1 hour", late: str | None = "1 day") -> DataFrame:
     """Rows by window of time and ``keys``; rows later than ``late`` behind the newest are dropped
-    by the watermark, which also bounds the state."""
-    seen = stream.withWatermark(time, late)
+    by the watermark, which also bounds the state. With ``late`` None none is dropped, and the
+    state keeps all windows."""
+    seen = stream if late is None else stream.withWatermark(time, late)
     return seen.groupBy(F.window(time, every).alias("slot"), *keys).agg(F.count(F.lit(1)).alias("n")).select(F.col("slot.start").alias("start"), *keys, "n")
 
 
