@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import functools
 import re
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -146,6 +147,9 @@ card 52 of 78
 card game with 52 cards
 port 22 and port 443
 email 3 people by 5
+phones {phone:(###) ###-####} {phone:(###) ###-####} {phone:(###) ###-####} {phone:(###) ###-####}
+list {phone:### ### ####} {phone:### ### ####} {phone:### ### ####} {phone:### ### ####}
+3 7 a1 12 90 81 204 1999 55 5 {phone:(###) ###-####} 7 88 120 9
 """
 #: Draws per line of the table, and steps of training.
 DRAWS, STEPS, SEED = 5, 150, 5
@@ -162,8 +166,8 @@ SHAPE = str.maketrans({**{c: "d" for c in "0123456789"}, **{chr(c): "a" for c in
 SQUEEZE = re.compile(r"(.)\1+", re.DOTALL)
 EDGE_LEFT, EDGE_RIGHT = re.compile(r"^[^A-Za-z0-9+(@]+"), re.compile(r"[^A-Za-z0-9)]+$")
 BEFORE = re.compile(r"(\S+)[^\S\n]+(\S+)[^\S\n]*$|(\S+)[^\S\n]*$")
-#: A run's tokens decoded together, at most; a longer run goes on in a further sequence.
-LONGEST = 256
+#: Tokens of short runs decoded together, about; a run is never cut.
+TOGETHER = 1 << 18
 
 
 def trimmed(text: str, start: int, end: int) -> tuple[int, int]:
@@ -181,7 +185,7 @@ def runs(text: str) -> list[tuple[tuple[str, str], list[tuple[int, int]]]]:
     for m in TOKEN.finditer(text):
         start, end = m.span()
         gap = text[last:start] if 0 <= last and start - last <= 3 else None
-        if gap is not None and "\n" not in gap and len(out[-1][1]) < LONGEST:
+        if gap is not None and "\n" not in gap:
             out[-1][1].append((start, end))
         else:
             b = BEFORE.search(text, max(0, start - 60), start)
@@ -197,8 +201,8 @@ def bucket(n: int) -> str:
 
 def token_features(word: str) -> tuple[str, ...]:
     """Features of a token alone."""
-    d = digits_of(word) if len(word) < 64 else "0" * 64
-    shape = SQUEEZE.sub(r"\1", word[:64].translate(SHAPE))[:16]
+    d = digits_of(word)
+    shape = SQUEEZE.sub(r"\1", word.translate(SHAPE))[:16]
     out = [f"shape={shape}", f"digits={bucket(len(d))}", f"first={shape[:1]}", "at" if "@" in word else "no-at"]
     if 13 <= len(d) <= 19:
         out.append("luhn" if luhn(d) else "no-luhn")
@@ -211,23 +215,24 @@ def token_features(word: str) -> tuple[str, ...]:
     return tuple(out)
 
 
-def features(text: str, run: tuple) -> list[list[str]]:
+def features(text: str, run: tuple) -> Iterator[list[str]]:
     """Features of each token of a run."""
     before, spans = run
     words = [text[slice(*trimmed(text, a, b))] for a, b in spans]
-    own = [token_features(w) for w in words]
-    total = sum(len(digits_of(w)) for w in words if len(w) < 64)
-    whole = digits_of("".join(w for w in words if len(w) < 64)) if len(words) <= 8 else ""
-    run_card = "run-luhn" if 13 <= len(whole) <= 19 and luhn(whole) else "run-other"
-    out = []
-    for i, mine in enumerate(own):
+    digits = [digits_of(w) for w in words]
+    total = sum(map(len, digits))
+    run_card = "run-luhn" if 13 <= total <= 19 and luhn("".join(digits)) else "run-other"
+    cues = [f"cue={CUE_OF[w]}" for w in before if w in CUE_OF]
+    last, mine = ("start",), token_features(words[0])
+    for i in range(len(words)):
+        following = token_features(words[i + 1]) if i + 1 < len(words) else ("end",)
         f = ["bias", *mine, f"run={bucket(total)}", run_card]
-        f += [f"prev:{x}" for x in (own[i - 1] if i else ("start",))[:2]]
-        f += [f"next:{x}" for x in (own[i + 1] if i + 1 < len(own) else ("end",))[:2]]
-        f += [f"cue={CUE_OF[w]}" for w in before if w in CUE_OF]
-        f.append(f"lone={len(own) == 1}")
-        out.append(f)
-    return out
+        f += [f"prev:{x}" for x in last[:2]]
+        f += [f"next:{x}" for x in following[:2]]
+        f += cues
+        f.append(f"lone={len(words) == 1}")
+        yield f
+        last, mine = mine, following
 
 
 @dataclass
@@ -236,7 +241,7 @@ class Model:
     emit: np.ndarray  # feature, label
     move: np.ndarray  # label, label
 
-    def emissions(self, found: list[list[str]]) -> np.ndarray:
+    def emissions(self, found: Iterable[list[str]]) -> np.ndarray:
         return np.stack([self.emit[[self.index[f] for f in fs if f in self.index]].sum(0) for fs in found])
 
 
@@ -250,8 +255,12 @@ def viterbi(scores: list[np.ndarray], move: np.ndarray) -> list[np.ndarray]:
     """The best labels of each sequence; sequences of like length are decoded together."""
     out: list = [None] * len(scores)
     order = sorted(range(len(scores)), key=lambda i: len(scores[i]))
-    for first in range(0, len(order), 4096):
-        part = order[first : first + 4096]
+    first = 0
+    while first < len(order):
+        last = first + 1
+        while last < len(order) and (last + 1 - first) * len(scores[order[last]]) <= TOGETHER and last - first < 4096:
+            last += 1
+        part, first = order[first:last], last
         n = np.array([len(scores[i]) for i in part])
         padded = np.zeros((len(part), n.max(), len(LABELS)))
         for k, i in enumerate(part):
@@ -308,7 +317,7 @@ def fit(rows: list[tuple[str, list[tuple[str, int, int]]]], steps: int = STEPS)
                 hit = next((s for s in spans if a < s[2] and b > s[1]), None)
                 tags.append("O" if hit is None else ("I-" if hit is previous else "B-") + hit[0])
                 previous = hit
-            sequences.append(features(text, run))
+            sequences.append(list(features(text, run)))
             gold.append([LABELS.index(t) for t in tags])
     index = {f: i for i, f in enumerate(sorted({f for s in sequences for fs in s for f in fs}))}
     L, n, longest = len(LABELS), len(sequences), max(map(len, sequences))
@@ -370,12 +379,13 @@ def valid(kind: str, value: str) -> bool:
 
 def model_spans(model: Model, texts: list[str]) -> list[list[tuple[str, int, int]]]:
     out: list = [[] for _ in texts]
-    where, scores = [], []
+    where, scores, tokens = [], [], 0
     for i, text in enumerate(texts):
         for run in runs(text):
             where.append((i, run[1]))
             scores.append(model.emissions(features(text, run)))
-        if len(scores) >= 20_000 or i == len(texts) - 1:
+            tokens += len(run[1])
+        if len(scores) >= 20_000 or tokens >= TOGETHER or i == len(texts) - 1:
             for (k, spans), labels in zip(where, viterbi(scores, model.move), strict=True):
                 kind, start, end = None, 0, 0
                 for (a, b), label in [*zip(spans, [LABELS[x] for x in labels], strict=True), ((0, 0), "O")]:
@@ -387,7 +397,7 @@ def model_spans(model: Model, texts: list[str]) -> list[list[tuple[str, int, int
                     if label.startswith("B-"):
                         kind, start = label[2:], a
                     end = b
-            where, scores = [], []
+            where, scores, tokens = [], [], 0
     return out
 
 

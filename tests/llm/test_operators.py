@@ -113,6 +113,31 @@ def test_crf_finds_what_patterns_miss():
     assert hit > 0.95 * (hit + missed) and wrong < 0.05 * hit
 
 
+@pytest.mark.parametrize("n", [0, 255, 256, 1023])
+def test_a_long_run_is_decoded_whole(n):
+    emit = np.zeros((2, len(pii_crf.LABELS)))
+    emit[0, pii_crf.LABELS.index("B-phone")] = emit[1, pii_crf.LABELS.index("I-phone")] = 9
+    model = pii_crf.Model({"shape=(d)": 0, "shape=d-d": 1}, emit, np.zeros((len(pii_crf.LABELS),) * 2))
+    text = "a1 " * n + "(415) 555-0123" + " a1" * 600
+    assert pii_crf.model_spans(model, [text, "b2", text])[::2] == [[("phone", 3 * n, 3 * n + 14)]] * 2
+    assert len(pii_crf.runs(text)) == 1
+
+
+@pytest.mark.parametrize("form", ["(4{}) 555-{}", "4{} 555 {}"])
+def test_a_directory_on_one_line(form):
+    numbers = [form.format(i % 90 + 10, 1000 + i) for i in range(300)]
+    text = " ".join(numbers)
+    assert [text[a:b] for _, a, b in pii_crf.model_spans(pii_crf.trained(), [text])[0]] == numbers
+
+
+def test_long_tokens_are_featured_whole():
+    found = pii_crf.token_features("card:" + "-" * 70 + "4111111111111111")
+    assert "luhn" in found and "shape=a:-d" in found
+    features = list(pii_crf.features("7 " * 3 + "1 " * 9 + "x" * 70 + "1", pii_crf.runs("7 " * 3 + "1 " * 9 + "x" * 70 + "1")[0]))
+    total = "777" + "1" * 10
+    assert all("run=<=15" in f and ("run-luhn" in f) == pii_crf.luhn(total) for f in features)
+
+
 def test_redacted():
     assert pii_crf.redacted("ab cd ef", [("card", 3, 5), ("phone", 4, 8)]) == "ab [CARD]"
 
