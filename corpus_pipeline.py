@@ -17,8 +17,11 @@ from hushframe.llm.common import shared_dir
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the model knows; those it rejects (no text, no letter) go."""
+    """Documents in a language that the model knows; those it rejects (no text, no letter) go.
+    Where no row has a language to learn from, all texts with a letter stay."""
     model = langid.train(docs)
+    if model is None:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     told = docs.withColumn("__told", langid.predict(model, spark)(F.col("text")))
     return told.where(F.col("__told.lang") != "und").select(*docs.columns)
 
