@@ -4,8 +4,8 @@ The tokenizers cut a text into pre-tokens (words, numbers, punctuation runs) bef
 merge anything, so a text's ids are its pre-tokens' ids side by side. Words repeat, so each
 Python worker keeps a bounded table from pre-token to ids and asks the tokenizer library's
 model only for those it has not seen. That holds for texts in ASCII, Latin letters and
-general punctuation, where the pre-token pattern below is exact; any other text goes
-through the library whole. The tests compare both ways on random text.
+general punctuation, where the patterns below are exact; any other text, and any that holds
+the string of an added token, goes through the library whole. The tests compare both ways.
 """
 
 from __future__ import annotations
@@ -16,11 +16,15 @@ import re
 from array import array
 from pathlib import Path
 
-#: Pre-tokens kept per worker, some 50 MB.
-MOST_PIECES = 200_000
-#: A character outside the range in which the patterns are exact (or whose lower case is).
-UNUSUAL = re.compile("[^\x00-įı-ɏ‐-‧‰-⁞]")
-LETTER = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ"
+#: Pre-tokens kept per worker, some 90 MB.
+MOST_PIECES = 400_000
+#: Longer pre-tokens are not kept.
+LONGEST = 64
+#: The characters for which the patterns are exact, but for those whose lower case is not among them.
+EXACT = "\x00-\u024f\u2010-\u2027\u2030-\u205e"
+LEAVING = "".join(c for c in map(chr, range(0x250)) if max(c.lower()) > "\u024f")
+UNUSUAL = re.compile(f"[^{EXACT}]|[{LEAVING}]")
+LETTER = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f"
 NUMBER = "0-9\xb2\xb3\xb9\xbc-\xbe"
 SPACE = "\t-\r \x85\xa0"
 ENDINGS = "'s|'t|'re|'ve|'m|'ll|'d"
@@ -46,9 +50,8 @@ def byte_letters() -> dict[int, str]:
 
 
 class Encoder:
-    """``ids(text)``: the ids as little-endian unsigned 32-bit integers, as bytes.
-
-    A special token's string inside a text is ordinary text."""
+    """``ids(text)``: the ids that the library's ``encode(text, add_special_tokens=False)``
+    gives, as little-endian unsigned 32-bit integers, as bytes."""
 
     loaded: dict[str, Encoder] = {}
 
@@ -59,12 +62,12 @@ class Encoder:
         if not Path(path).exists():
             raise FileNotFoundError(f"no tokenizer file at {path}")
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
         self.letters = byte_letters()
         self.known: dict[str, bytes] = {}
         self.most = most
         about = json.loads(Path(path).read_text(encoding="utf-8"))
+        self.added = [t["content"] for t in about.get("added_tokens") or []]
         before, normal = about.get("pre_tokenizer") or {}, about.get("normalizer")
         self.kind = None
         if before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space") and normal is None:
@@ -82,17 +85,22 @@ class Encoder:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def ids(self, text: str) -> bytes:
-        if self.kind is None or UNUSUAL.search(text):
+        if self.kind is None or UNUSUAL.search(text) or any(t in text for t in self.added):
             return self.whole(text)
         pattern, lower = KINDS[self.kind]
-        pieces = pattern.findall(text.lower() if lower else text)
+        found, known = pattern.findall(text.lower() if lower else text), self.known
         try:
-            return b"".join(map(self.known.__getitem__, pieces))
+            return b"".join(map(known.__getitem__, found))
         except KeyError:
             pass
-        if len(self.known) > self.most:
-            self.known.clear()
-        for piece in set(pieces).difference(self.known):
+        new = set(found).difference(known)
+        if len(known) > self.most:
+            known.clear()
+            new = set(found)
+        long = {}
+        for piece in new:
             letters = piece.encode().decode("latin-1").translate(self.letters)
-            self.known[piece] = array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
-        return b"".join(map(self.known.__getitem__, pieces))
+            (known if len(piece) <= LONGEST else long)[piece] = array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
+        if long:
+            return b"".join([long[p] if p in long else known[p] for p in found])
+        return b"".join(map(known.__getitem__, found))
