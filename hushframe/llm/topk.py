@@ -1,19 +1,21 @@
 """Exact top-k inner-product search with MaxScore.
 
-Every component of a quantized vector is a posting (dimension, vector, value). A query's
-terms are its components; a term's score bound over a block of candidates is the most its
-component can add there, from the block's extreme values in that dimension. Per block of
-candidates, with terms in falling order of bound:
+Every component of a quantized vector that is not zero is a posting (dimension, vector,
+value). A query's terms are its components; a term's score bound over a block of candidates
+is the most its component can add there, from the block's extreme values in that dimension.
+Per query and block, with terms in falling order of bound:
 
 * terms are *essential* from the top until the bounds of all the others sum to less than
-  what a candidate still needs to enter the query's current top k; their postings are
-  traversed for all candidates of the block;
+  what a candidate still needs to enter the query's current top k; their posting lists are
+  traversed, and add to the scores of the candidates they hold. A candidate in none of them
+  can't enter;
 * the other terms are probed in turn, only for candidates that are still *competitive*:
   whose score so far and the remaining bounds reach the current k-th score.
 
-Candidates are dealt in shards; queries come in broadcast batches of a fixed size, so any
-number of queries against all rows takes bounded memory. Every shard keeps k results per
-query and shards are merged by rank.
+Queries are dealt into groups and candidates into shards, both of bounded size; each pair of
+a group and a shard is a stretch of one sorted partition, its queries first, so that any
+number of queries against all rows is one job of bounded memory. Every pair keeps k results
+per query, and these are merged by rank.
 """
 
 from __future__ import annotations
@@ -23,133 +25,187 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Queries broadcast at once: for 1,000 dimensions, 32 MB.
-BATCH = 4096
+#: Bytes of a group's queries, about, and candidates of a shard.
+GROUP_BYTES, SHARD = 32 << 20, 1 << 16
 #: Candidates bounded together.
 BLOCK = 2048
 #: Terms probed at once.
 STEP = 8
-#: Below this, sums of products of whole numbers are exact as doubles.
-EXACT = float(1 << 53)
+#: Below these, sums of products of whole numbers are exact as doubles, and as 64-bit integers.
+DOUBLES, LONGS = float(1 << 53), float(1 << 62)
 
 
 def quantized(vector, scale: int = 1024):
-    """The vector as whole numbers, floor(scale * x); null if it or a component is null or
-    not finite."""
-    x = vector.cast("array<double>")
+    """The vector as whole numbers, floor(scale * x), held as doubles; null if it or a component
+    is null, or is not finite (also when scaled)."""
+    x = F.transform(vector.cast("array<double>"), lambda v: v * F.lit(float(scale)))
     bad = x.isNull() | F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == F.lit(float("inf"))))
-    return F.when(~bad, F.transform(x, lambda v: F.floor(v * F.lit(float(scale))).cast("double")))
+    return F.when(~bad, F.transform(x, lambda v: F.when(F.abs(v) < F.lit(DOUBLES), F.floor(v).cast("double")).otherwise(v)))
 
 
-def matrix(column: pa.Array, width: int | None = None) -> np.ndarray:
-    """A list column as rows of one length, short vectors filled up with zeros."""
-    lengths = np.diff(column.offsets.to_numpy())
-    width = max(int(lengths.max(initial=0)), width or 0)
-    out = np.zeros((len(column), width))
-    flat = column.values.to_numpy(zero_copy_only=False)[column.offsets[0].as_py() : column.offsets[-1].as_py()]
-    row = np.repeat(np.arange(len(column)), lengths)
-    out[row, np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)] = flat
+def matrix(lists: list[np.ndarray], width: int) -> np.ndarray:
+    """Vectors as rows of one length, short ones filled up with zeros."""
+    out = np.zeros((len(lists), width))
+    for row, x in zip(out, lists, strict=True):
+        row[: len(x)] = x
     return out
 
 
+def exact(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both in a type in which their inner products are exact: doubles, 64-bit integers, or
+    Python's integers."""
+    most = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * max(1, a.shape[1])
+    if most < DOUBLES:
+        return a, b
+    if most < LONGS:
+        return a.astype(np.int64), b.astype(np.int64)
+    return tuple(np.array([[int(v) for v in row] for row in x], object).reshape(x.shape) for x in (a, b))
+
+
 class Best:
-    """The k best (score, id) per query: higher scores, then smaller ids."""
+    """The k best (score, id) of a query: higher scores, then smaller ids."""
 
-    def __init__(self, queries: int, k: int):
-        self.k = k
-        self.scores: list = [np.zeros(0)] * queries
-        self.ids: list = [np.zeros(0, np.int64)] * queries
-        self.need = np.full(queries, -np.inf)
+    def __init__(self, k: int):
+        self.k, self.need = k, None
+        self.scores, self.ids = [], []
 
-    def add(self, q: int, scores: np.ndarray, ids: np.ndarray) -> None:
-        scores, ids = np.concatenate([self.scores[q], scores]), np.concatenate([self.ids[q], ids])
+    def add(self, scores: np.ndarray, ids: np.ndarray) -> None:
         if len(scores) > self.k:
             least = np.partition(scores, len(scores) - self.k)[len(scores) - self.k]
-            some = np.flatnonzero(scores >= least)
-            some = some[np.lexsort((ids[some], -scores[some]))[: self.k]]
+            some = scores >= least
+            scores, ids = scores[some], ids[some]
+            some = np.lexsort((ids, -scores))[: self.k]
             scores, ids = scores[some], ids[some]
-        self.scores[q], self.ids[q] = scores, ids
-        if len(scores) == self.k:
-            self.need[q] = scores.min()
-
-
-def search_block(best: Best, query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, block: np.ndarray) -> None:
-    """MaxScore for all queries over one block of candidates."""
-    high, low = block.max(0), block.min(0)
-    for q in range(len(queries)):
-        w = queries[q]
-        bound = np.maximum(w * high, w * low)
-        order = np.argsort(-bound, kind="stable")
-        rest = np.concatenate([np.cumsum(bound[order][::-1])[::-1], [0.0]])  # bounds of the terms from i on
-        need = best.need[q]
-        if rest[0] < need:
-            continue
-        essential = int(np.argmax(rest < need)) if (rest < need).any() else len(order)
-        first = max(essential, min(STEP, len(order))) if essential else 0
-        terms = order[:first]
-        mine = np.flatnonzero(ids != query_ids[q])
-        score = block[np.ix_(mine, terms)] @ w[terms]
-        at = first
-        while at < len(order):
-            mask = score + rest[at] >= need
-            if not mask.all():
-                mine, score = mine[mask], score[mask]
-            if not len(mine):
-                break
-            terms = order[at : at + STEP]
-            score = score + block[np.ix_(mine, terms)] @ w[terms]
-            at += STEP
-        if len(mine):
-            mask = score >= need
-            best.add(q, score[mask], ids[mine[mask]])
-
-
-def top_k(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 1024, batch: int = BATCH) -> DataFrame:
+        both = sorted([*zip((-x for x in self.scores), self.ids, strict=True), *zip((-int(s) for s in scores), ids.tolist(), strict=True)])[: self.k]
+        self.scores, self.ids = [-s for s, _ in both], [i for _, i in both]
+        if len(self.ids) == self.k:
+            self.need = self.scores[-1]
+
+
+class Block:
+    """Candidates, their extremes, and a posting list per dimension: the candidates whose
+    component is not zero, and its values."""
+
+    def __init__(self, ids: np.ndarray, values: np.ndarray):
+        self.ids, self.values = ids, values
+        self.high, self.low = values.max(0), values.min(0)
+        self.columns = np.ascontiguousarray(values.T)
+        self.full = (self.columns != 0).mean(1) > 0.5  # lists of most candidates are traversed together
+        self.postings = {}
+        for d in np.flatnonzero(~self.full).tolist():
+            at = np.flatnonzero(self.columns[d])
+            self.postings[d] = at, self.columns[d, at]
+
+
+def search(best: Best, query_id: int, w: np.ndarray, block: Block) -> None:
+    """MaxScore for a query over one block of candidates."""
+    bound = np.maximum(w * block.high, w * block.low)
+    order = np.argsort(-bound, kind="stable")
+    rest = np.append(np.cumsum(bound[order][::-1])[::-1], 0)  # bounds of the terms from i on
+    essential = len(order)
+    if best.need is not None:
+        short = np.flatnonzero(rest < best.need)
+        essential = int(short[0]) if len(short) else essential
+        if not essential:
+            return
+    terms = order[:essential]
+    full = block.full[terms]
+    dense = np.zeros_like(w)
+    dense[terms[full]] = w[terms[full]]
+    score = dense @ block.columns
+    met = np.full(len(block.ids), full.any() or essential == len(order))
+    for d in terms[~full].tolist():
+        at, values = block.postings[d]
+        score[at] += w[d] * values
+        met[at] = True
+    mine = np.flatnonzero(met & (block.ids != query_id))
+    score = score[mine]
+    for at in range(essential, len(order), STEP):
+        live = score + rest[at] >= best.need
+        mine, score = mine[live], score[live]
+        if not len(mine):
+            return
+        terms = order[at : at + STEP]
+        many = 4 * len(mine) > len(block.ids)  # then whole lists cost less than picking from them
+        score = score + ((w[terms] @ block.columns[terms])[mine] if many else w[terms] @ block.columns[terms[:, None], mine])
+    if best.need is not None:
+        live = score >= best.need
+        mine, score = mine[live], score[live]
+    if len(mine):
+        best.add(score, block.ids[mine])
+
+
+def search_shards(batches, k: int):
+    """Results of each stretch of rows ``(group, shard, asks, id, v)``: queries come first, then
+    the candidates, a block at a time."""
+    pair, queries, found, waiting = None, [], [], []
+
+    def run() -> None:
+        nonlocal waiting
+        if waiting and queries:
+            width = max(len(v) for _, v in queries + waiting)
+            values = matrix([v for _, v in waiting], width)
+            asked, values = exact(matrix([v for _, v in queries], width), values)
+            block = Block(np.array([i for i, _ in waiting], np.int64), values)
+            for (query_id, _), w, best in zip(queries, asked, found, strict=True):
+                search(best, query_id, w, block)
+        waiting = []
+
+    def results() -> pa.RecordBatch:
+        rows = [(q, i, min(max(s, -(1 << 63)), (1 << 63) - 1), str(s)) for (q, _), best in zip(queries, found, strict=True) for i, s in zip(best.ids, best.scores, strict=True)]
+        columns = list(zip(*rows, strict=True)) or [()] * 4
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], names=["query_id", "id", "score", "whole"])
+
+    for b in batches:
+        groups, shards, asks, ids = (b.column(c).to_numpy(zero_copy_only=False) for c in range(4))
+        lists, flat = b.column(4), b.column(4).values.to_numpy(zero_copy_only=False)
+        ends = lists.offsets.to_numpy()
+        for row in range(b.num_rows):
+            if (groups[row], shards[row]) != pair:
+                run()
+                if queries:
+                    yield results()
+                pair, queries, found = (groups[row], shards[row]), [], []
+            one = (int(ids[row]), flat[ends[row] : ends[row + 1]].copy())
+            if asks[row]:
+                queries.append(one)
+                found.append(Best(k))
+            else:
+                waiting.append(one)
+                if len(waiting) == BLOCK:
+                    run()
+    run()
+    if queries:
+        yield results()
+
+
+def top_k(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 1024, group_bytes: int = GROUP_BYTES, shard: int = SHARD) -> DataFrame:
     """``(query_id, rank, id_col, score)``: the ``k`` best candidates of each query, ties to the
     smaller id; ``is_query`` is a condition on the rows.
 
-    Candidates are all rows but those with the query's id. Vectors that are null or hold
-    null or non-finite components, and rows with a null id, take no part. Shorter vectors count as filled up
-    with zeros. A candidate row that is repeated is as many candidates; a query id that is
-    repeated asks once, with the smallest of its vectors."""
-    spark = vectors.sparkSession
-    rows = vectors.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), quantized(F.col(vector_col), scale).alias("v"), is_query.alias("asks")).where("v is not null")
+    Candidates are all rows but those with the query's id. Vectors that are null or hold null
+    or non-finite components, and rows with a null id, take no part. Shorter vectors count as
+    filled up with zeros, empty ones have score 0. A candidate row that is repeated is as many
+    candidates; a query id that is repeated asks once, with the smallest of its vectors. Order
+    is exact for all finite values; a score beyond 64 bits is returned as the largest (smallest)
+    64-bit number. An empty table, or one without queries, gives an empty result."""
+    rows = vectors.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), quantized(F.col(vector_col), scale).alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks")).where("v is not null")
+    size = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if("asks").alias("asks"), F.coalesce(F.max(F.size("v")), F.lit(0)).alias("width")).first()
+    groups = max(1, -(-size["asks"] * 8 * size["width"] // group_bytes))
+    # At least a shard for each core, unless it would be less than a few blocks.
+    shards = max(1, -(-size["n"] // shard), min(vectors.sparkSession.sparkContext.defaultParallelism, size["n"] // (4 * BLOCK)))
     asked = rows.where("asks").groupBy("id").agg(F.min("v").alias("v"))
-    cells = rows.select("id", "v")
-    found, after = None, None
-    while True:  # one batch of queries, by id, against all rows
-        part = asked if after is None else asked.where(F.col("id") > after)
-        got = part.orderBy("id").limit(batch).toArrow()
-        if not got.num_rows:
-            break
-        after = got.column("id")[-1].as_py()
-        lists = got.column("v").combine_chunks()
-        sent = spark.sparkContext.broadcast((got.column("id").to_numpy(), matrix(lists)))
-
-        def run(batches, sent=sent):
-            query_ids, queries = sent.value
-            best = Best(len(query_ids), k)
-            for b in batches:
-                ids = b.column(0).to_numpy()
-                values = matrix(b.column(1), queries.shape[1])
-                q = np.pad(queries, ((0, 0), (0, values.shape[1] - queries.shape[1])))
-                if len(values) and np.abs(q).max(initial=0) * np.abs(values).max(initial=0) * values.shape[1] >= EXACT:
-                    raise ValueError("the components are too large for exact scores")
-                for at in range(0, len(ids), BLOCK):
-                    search_block(best, query_ids, q, ids[at : at + BLOCK], values[at : at + BLOCK])
-            n = [len(x) for x in best.scores]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(query_ids, n)), pa.array(np.concatenate([*best.ids, np.zeros(0, np.int64)])), pa.array(np.concatenate([*best.scores, np.zeros(0)]).astype(np.int64))],
-                names=["query_id", "id", "score"],
-            )
-
-        shard = cells.mapInArrow(run, "query_id long, id long, score long")
-        found = shard if found is None else found.union(shard)
-        if got.num_rows < batch:
-            break
-    if found is None:
-        return spark.createDataFrame([], f"query_id long, rank int, {id_col} long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+    group, spread = F.pmod(F.xxhash64("id"), F.lit(groups)), lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = asked.select(group.cast("int").alias("group"), "id", "v").select("group", spread(shards).alias("shard"), F.lit(True).alias("asks"), "id", "v")
+    # Rows alike are dealt by their place, so that copies of one vector spread over the shards.
+    place = F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.lit(shards)).cast("int")
+    others = rows.select(place.alias("shard"), "id", "v").select(spread(groups).alias("group"), "shard", F.lit(False).alias("asks"), "id", "v")
+    dealt = asked.unionByName(others).repartition("group", "shard").sortWithinPartitions("group", "shard", F.desc("asks"))
+    found = dealt.mapInArrow(lambda batches: search_shards(batches, k), "query_id long, id long, score long, whole string")
+    # Scores beyond 64 bits are told apart by their whole text: longer numbers are larger.
+    beyond = F.when(F.abs("score") >= F.lit((1 << 63) - 1), F.when(F.col("score") > 0, 1).otherwise(-1) * F.length("whole"))
+    digits = F.when(beyond.isNull(), "").when(F.col("score") > 0, F.col("whole")).otherwise(F.translate("whole", "0123456789", "9876543210"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc(F.coalesce(beyond, F.lit(0))), F.desc(digits), "id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")
 
 
