@@ -161,37 +161,37 @@ CUES = {
 }
 CUE_OF = {w: k for k, words in CUES.items() for w in words}
 
-TOKEN = re.compile(r"\S*[0-9@]\S*")
+TOKEN, MARK = re.compile(r"\S+"), re.compile("[0-9@]")
 SHAPE = str.maketrans({**{c: "d" for c in "0123456789"}, **{chr(c): "a" for c in [*range(65, 91), *range(97, 123)]}})
 SQUEEZE = re.compile(r"(.)\1+", re.DOTALL)
-EDGE_LEFT, EDGE_RIGHT = re.compile(r"^[^A-Za-z0-9+(@]+"), re.compile(r"[^A-Za-z0-9)]+$")
-BEFORE = re.compile(r"(\S+)[^\S\n]+(\S+)[^\S\n]*$|(\S+)[^\S\n]*$")
+EDGE_LEFT, EDGE_RIGHT = re.compile("[^A-Za-z0-9+(@]*"), re.compile("[^A-Za-z0-9)]*")
 #: Tokens of short runs decoded together, about; a run is never cut.
 TOGETHER = 1 << 18
 
 
 def trimmed(text: str, start: int, end: int) -> tuple[int, int]:
     word = text[start:end]
-    left = EDGE_LEFT.match(word)
-    right = EDGE_RIGHT.search(word)
-    a, b = start + (left.end() if left else 0), end - (len(word) - right.start() if right else 0)
+    a, b = start + EDGE_LEFT.match(word).end(), end - EDGE_RIGHT.match(word[::-1]).end()
     return (a, b) if a < b else (start, end)
 
 
 def runs(text: str) -> list[tuple[tuple[str, str], list[tuple[int, int]]]]:
-    """Runs of neighbouring marked tokens, each with the two words before it."""
+    """Runs of neighbouring marked tokens, each with the two words before it on its line."""
     out: list = []
-    last = -1
+    if not MARK.search(text):
+        return out
+    one, two, last = (0, 0), (0, 0), -1  # the two tokens before, and the end of the last marked one
     for m in TOKEN.finditer(text):
         start, end = m.span()
-        gap = text[last:start] if 0 <= last and start - last <= 3 else None
-        if gap is not None and "\n" not in gap:
-            out[-1][1].append((start, end))
-        else:
-            b = BEFORE.search(text, max(0, start - 60), start)
-            words = tuple(w.strip(".,:;()").lower() for w in ((b[1], b[2]) if b and b[2] else ("", b[3] if b else "")) if w is not None) if b else ("", "")
-            out.append((words, [(start, end)]))
-        last = end
+        if MARK.search(text, start, end):
+            if 0 <= last and start - last <= 3 and "\n" not in text[last:start]:
+                out[-1][1].append((start, end))
+            else:
+                near = [text[slice(*two)] if two[1] and "\n" not in text[two[1] : start] else ""]
+                near.insert(0, text[slice(*one)] if near[0] and one[1] and "\n" not in text[one[1] : two[0]] else "")
+                out.append((tuple(w.strip(".,:;()").lower() for w in near), [(start, end)]))
+            last = end
+        one, two = two, (start, end)
     return out
 
 
@@ -202,7 +202,7 @@ def bucket(n: int) -> str:
 def token_features(word: str) -> tuple[str, ...]:
     """Features of a token alone."""
     d = digits_of(word)
-    shape = SQUEEZE.sub(r"\1", word.translate(SHAPE))[:16]
+    shape = SQUEEZE.sub(r"\1", word.translate(SHAPE))
     out = [f"shape={shape}", f"digits={bucket(len(d))}", f"first={shape[:1]}", "at" if "@" in word else "no-at"]
     if 13 <= len(d) <= 19:
         out.append("luhn" if luhn(d) else "no-luhn")
