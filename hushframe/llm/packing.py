@@ -5,13 +5,16 @@ is to be packed is then told by a histogram: how many pieces there are of each l
 has at most as many entries as a sequence has tokens, however large the corpus, so the
 branch-and-bound search runs on it alone:
 
-* the largest piece left must go somewhere; the fillings that complete its sequence are
-  enumerated, largest pieces first, and only undominated ones kept: a filling is dominated
-  if a piece left over could be added, or could replace a smaller one (or two) in it;
+* the largest piece left must go somewhere; all fillings that complete its sequence are
+  enumerated as they are asked for, largest pieces first, but for dominated ones: a filling is
+  dominated if a piece left over could be added, or could replace a smaller one (or two) in it;
 * a filling is applied to as many sequences as its pieces allow;
 * branches that can't beat the incumbent, by the total length left (every sequence wasted
   so far counts), are pruned; the first incumbent is best-fit decreasing; a solution at the
-  bound ends the search, as does a fixed number of nodes (the best one so far is kept).
+  bound, or the end of all branches, proves the plan to be the best of its kind.
+
+The search may take a number of steps (fillings looked at) that the caller sets; the best
+plan so far is kept where they run out, and ``search`` tells whether that was so.
 
 Pieces then take their places: the pieces of a length are ranked, and the plan says for
 each range of ranks which sequences, and which place in them, it fills.
@@ -21,6 +24,8 @@ from __future__ import annotations
 
 import zlib
 from bisect import bisect_right
+from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,10 +36,8 @@ from .common import ROWS, cut
 from .tokens import Encoder, tokenizer_path
 
 LENGTH = 2048
-#: Nodes of the search, fillings looked at per node, and branches taken from them.
-NODES, FILLINGS, BRANCHES = 4000, 400, 3
-#: Pieces of one length ranked by one task, about.
-CHUNK = 50_000
+#: Fillings that the search looks at, unless the caller says otherwise: some seconds.
+STEPS = 200_000
 
 
 def pieces_of(total: int, length: int) -> list[tuple[int, int]]:
@@ -43,51 +46,42 @@ def pieces_of(total: int, length: int) -> list[tuple[int, int]]:
     return [(0, first)] + [(s, length) for s in range(first, total, length)]
 
 
-def fillings(lengths: list[int], counts: dict[int, int], room: int, most: int = FILLINGS) -> list[tuple[int, ...]]:
-    """Undominated fillings of ``room``, by waste, then with larger pieces first; of at most
-    ``most`` enumerated. ``lengths`` is ascending, and ``counts`` says how many are left."""
-    found: list[tuple[int, tuple[int, ...]]] = []
-    chosen: list[int] = []
-    seen = 0
+def fillings(lengths: list[int], counts: dict[int, int], room: int) -> Iterator[tuple[int, ...] | None]:
+    """Undominated fillings of ``room``, largest pieces first; None for each dominated one.
+    ``lengths`` is ascending, and ``counts`` says how many are left of each."""
 
-    def dominated(waste: int) -> bool:
-        used: dict[int, int] = {}
-        for x in chosen:
-            used[x] = used.get(x, 0) + 1
+    def dominated(chosen: list[int], waste: int) -> bool:
         if not waste:
             return False
+        used = Counter(chosen)
         for x in {*chosen, 0, *(a + b for a, b in zip(chosen, chosen[1:], strict=False))}:
             k = bisect_right(lengths, x + waste) - 1
-            if k >= 0 and lengths[k] > x and counts[lengths[k]] > used.get(lengths[k], 0):
+            if k >= 0 and lengths[k] > x and counts[lengths[k]] > used[lengths[k]]:
                 return True
         return False
 
-    def extend(top: int, left: int) -> bool:
-        """False once the enumeration is over."""
-        nonlocal seen
-        k = min(top, bisect_right(lengths, left) - 1)
-        ended = True
-        while k >= 0:
-            x = lengths[k]
-            if counts[x] > chosen.count(x):
-                ended = False
-                chosen.append(x)
-                go = extend(k, left - x)
-                chosen.pop()
-                if not go:
-                    return False
+    chosen: list[int] = []
+    left, open_ = room, [bisect_right(lengths, room) - 1]  # at each depth, the next length to try
+    grown = True  # whether the filling has just grown: then it ends here if nothing can be added
+    while open_:
+        k = open_[-1]
+        while k >= 0 and counts[lengths[k]] <= chosen.count(lengths[k]):
             k -= 1
-            if seen >= most:
-                return False
-        if ended:
-            seen += 1
-            if not dominated(left):
-                found.append((left, tuple(chosen)))
-            return left > 0  # nothing beats a full sequence; the first one has the largest pieces
-        return True
-
-    extend(len(lengths) - 1, room)
-    return [c for _, c in sorted(found, key=lambda f: f[0])]
+        if k >= 0:
+            open_[-1] = k - 1
+            chosen.append(lengths[k])
+            left -= lengths[k]
+            open_.append(min(k, bisect_right(lengths, left) - 1))
+            grown = True
+            continue
+        if grown:
+            yield None if dominated(chosen, left) else tuple(chosen)
+            if not left:
+                return  # nothing beats a full sequence; the first one has the largest pieces
+        grown = False
+        open_.pop()
+        if chosen:
+            left += chosen.pop()
 
 
 def best_fit(histogram: dict[int, int], length: int) -> list[tuple[tuple[int, ...], int]]:
@@ -118,8 +112,9 @@ def best_fit(histogram: dict[int, int], length: int) -> list[tuple[tuple[int, ..
     return plan
 
 
-def solve(histogram: dict[int, int], length: int = LENGTH, nodes: int = NODES) -> list[tuple[tuple[int, ...], int]]:
-    """``(filling, times)``: the plan with the fewest sequences that the search finds."""
+def search(histogram: dict[int, int], length: int = LENGTH, steps: int = STEPS) -> tuple[list[tuple[tuple[int, ...], int]], bool]:
+    """``(filling, times)``: the plan with the fewest sequences that the search finds, and whether
+    it ended by itself, in at most ``steps`` steps."""
     histogram = {x: n for x, n in histogram.items() if n > 0}
     if any(not 0 < x <= length for x in histogram):
         raise ValueError("pieces must be from 1 token to the sequence length")
@@ -127,52 +122,57 @@ def solve(histogram: dict[int, int], length: int = LENGTH, nodes: int = NODES) -
     best_size = sum(t for _, t in best)
     total = sum(x * n for x, n in histogram.items())
     bound = max(-(-total // length), sum(n for x, n in histogram.items() if 2 * x > length))
-    left = nodes
     counts = dict(histogram)
-    lengths = sorted(counts)
     plan: list[tuple[tuple[int, ...], int]] = []
-    # An explicit stack: each frame holds the branches still open at its node.
+    # An explicit stack: each frame has the fillings not yet tried at its node, what is left to
+    # pack there, the sequences used, and the filling in use.
     stack: list[list] = []
 
     def open_node(remaining: int, size: int) -> None:
-        top = lengths[-1]
-        counts[top] -= 1
-        options = fillings([x for x in lengths if counts[x] > 0], counts, length - top)[:BRANCHES] or [()]
-        counts[top] += 1
-        stack.append([[(top, *o) for o in options], remaining, size, None])
-
-    def apply(filling: tuple[int, ...], times: int) -> None:
-        nonlocal lengths
-        for x in filling:
-            counts[x] = counts.get(x, 0) - times
         lengths = sorted(x for x, n in counts.items() if n > 0)
+        top = lengths[-1]
+        here = dict(counts)
+        here[top] -= 1
+        stack.append([top, fillings([x for x in lengths if here[x] > 0], here, length - top), remaining, size, None])
 
-    if best_size > bound and lengths:
+    if best_size > bound:
         open_node(total, 0)
-    while stack and left > 0 and best_size > bound:
-        options, remaining, size, done = stack[-1]
-        if done is not None:
-            apply(done[0], -done[1])
+    while stack and best_size > bound:
+        top, options, remaining, size, done = stack[-1]
+        if done:
+            for x in done[0]:
+                counts[x] += done[1]
             plan.pop()
-            stack[-1][3] = None
-        if not options:
+            stack[-1][4] = None
+        if not steps:
+            return best, False
+        steps -= 1
+        try:
+            option = next(options)
+        except StopIteration:
             stack.pop()
             continue
-        left -= 1
-        filling = options.pop(0)
-        need = {x: filling.count(x) for x in filling}
-        times = min(counts[x] // n for x, n in need.items())
+        if option is None:
+            continue
+        filling = (top, *option)
+        times = min(counts[x] // n for x, n in Counter(filling).items())
         after, used = remaining - times * sum(filling), size + times
         if used + -(-after // length) >= best_size:
             continue
-        apply(filling, times)
+        for x in filling:
+            counts[x] -= times
         plan.append((filling, times))
-        stack[-1][3] = (filling, times)
-        if not lengths:
+        stack[-1][4] = filling, times
+        if not after:
             best, best_size = list(plan), used
             continue
         open_node(after, used)
-    return best
+    return best, True
+
+
+def solve(histogram: dict[int, int], length: int = LENGTH, steps: int = STEPS) -> list[tuple[tuple[int, ...], int]]:
+    """The plan that ``search`` finds."""
+    return search(histogram, length, steps)[0]
 
 
 def tokenized(docs: DataFrame, tokenizer: str, end_id: int, length: int, id_col: str, text_col: str, keep_ids: bool) -> DataFrame:
@@ -198,24 +198,25 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int, length: int, id_col:
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids)
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False, steps: int = STEPS) -> DataFrame:
     """``(id_col, piece, start, length, ids_crc32, sequence_id, offset[, ids])``, one row per
     piece: pieces of a sequence lie side by side from offset 0, in at most ``length`` tokens.
 
     A null or empty text is a document of the end id alone. Repeated rows, and rows that
-    share an id or have none, are documents of their own. With ``keep_ids`` each piece has
+    share an id or have none, are documents of their own; an empty table has no pieces. ``steps``
+    limits the search for a plan, not what is packed. With ``keep_ids`` each piece has
     its ids, as little-endian unsigned 32-bit integers."""
     rows = cut(tokenized(docs, tokenizer or tokenizer_path("byte_bpe_50k.json"), end_id, length, id_col, text_col, keep_ids))
     full = rows.where(F.col("length") == length)
     part = rows.where(F.col("length") < length)
     histogram = {r["length"]: r["count"] for r in part.groupBy("length").count().collect()}
-    plan = solve(histogram, length)
-    # Ranks within a length: counts by (length, salt) first, so that a common length spreads.
-    salts = max(1, sum(histogram.values()) // CHUNK + 1)
-    salted = part.withColumn("salt", F.pmod(F.xxhash64("id", "ids_crc32", "start"), F.lit(salts)))
+    plan = solve(histogram, length, steps)
+    # Ranks within a length, counted by task that wrote the rows first: a common length spreads
+    # over as many groups as there are tasks, whatever the rows are.
+    salted = part.withColumns({"salt": F.spark_partition_id(), "at": F.monotonically_increasing_id()})
     before = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n")).select("length", "salt", before.alias("before"))
-    within = F.row_number().over(Window.partitionBy("length", "salt").orderBy("id", "piece", "ids_crc32"))
+    within = F.row_number().over(Window.partitionBy("length", "salt").orderBy("at"))
     ranked = salted.join(starts, ["length", "salt"]).withColumn("rank", F.col("before") + within - 1)
     slots, used, sequences = [], {}, 0
     for filling, times in plan:
