@@ -7,10 +7,10 @@ down to a uniform code (escape probability by method C: distinct / (distinct + c
 code length of a text is exact: the sum over all of its bytes. The shortest code names the
 language.
 
-With frozen statistics the code length of a byte depends on the longest context known to
-any of the languages and the byte alone, so it is tabulated: a table from the last ORDER
-bytes to the context's row, and per row and byte the code lengths in all languages. A text
-is then scored in a few numpy gathers, with no loop over its bytes.
+With frozen statistics a byte's code lengths in all languages depend on it and the ORDER
+bytes before it alone. They are looked up in the languages' trees once, and kept in a table
+of fixed size by the four bytes' hash, so that a text is scored in a few numpy gathers, with
+no loop over its bytes. The trees hold what the training sample holds, nothing is left out.
 
 Bytes are folded first: ASCII letters to lower case, and runs of other ASCII (white space,
 digits, punctuation) to one space.
@@ -18,7 +18,7 @@ digits, punctuation) to one space.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +30,8 @@ from .common import bucket_of, per_text
 ORDER = 3
 #: Training rows per language, at most: those with the smallest hashed id.
 MOST_ROWS = 2000
-#: Contexts of three bytes kept, at most: the most frequent ones.
-MOST_CONTEXTS = 20_000
+#: Code lengths in the table of a worker: slots times languages.
+CELLS = 1 << 20
 #: Bytes scored at once.
 BLOCK = 1 << 18
 
@@ -46,13 +46,46 @@ def has_letter(text: str) -> bool:
     return any(map(str.isalpha, text))
 
 
+@dataclass
+class Order:
+    """A language's contexts of one length: sorted, with code lengths in bits. ``keys`` are a
+    context and a byte that it has seen, ``contexts`` those that end in an escape."""
+
+    keys: np.ndarray
+    bits: np.ndarray
+    contexts: np.ndarray
+    escapes: np.ndarray
+
+    @classmethod
+    def of(cls, grams: np.ndarray, n: np.ndarray) -> Order:
+        keys, at = np.unique(grams, return_inverse=True)
+        n = np.bincount(at, n)
+        contexts, of = np.unique(keys >> 8, return_inverse=True)
+        distinct = np.bincount(of)
+        whole = np.bincount(of, n) + distinct
+        return cls(keys, -np.log2(n / whole[of]), contexts, -np.log2(distinct / whole))
+
+    def code(self, grams: np.ndarray, shorter: np.ndarray) -> np.ndarray:
+        """Code lengths of the last bytes of ``grams``, given those in shorter contexts."""
+        out = shorter.copy()
+        at, known = found(self.contexts, grams >> 8)
+        out[known] += self.escapes[at[known]]
+        at, known = found(self.keys, grams)
+        out[known] = self.bits[at[known]]
+        return out
+
+
+def found(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where ``values`` stand in sorted ``keys``, and whether they do."""
+    at = np.minimum(np.searchsorted(keys, values), len(keys) - 1)
+    return at, keys[at] == values
+
+
 @dataclass
 class Model:
     langs: list[str]
-    symbols: int
-    symbol: np.ndarray  # byte to symbol; 0 for bytes not seen
-    row_of: np.ndarray  # the last three symbols, as one number, to a row
-    bits: np.ndarray  # row * symbols + symbol, language: code length in bits
+    trees: list[list[Order]]  # by language, from order 0 on
+    slots: dict = field(default_factory=dict, repr=False)  # a worker's own table
 
     def lengths(self, texts: list[str]) -> np.ndarray:
         """Code lengths in bits: one row per text, one column per language."""
@@ -74,16 +107,35 @@ class Model:
         return out
 
     def add(self, out: np.ndarray, parts: list[bytes], where: list[int]) -> None:
-        s = self.symbol[np.frombuffer(b"".join(parts), np.uint8)]
-        context = (s[:-3] * self.symbols + s[1:-2]) * self.symbols + s[2:-1]
-        at = self.row_of[context].astype(np.int64) * self.symbols + s[3:]
+        s = np.frombuffer(b"".join(parts), np.uint8).astype(np.uint32)
+        bits = np.append(self.code(s[:-3] << 24 | s[1:-2] << 16 | s[2:-1] << 8 | s[3:]), np.zeros((1, len(self.langs))), axis=0)
         ends = np.cumsum([len(p) for p in parts])
         starts = np.concatenate([[0], ends[:-1]])
         # a part's first ORDER bytes are context only: its bytes are coded from there on
         index = np.stack([starts, ends - ORDER], 1).ravel()
-        for k in range(len(self.langs)):
-            x = np.append(self.bits[at, k], 0.0)
-            out[:, k] += np.bincount(where, np.add.reduceat(x, index)[::2], len(out))
+        np.add.at(out, where, np.add.reduceat(bits, index, axis=0)[::2])
+
+    def code(self, grams: np.ndarray) -> np.ndarray:
+        """Code lengths of the last bytes of ``grams``, one column per language."""
+        if not self.slots:
+            size = 1 << max(10, (CELLS // len(self.langs)).bit_length() - 1)
+            self.slots |= {"shift": np.uint32(33 - size.bit_length()), "gram": np.full(size, 1 << 32, np.uint64), "bits": np.zeros((size, len(self.langs)))}
+        slot = lambda g: (g * np.uint32(2654435769)) >> self.slots["shift"]
+        at = slot(grams)
+        bits, miss = self.slots["bits"][at], np.flatnonzero(self.slots["gram"][at] != grams)
+        if len(miss):
+            new, back = np.unique(grams[miss], return_inverse=True)
+            lengths = self.look_up(new)
+            bits[miss] = lengths[back]
+            self.slots["gram"][slot(new)], self.slots["bits"][slot(new)] = new, lengths
+        return bits
+
+    def look_up(self, grams: np.ndarray) -> np.ndarray:
+        out = np.full((len(grams), len(self.langs)), 8.0)
+        for k, orders in enumerate(self.trees):
+            for m, order in enumerate(orders):
+                out[:, k] = order.code(grams & np.uint32((1 << 8 * (m + 1)) - 1), out[:, k])
+        return out
 
 
 def count_contexts(batches):
@@ -124,53 +176,21 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
 
 def build(lang_of: list[str], gram: np.ndarray, n: np.ndarray) -> Model:
+    """A model from counts of four bytes (three of context, and the one that follows)."""
     langs = sorted(set(lang_of))
-    which = np.array([langs.index(x) for x in lang_of])
-    seen = np.unique(np.concatenate([(gram >> s) & 255 for s in (0, 8, 16, 24)]))
-    symbol = np.zeros(256, np.int64)
-    symbol[seen] = np.arange(1, len(seen) + 1)
-    size, L = len(seen) + 1, len(langs)
-    a, b, c, d = (symbol[(gram >> s) & 255] for s in (24, 16, 8, 0))
-    contexts = (a * size + b) * size + c
-    known, inverse = np.unique(contexts, return_inverse=True)
-    if len(known) > MOST_CONTEXTS:
-        total = np.bincount(inverse, n)
-        known = np.sort(known[np.argsort(-total, kind="stable")[:MOST_CONTEXTS]])
-
-    def extend(k: int, values: np.ndarray, space: np.ndarray, shorter: np.ndarray) -> np.ndarray:
-        """Language k's probabilities in the contexts of ``space`` (counted at ``values``):
-        their own counts, with escape to the shorter context."""
-        at = np.searchsorted(space, values)
-        ok = (which == k) & (at < len(space)) & (space[np.minimum(at, len(space) - 1)] == values)
-        counts = np.bincount(at[ok] * size + d[ok], n[ok], len(space) * size).reshape(-1, size)
-        total, distinct = counts.sum(1, keepdims=True), (counts > 0).sum(1, keepdims=True)
-        whole = np.maximum(total + distinct, 1)
-        own = np.where(counts > 0, counts / whole, distinct / whole * shorter)
-        return np.where(total > 0, own, shorter)
-
-    ones, two = np.arange(size), b * size + c
-    twos = np.unique(np.concatenate([two, known % (size * size)]))
-    bits = np.zeros(((size + len(twos) + len(known)) * size, L), np.float32)
-    for k in range(L):
-        order0 = extend(k, np.zeros_like(d), np.zeros(1, np.int64), np.full((1, size), 1 / 256))
-        order1 = extend(k, c, ones, order0)
-        order2 = extend(k, two, twos, order1[twos % size])
-        order3 = extend(k, contexts, known, order2[np.searchsorted(twos, known % (size * size))])
-        bits[:, k] = -np.log2(np.concatenate([order1, order2, order3])).ravel()
-    full = np.arange(size**3)
-    row_of = (full % size).astype(np.int32)
-    at = np.searchsorted(twos, full % (size * size))
-    hit = (at < len(twos)) & (twos[np.minimum(at, len(twos) - 1)] == full % (size * size))
-    row_of[hit] = size + at[hit]
-    row_of[known] = size + len(twos) + np.arange(len(known))
-    return Model(langs, size, symbol, row_of, bits)
+    which = np.searchsorted(np.array(langs), np.array(lang_of))
+    gram, trees = gram.astype(np.uint32), []
+    for k in range(len(langs)):
+        mine = which == k
+        trees.append([Order.of(gram[mine] & np.uint32((1 << 8 * (m + 1)) - 1), n[mine]) for m in range(ORDER + 1)])
+    return Model(langs, trees)
 
 
 def predict(model: Model | None, spark):
     """An Arrow function from a text to ``struct<lang, score>``.
 
     ``score`` is the posterior of the shortest code under equal priors, from the code lengths
-    per byte times the square root of the number of bytes; ``und`` and 0 where the text is
+    per character times the square root of the number of characters; ``und`` and 0 where the text is
     null or has no letter, or no language was learned."""
     sent = spark.sparkContext.broadcast(model)
 
