@@ -132,28 +132,26 @@ def descend(rows: list[np.ndarray], y: np.ndarray, m: int, seed: int) -> tuple[f
     hold = np.clip(PENALTY * (USUAL_Z / np.maximum(np.abs(z), 1e-3)) ** 4, *LIMITS) / each
     hold_v = (PENALTY_ROW * total + PENALTY_FACTORS) / each
 
+    # Rows are dealt into batches once; each epoch takes the batches in another order.
     rng = np.random.default_rng(seed)
+    order = rng.permutation(len(rows))
+    batches = [Batch([rows[i] for i in part], y[part]) for part in (order[k : k + BATCH] for k in range(0, len(order), BATCH))]
     w0, w, v = float(np.log(share / (1 - share))), np.zeros(m), rng.normal(0, INIT, (m, FACTORS))
     g0, gw, gv = 1.0, np.ones(m), np.ones((m, FACTORS))
     for _ in range(max(EPOCHS, STEPS * BATCH // len(rows))):
-        order = rng.permutation(len(rows))
-        for first in range(0, len(order), BATCH):
-            part = order[first : first + BATCH]
-            mine = [rows[i] for i in part]
-            error = 1 / (1 + np.exp(-np.clip(raw(w0, w, v, mine), -30, 30))) - y[part]
-            ids, of = np.concatenate([*mine, np.zeros(0, np.int64)]), np.repeat(np.arange(len(mine)), [len(r) for r in mine])
+        for k in rng.permutation(len(batches)):
+            b = batches[k]
+            used, mine, factors = b.used, w[b.used], v[b.used]
+            sums = np.stack([b.sum(f) for f in factors.T], 1)
+            x = w0 + b.sum(mine - 0.5 * (factors**2).sum(1)) + 0.5 * (sums**2).sum(1)
+            error = 1 / (1 + np.exp(-np.clip(x, -30, 30))) - b.y
             d0 = error.sum()
             g0 += d0 * d0
             w0 -= RATE * d0 / np.sqrt(g0)
-            if not len(ids):
-                continue
-            sums = np.stack([np.bincount(of, v[ids, f], len(mine)) for f in range(FACTORS)], 1)
-            seen = np.bincount(ids, minlength=m)
-            used = np.flatnonzero(seen)
-            seen, pull = seen[used], np.bincount(ids, error[of], m)[used]
-            dw = pull + hold[used] * seen * w[used]
-            with_others = np.stack([np.bincount(ids, (error * sums[:, f])[of], m) for f in range(FACTORS)], 1)[used]
-            dv = with_others + (hold_v[used] * seen - pull)[:, None] * v[used]
+            pull = b.spread(error)
+            with_others = np.stack([b.spread(error * sums[:, f]) for f in range(FACTORS)], 1)
+            dw = pull + hold[used] * b.seen * mine
+            dv = with_others + (hold_v[used] * b.seen - pull)[:, None] * factors
             gw[used] += dw * dw
             gv[used] += dv * dv
             w[used] -= RATE * dw / np.sqrt(gw[used])
@@ -161,6 +159,27 @@ def descend(rows: list[np.ndarray], y: np.ndarray, m: int, seed: int) -> tuple[f
     return w0, w, v
 
 
+class Batch:
+    """Rows of terms with labels: their distinct terms, and sums over rows and over terms."""
+
+    def __init__(self, rows: list[np.ndarray], y: np.ndarray):
+        self.y, counts = y, np.array([len(r) for r in rows])
+        self.used, self.at, self.seen = np.unique(np.concatenate([*rows, np.zeros(0, np.int64)]), return_inverse=True, return_counts=True)
+        self.of, self.some = np.repeat(np.arange(len(rows)), counts), np.flatnonzero(counts)
+        self.starts = ranges(counts[self.some])[:-1]
+
+    def sum(self, values: np.ndarray) -> np.ndarray:
+        """Of each row, the sum of its terms' values."""
+        out = np.zeros(len(self.y))
+        if len(self.some):
+            out[self.some] = np.add.reduceat(values[self.at], self.starts)
+        return out
+
+    def spread(self, values: np.ndarray) -> np.ndarray:
+        """Of each term, the sum of its rows' values."""
+        return np.bincount(self.at, values[self.of], len(self.used))
+
+
 def calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """Scale and shift of raw scores, by Newton steps with a small prior."""
     x = np.clip(x, -30, 30)
@@ -181,7 +200,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     marked = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col)).cast("int").alias("y"))
     ids = docs.select(F.col(id_col).alias("id")).join(marked, "id")
     chosen = smallest(ids.distinct(), "id", most_rows)
-    found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
+    # One row per id, however often it is repeated: the greatest text.
+    found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").groupBy("id", "y").agg(F.max("text").alias("text"))
     hashed = per_text(lambda texts: pa.array([terms(t).astype(np.int32) for t in texts.to_pylist()], pa.list_(pa.int32())), "array<int>")
     table = found.select("id", "y", hashed(F.col("text")).alias("terms")).toArrow()
     if not table.num_rows:
