@@ -28,9 +28,11 @@ ROWS = 256
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, one machine) a temporary folder is set."""
+    Only where the session names none, on one machine, a temporary folder is set."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local" and not spark.sparkContext.getCheckpointDir():
+            raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
         folder = spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="hushframe-")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
@@ -77,13 +79,14 @@ def sorted_ranks(df: DataFrame, group: list[str], order: list[str], rank: str =
     """Adds ``rank``: the row's position (from 0) within its group, by ``order``.
 
     A window over a hot group would meet in one task. Here all rows are range-partitioned
-    by group *and* order, so a hot group spreads over many tasks; each task knows the
-    position of a row among its own rows of the group, and a running sum over the counts
+    by group *and* order, and last by their place in the input, so that neither a hot group nor
+    rows that are repeated meet in one task; each task knows the position of a row among its own rows of the group, and a running sum over the counts
     per task and group (one small row each) gives where the task begins. The sorted rows
     are checkpointed, as range bounds may differ from one run of a plan to the next."""
     keys = [F.col(c) for c in group + order]
-    dealt = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
-    dealt = cut(dealt.withColumn("__at", F.monotonically_increasing_id()).withColumn("__task", F.spark_partition_id()))
+    place = [*keys, F.col("__place")]
+    dealt = df.withColumn("__place", F.monotonically_increasing_id()).repartitionByRange(*place).sortWithinPartitions(*place)
+    dealt = cut(dealt.drop("__place").withColumn("__at", F.monotonically_increasing_id()).withColumn("__task", F.spark_partition_id()))
     counts = dealt.groupBy("__task", *group).agg(F.min("__at").alias("__first"), F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy(*group).orderBy("__task").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0)))
@@ -96,6 +99,23 @@ def sorted_ranks(df: DataFrame, group: list[str], order: list[str], rank: str =
     return out.select(*df.columns, rank)
 
 
+def join_hot(left: DataFrame, right: DataFrame, key: str, rows: str, least: int = 1000, most: int = 10_000) -> DataFrame:
+    """The inner join of ``left`` with ``right``, which has one row per ``key`` and, in column
+    ``rows``, how many rows of ``left`` have it.
+
+    Keys that hold more than one in ``most`` of all rows, and more than ``least``, are hot: there
+    are fewer than ``most`` of them however large the tables, so they are broadcast, and their
+    rows stay where they are. All others meet by shuffle, in groups of limited size."""
+    total = right.agg(F.sum(rows)).first()[0] or 0
+    limit = max(least, total // most)
+    hot = right.where(F.col(rows) > limit)
+    if total <= limit or hot.isEmpty():
+        return left.join(right, key)
+    marked = left.join(F.broadcast(hot.select(key, F.lit(True).alias("__hot"))), key, "left")
+    rest = marked.where("__hot IS NULL").drop("__hot").join(right.where(F.col(rows) <= limit), key)
+    return left.join(F.broadcast(hot), key).union(rest)
+
+
 def bytes_of(texts: pa.Array) -> list[bytes]:
     return texts.cast(pa.binary()).to_pylist()
 

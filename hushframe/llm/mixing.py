@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import sorted_ranks
+from .common import cut, sorted_ranks
 
 #: Words are runs of other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -70,15 +70,21 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 def take(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The mix itself: ``docs`` with each row repeated as often as ``mix`` takes its id.
 
-    Needs ids that occur once; rows that share an id share its copies by order of size, and
-    a row with a null id is one document among those."""
-    mine = mix(docs, id_col=id_col, **options).select(F.col(id_col).alias("__id"), F.col("copies").alias("__copies"))
-    many = mine.groupBy("__id").agg(F.sum("__copies").alias("__copies"), F.count(F.lit(1)).alias("__rows"))
-    found = docs.join(many, docs[id_col].eqNullSafe(F.col("__id")))
-    turn = Window.partitionBy("__id").orderBy(F.xxhash64(*[docs[c] for c in docs.columns]))
-    found = found.withColumn("__turn", F.when(F.col("__rows") > 1, F.row_number().over(turn) - 1).otherwise(F.lit(0)))
-    times = F.floor(F.col("__copies") / F.col("__rows")).cast("int") + F.when(F.col("__turn") < F.col("__copies") % F.col("__rows"), 1).otherwise(0)
-    return found.withColumn("__n", F.explode(F.array_repeat(F.lit(1), times))).select(*[docs[c] for c in docs.columns])
+    All columns are kept, whatever their names; an empty table gives an empty one. Ids should
+    occur once: rows that share an id, or have none, share the copies of all of them evenly. Only
+    the rows of such ids are ranked, by range, so that none of them meet in one task."""
+    mine = mix(docs, id_col=id_col, **options).select(F.col(id_col).alias("id"), "copies")
+    many = cut(mine.groupBy("id").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows")))
+    found = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("mine")).join(many, F.col("mine").eqNullSafe(F.col("id")))
+
+    def repeated(rows: DataFrame, times: Column) -> DataFrame:
+        return rows.withColumn("turn", F.explode(F.array_repeat(F.lit(1), times.cast("int")))).select("row.*")
+
+    once = repeated(found.where("rows = 1"), F.col("copies"))
+    if many.where("rows > 1").isEmpty():
+        return once
+    shared = sorted_ranks(found.where("rows > 1").withColumn("hash", F.xxhash64("row")), ["id"], ["hash"])
+    return once.union(repeated(shared, F.floor(F.col("copies") / F.col("rows")) + (F.col("rank") < F.col("copies") % F.col("rows")).cast("int")))
 
 
 SQL = """

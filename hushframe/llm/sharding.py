@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 from .common import cut, sorted_ranks
 
+#: Bytes of a shard, at most: what a loader holds at once, times the shards it mixes.
+LIMIT = 160 << 10
 #: Bits of the hash in use.
 BITS = 60
 #: Bits more than the average shard needs, in the first pass and in each further one.
@@ -48,12 +50,12 @@ def directory(rows: DataFrame, limit: int, low: int, deep: int) -> DataFrame:
     return cut(cells.select("cell", "single").join(found, "cell", "left"))
 
 
-def shards(docs: DataFrame, limit: int = 64 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shards(docs: DataFrame, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id_col, bytes, depth, bucket, chain)`` per row of ``docs``: a shard is ``depth`` bits
     with value ``bucket``, and ``chain`` (0 but for overflow shards).
 
     ``bytes`` is the text's length in UTF-8 (null: 0). Null ids share one hash, like equal
-    ids; repeated rows count each."""
+    ids; repeated rows count each. An empty table has no shards."""
     rows = cut(docs.select(F.col(id_col).alias("id"), size_of(F.col(text_col)).alias("bytes"), hash_bits(F.col(id_col)).alias("bits")))
     total = rows.agg(F.sum("bytes")).first()[0] or 0
     low, deep = 0, max(0, math.ceil(math.log2(max(1, total / limit)))) + SLACK
@@ -86,10 +88,17 @@ def chains(rows: DataFrame, limit: int, deep: int) -> DataFrame:
     return ranked.join(groups, ["bits", "bytes"]).select("id", "bytes", F.lit(deep).alias("depth"), prefix("bits", deep).alias("bucket"), (F.col("first") + F.floor(F.col("rank") / per)).cast("long").alias("chain"))
 
 
-def write_shards(docs: DataFrame, path: str, limit: int = 64 << 20, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """The documents as Parquet, one folder per shard; ids must occur once."""
-    placed = shards(docs, limit, id_col, text_col).select(F.col(id_col).alias("__id"), F.format_string("%02d-%x-%d", "depth", "bucket", "chain").alias("shard"))
-    found = docs.join(placed, docs[id_col].eqNullSafe(F.col("__id"))).drop("__id")
+def write_shards(docs: DataFrame, path: str, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> None:
+    """The documents as Parquet under ``path``, one folder ``shard=depth-bucket-chain`` per shard.
+
+    Ids must occur once: an id that is repeated, or null in two rows, raises ValueError, as
+    rows of one id may be of several shards. An empty table gives no folder; no column may be
+    named like ``shard``."""
+    placed = cut(shards(docs, limit, id_col, text_col).select(F.col(id_col).alias("id"), F.format_string("%02d-%x-%d", "depth", "bucket", "chain").alias("shard")))
+    if not placed.groupBy("id").count().where("count > 1").isEmpty():
+        raise ValueError(f"{id_col} must be different in every row")
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("mine"))
+    found = rows.join(placed, F.col("mine").eqNullSafe(F.col("id"))).select("row.*", "shard")
     found.repartition("shard").write.partitionBy("shard").parquet(path)
 
 
@@ -104,5 +113,5 @@ WITH docs AS (
 )
 SELECT doc_id, arg_min(bytes, u.depth) AS bytes, min(u.depth) AS depth, arg_min(u.bucket, u.depth) AS bucket, CAST(0 AS BIGINT) AS chain
 FROM up u JOIN sums s ON u.depth = s.depth AND u.bucket = s.bucket
-WHERE s.total <= 67108864 GROUP BY doc_id
+WHERE s.total <= 163840 GROUP BY doc_id
 """

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bytes_of, cut, per_text, ranges
+from .common import bytes_of, cut, join_hot, per_text, ranges
 from .graph import components
 
 #: Distinct fingerprints on a signature from which on pairs are no longer formed.
@@ -106,11 +106,15 @@ def links(distinct: DataFrame, distance: int = 3, dense: int = DENSE) -> DataFra
     in ``distance`` (1 to 3) bits at most. ``distinct`` has one row per ``fp``."""
     if not 1 <= distance <= 3:
         raise ValueError("distances from 1 to 3 are supported")
-    on = Window.partitionBy("sig", "key")
-    shared = cut(signatures(distinct, distance).withColumn("n", F.count(F.lit(1)).over(on)).where("n > 1"))
+    # Counted by aggregation: a signature of many fingerprints never meets in one task. Two on a
+    # signature are its least and its greatest; only those of three and more are looked up.
+    signed = signatures(distinct, distance)
+    held = cut(signed.groupBy("sig", "key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1"))
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance
+    shared = cut(signed.join(held.where("n > 2").select("sig", "key", "n"), ["sig", "key"]))
     few = shared.where(F.col("n") <= dense)
-    pairs = few.select("sig", "key", F.col("fp").alias("a")).join(few.select("sig", "key", F.col("fp").alias("b")), ["sig", "key"]).where((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
+    more = few.select("sig", "key", F.col("fp").alias("a")).join(few.select("sig", "key", F.col("fp").alias("b")), ["sig", "key"]).where(F.col("a") < F.col("b")).select("a", "b")
+    pairs = held.where("n = 2").select("a", "b").union(more).where(near).distinct()
     crowd = shared.where(F.col("n") > dense)
     if crowd.isEmpty():
         return pairs
@@ -143,29 +147,33 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     others. Rows with a null id are returned with the component of the others (null if all
     ids in it are null). Repeated rows come back as often as they occur."""
     rows = cut(docs.select(F.col(id_col).alias("id"), fingerprint(words)(F.col(text_col)).alias("fp")))
-    own = cut(rows.groupBy("fp").agg(F.min("id").alias("least")))
+    own = cut(rows.groupBy("fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")))
     group = components(links(own.select("fp"), distance)).withColumnRenamed("node", "fp")
-    named = own.join(group, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    final = named.join(least, "component").select("fp", "component_id")
-    return rows.join(final, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+    named = cut(own.join(group, "fp", "left").withColumn("component", F.coalesce("component", "fp")))
+    least = named.groupBy("component").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("texts"))
+    final = cut(join_hot(named, cut(least), "component", "texts").select("fp", "n", "component_id"))
+    return join_hot(rows, final, "fp", "n").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, distance: int = 3) -> DataFrame:
     """``docs`` with one row of each group: the one of the smallest id, and of the rows with
     that id the first by hash. A row with a null id stays only where no other is in its group.
 
-    All columns are kept. The survivor of a group is found by aggregation before any join,
-    so that a large group never meets in one task."""
+    All columns are kept, whatever their names; an empty table gives an empty one. The survivor of
+    a group is found by aggregation before any join, so that a large group never meets in one task."""
     keep = docs.select(F.col(id_col).alias("id"), fingerprint(words)(F.col(text_col)).alias("fp"), F.xxhash64(F.col(text_col)).alias("h"))
     rows = cut(keep)
     own = cut(rows.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("z"), "id", "h")).alias("best")))
     group = components(links(own.select("fp"), distance)).withColumnRenamed("node", "fp")
     named = own.join(group, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    chosen = named.groupBy("component").agg(F.min("best").alias("best")).select(F.col("best.id").alias("__id"), F.col("best.h").alias("__h"))
-    times = rows.groupBy(F.col("id").alias("__id"), F.col("h").alias("__h")).agg(F.count(F.lit(1)).alias("__times"))
-    chosen = cut(chosen.join(times, chosen["__id"].eqNullSafe(times["__id"]) & chosen["__h"].eqNullSafe(times["__h"])).select(chosen["__id"], chosen["__h"], "__times"))
-    found = docs.join(chosen, docs[id_col].eqNullSafe(F.col("__id")) & F.xxhash64(docs[text_col]).eqNullSafe(F.col("__h")))
-    if chosen.where("__times > 1").isEmpty():
-        return found.select(*[docs[c] for c in docs.columns])
-    return found.dropDuplicates(["__id", "__h"]).select(*[docs[c] for c in docs.columns])
+    chosen = named.groupBy("component").agg(F.min("best").alias("best")).select("best.id", "best.h")
+    times = rows.groupBy(F.col("id").alias("same_id"), F.col("h").alias("same_h")).agg(F.count(F.lit(1)).alias("times"))
+    chosen = cut(chosen.join(times, F.col("id").eqNullSafe(F.col("same_id")) & (F.col("h") == F.col("same_h"))).select("id", "h", "times"))
+    mine = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("my_id"), F.xxhash64(F.col(text_col)).alias("my_h"))
+    found = mine.join(chosen, F.col("my_id").eqNullSafe(F.col("id")) & (F.col("my_h") == F.col("h")))
+    once = found.where("times = 1").select("row.*")
+    if chosen.where("times > 1").isEmpty():
+        return once
+    twice = found.where("times > 1").withColumn("first", F.xxhash64("row"))
+    # One of the rows alike: all but the first by hash go in a task each, before any meet.
+    return once.union(twice.groupBy("id", "h").agg(F.min_by("row", "first").alias("row")).select("row.*"))
