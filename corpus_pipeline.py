@@ -2,7 +2,8 @@
 
 Every stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame, which is written as
 Parquet and read again as the next stage's ``docs``. All but the last keep the columns of
-``documents``.
+``documents``, whatever their names, and of an empty table make an empty one. Repeated rows
+are documents of their own, but for the near-duplicates stage.
 """
 
 from __future__ import annotations
@@ -17,34 +18,36 @@ from hushframe.llm.common import shared_dir
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the model knows; those it rejects (no text, no letter) go.
-    Where no row has a language to learn from, all texts with a letter stay."""
+    """Documents in a language that the model knows; those it rejects (null or empty text, or no
+    letter) go. Where no row has a language to learn from, all texts with a letter stay."""
     model = langid.train(docs)
     if model is None:
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    told = docs.withColumn("__told", langid.predict(model, spark)(F.col("text")))
-    return told.where(F.col("__told.lang") != "und").select(*docs.columns)
+    told = docs.select(F.struct("*").alias("row"), langid.predict(model, spark)(F.col("text")).alias("told"))
+    return told.where(F.col("told.lang") != "und").select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one of the smallest id."""
+    """One document of each group of near-duplicates: the one of the smallest id. Texts without
+    words, null ones included, are one group."""
     return simhash.drop_near_duplicates(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with personal data replaced by its kind."""
-    clean = docs.withColumn("__text", F.when(F.col("text").isNotNull(), pii_crf.redact(spark)(F.col("text"))))
-    changed = {"text": F.col("__text").alias("text"), "n_chars": F.length("__text").cast("long").alias("n_chars")}
-    return clean.select(*[changed.get(c, F.col(c)) for c in docs.columns])
+    """The documents with personal data replaced by its kind; null texts stay null."""
+    clean = docs.select(F.struct("*").alias("row"), F.when(F.col("text").isNotNull(), pii_crf.redact(spark)(F.col("text"))).alias("clean"))
+    changed = {"text": F.col("clean").alias("text"), "n_chars": F.length("clean").cast("long").alias("n_chars")}
+    return clean.select(*[changed.get(c, F.col("row")[c].alias(c)) for c in docs.columns])
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents as often as the mix of sources takes them."""
+    """The documents as often as the mix of sources takes them; a null text has no words, and is
+    taken like other short ones, a null source is a source."""
     return mixing.take(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents, packed into sequences."""
+    """The pieces of all documents, packed into sequences; an empty text is its end id alone."""
     return packing.pack(docs)
 
 

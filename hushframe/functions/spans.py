@@ -30,28 +30,45 @@ def piece(text: Column, s: Column) -> Column:
     return F.substring(text, s["start"] + 1, s["end"] - s["start"])
 
 
-def scan(text: Column, pattern: str, tag: str, group: int = 0, test: Callable[[Column], Column] | None = None) -> Column:
-    """Spans of a pattern's matches, left to right; null text: none.
+MATCHES = "struct<rank:int,between:array<string>,whole:array<string>,value:array<string>>"
 
-    Spark tells matches, not places: the text split at the matches gives what lies between,
-    and running lengths give the places. ``group`` must end the match. A match that fails
-    ``test`` is dropped but has used up its text. The pattern must not match nothing."""
+
+def matches(text: Column, pattern: str, group: int = 0, rank: int = 0, hint: Column | None = None) -> Column:
+    """What a pattern matches: what lies between the matches, the matches, and the values of
+    ``group``; null where there are none. ``hint``, a cheap condition that every text with a
+    match fulfils, saves other texts the pattern."""
     p = F.lit(pattern)
-    between = F.split(text, pattern, -1)
     whole = F.regexp_extract_all(text, p, F.lit(0))
-    value = whole if not group else F.regexp_extract_all(text, p, F.lit(group))
-    parts = F.zip_with(F.zip_with(between, whole, lambda b, m: F.struct(b.alias("b"), m.alias("m"))), value, lambda x, v: F.struct(x["b"].alias("b"), x["m"].alias("m"), v.alias("v")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("out"))
+    value = F.regexp_extract_all(text, p, F.lit(group)) if group else whole
+    found = F.struct(F.lit(rank).alias("rank"), F.split(text, pattern, -1).alias("between"), whole.alias("whole"), value.alias("value")).cast(MATCHES)
+    seen = F.rlike(text, p)
+    return F.when(seen if hint is None else hint & seen, found)
+
+
+def placed(found: Column) -> Column:
+    """The places of matches: ``array<struct<rank, start, end, value>>``, from left to right.
+
+    Spark tells matches, not places: the running lengths of what lies between them and of the
+    matches give the places. The group must end the match."""
+    ends = F.zip_with(found["between"], found["whole"], lambda b, m: F.struct(F.length(b).alias("b"), F.length(m).alias("m")))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
-        end = acc["at"] + F.length(x["b"]) + F.coalesce(F.length(x["m"]), F.lit(0))
-        hit = F.struct((end - F.length(x["v"])).alias("start"), end.alias("end"), x["v"].alias("value"))
-        return F.struct(end.alias("at"), F.when(x["m"].isNotNull(), F.concat(acc["out"], F.array(hit))).otherwise(acc["out"]).alias("out"))
+        end = acc["at"] + x["b"] + x["m"]
+        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(end)).alias("out"))
+
+    ends = F.aggregate(F.slice(ends, F.lit(1), F.size(found["whole"])), start, step, lambda acc: acc["out"])
+    return F.zip_with(ends, found["value"], lambda end, v: F.struct(found["rank"].alias("rank"), (end - F.length(v)).alias("start"), end.alias("end"), v.alias("value")))
+
 
-    found = F.aggregate(parts, start, step, lambda acc: acc["out"])
+def scan(text: Column, pattern: str, tag: str, group: int = 0, test: Callable[[Column], Column] | None = None, hint: Column | None = None) -> Column:
+    """Spans of a pattern's matches, left to right; null text: none. A match that fails ``test``
+    is dropped but has used up its text. The pattern must not match nothing."""
+    hits = F.transform(F.filter(F.array(matches(text, pattern, group, 0, hint)), lambda m: m.isNotNull()), placed)
+    hits = F.flatten(hits)
     if test:
-        found = F.filter(found, lambda s: test(s["value"]))
-    return F.when(F.rlike(text, p), F.transform(found, lambda s: span(F.lit(tag), s["start"], s["end"]))).otherwise(none())
+        hits = F.filter(hits, lambda h: test(h["value"]))
+    return F.transform(hits, lambda h: span(F.lit(tag), h["start"], h["end"]))
 
 
 def overlaps(a: Column, b: Column) -> Column:
@@ -63,6 +80,28 @@ def first_wins(spans: Column) -> Column:
     return F.aggregate(spans, none(), lambda acc, x: F.when(F.exists(acc, lambda a: overlaps(a, x)), acc).otherwise(F.concat(acc, F.array(x))))
 
 
+def first_rule_wins(rules: Column) -> Column:
+    """``array<array<span>>``, one array of disjoint spans from left to right per rule, in order of
+    rules: takes each span unless it overlaps one of a rule before. One sorted sweep per rule."""
+    mark = lambda spans, own: F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(own).alias("own"), s["end"].alias("end"), s["tag"].alias("tag")))
+    plain = lambda e: span(e["tag"], e["start"], e["end"])
+
+    def add(taken: Column, more: Column) -> Column:
+        # The sweep holds a new span back until the next one taken is seen to begin after it.
+        start = F.struct(F.lit(0).alias("till"), F.lit(None).cast(SPAN).alias("held"), none().alias("out"))
+
+        def step(acc: Column, e: Column) -> Column:
+            ends = acc["held"].isNull() | ((e["own"] == 0) & (e["start"] < acc["held"]["end"]))
+            out = F.when(ends, acc["out"]).otherwise(F.concat(acc["out"], F.array(acc["held"])))
+            held = F.when((e["own"] == 1) & (e["start"] >= acc["till"]), plain(e))
+            return F.struct(F.when(e["own"] == 0, e["end"]).otherwise(acc["till"]).alias("till"), held.alias("held"), out.alias("out"))
+
+        last = lambda acc: F.when(acc["held"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(acc["held"])))
+        return F.when(F.size(taken) == 0, more).otherwise(F.concat(taken, F.aggregate(F.array_sort(F.concat(mark(taken, 0), mark(more, 1))), start, step, last)))
+
+    return F.aggregate(rules, none(), add)
+
+
 def clear_of(spans: Column, others: Column) -> Column:
     """The spans that overlap none of ``others``."""
     return F.filter(spans, lambda s: ~F.exists(others, lambda o: overlaps(s, o)))

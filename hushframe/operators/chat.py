@@ -55,19 +55,30 @@ def names_of(sent_by: Column) -> Column:
 
 
 def _find(texts: pa.Array, names: pa.Array) -> pa.Array:
+    """The names of each row anywhere in its text; longer names come first and keep their place."""
     out = []
     for text, some in zip(texts.to_pylist(), names.to_pylist(), strict=True):
+        parts = [regex.escape(n) if regex.match(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}]", n) else rf"(?<![\p{{L}}\p{{N}}]){regex.escape(n)}(?![\p{{L}}\p{{N}}])" for n in some or []]
         spans: list[tuple[int, int]] = []
-        for n in some or []:
-            free = regex.match(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}]", n)
-            pattern = regex.escape(n) if free else rf"(?<![\p{{L}}\p{{N}}]){regex.escape(n)}(?![\p{{L}}\p{{N}}])"
-            for m in regex.finditer(pattern, text or ""):
-                if not any(m.start() < b and m.end() > a for a, b in spans):
-                    spans.append(m.span())
+        for part in parts:
+            found = [m.span() for m in regex.finditer(part, text or "")]
+            spans = joined(spans, found)
         out.append([{"tag": "NAME", "start": a, "end": b} for a, b in spans])
     return pa.array(out, pa.list_(pa.struct([("tag", pa.string()), ("start", pa.int32()), ("end", pa.int32())])))
 
 
+def joined(taken: list[tuple[int, int]], more: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans in order, with those of ``more`` that overlap none of them: one sorted sweep."""
+    out, till, k = [], 0, 0
+    for a, b in more:
+        while k < len(taken) and taken[k][0] < b:
+            till = taken[k][1]
+            k += 1
+        if a >= till:
+            out.append((a, b))
+    return sorted(taken + out)
+
+
 _find.__annotations__ = {"texts": pa.Array, "names": pa.Array, "return": pa.Array}
 
 

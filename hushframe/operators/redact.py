@@ -1,7 +1,7 @@
 """Detection and masking of sensitive text: the core operators.
 
 Everything but pseudonyms is one chain of native column expressions, computed in stages so
-that no expression is evaluated twice; there is no shuffle.
+that patterns stand in the plan once; there is no shuffle.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
-from ..functions.spans import SPANS, clear_of, coalesce, first_wins, none, piece, rebuilt, scan, span, trimmed
+from ..functions.spans import SPANS, clear_of, coalesce, first_rule_wins, none, piece, rebuilt, scan, span, trimmed
 from .names import pseudonyms
 
 STYLES = ("labels", "numbered", "blocks", "redacted", "fake")
@@ -23,7 +23,7 @@ def detect_patterns(text: Column, upto: str | None = None) -> Column:
     order = [*R.NATIONAL, *R.GENERAL, R.FOREIGN_DATES]
     if upto:
         order = order[: [r.name for r in order].index(upto) + 1]
-    return first_wins(F.concat(*[r.spans(text) for r in order]))
+    return first_rule_wins(R.detect(text, order))
 
 
 def literal(term: str) -> str:
@@ -54,6 +54,13 @@ def enabled_only(spans: Column, enabled: list[str], category_of: dict[str, str]
     return F.filter(spans, lambda s: s["tag"].isin(tags))
 
 
+def free(df: DataFrame, name: str) -> str:
+    """A name for a column of our own that ``df`` does not have."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
 def with_spans(df: DataFrame, text: str = "text", out: str = "spans", enabled: list[str] | None = None, terms: list[str] | None = None, extra: str | None = None, model: str | None = None, category_of: dict[str, str] | None = None) -> DataFrame:
     """Adds ``out``: what to hide in ``text``, sorted and disjoint.
 
@@ -61,11 +68,13 @@ def with_spans(df: DataFrame, text: str = "text", out: str = "spans", enabled: l
     of a name model's spans. Categories are filtered after detection, so that a rule that is
     off still shields its text. A null text has no spans."""
     t = F.col(text)
-    df = df.withColumn("__found", detect_patterns(t))
+    found, every = free(df, "__found"), free(df, "__all")
+    df = df.withColumn(found, detect_patterns(t))
     own = F.coalesce(F.col(extra), none()) if extra else none()
-    df = df.withColumn("__all", F.concat(own, clear_of(F.col("__found"), own), model_tags(F.col(model)) if model else none(), detect_terms(t, terms or [])))
-    df = df.withColumn("__all", coalesce(enabled_only(F.col("__all"), enabled or R.DEFAULT_ON, category_of)))
-    return df.withColumn(out, F.coalesce(trimmed(t, F.col("__all")), none())).drop("__found", "__all")
+    left = clear_of(F.col(found), own) if extra else F.col(found)
+    df = df.withColumn(every, F.concat(own, left, model_tags(F.col(model)) if model else none(), detect_terms(t, terms or [])))
+    df = df.withColumn(every, coalesce(enabled_only(F.col(every), enabled or R.DEFAULT_ON, category_of)))
+    return df.withColumn(out, F.coalesce(trimmed(t, F.col(every)), none())).drop(found, every)
 
 
 def with_values(df: DataFrame, text: str = "text", spans: str = "spans", out: str = "values") -> DataFrame:
@@ -87,11 +96,12 @@ def masked(df: DataFrame, style: str = "labels", text: str = "text", spans: str
     leave as they are; they use up their number or name all the same. Null text: null."""
     if style not in STYLES:
         raise ValueError(f"style must be one of {STYLES}")
-    df = with_values(df, text, spans, "__values")
-    values = F.col("__values")
-    df = df.withColumn("__n", numbers(values) if style in ("numbered", "fake") else F.transform(values, lambda v: F.lit(0)))
+    at, n, fake, subs = (free(df, c) for c in ("__values", "__n", "__fake", "__subs"))
+    df = with_values(df, text, spans, at)
+    values = F.col(at)
+    df = df.withColumn(n, numbers(values) if style in ("numbered", "fake") else F.transform(values, lambda v: F.lit(0)))
     names = F.transform(values, lambda v: F.when(v["tag"] == "NAME", v["value"]))
-    df = df.withColumn("__fake", pseudonyms(names) if style == "fake" else F.transform(values, lambda v: F.lit(None).cast("string")))
+    df = df.withColumn(fake, pseudonyms(names) if style == "fake" else F.transform(values, lambda v: F.lit(None).cast("string")))
     left = F.coalesce(F.col(kept), F.array().cast("array<string>")) if kept else None
 
     def sub(v: Column, extra: Column) -> Column:
@@ -107,14 +117,15 @@ def masked(df: DataFrame, style: str = "labels", text: str = "text", spans: str
             new = F.when(F.array_contains(left, F.concat_ws(":", v["start"], v["end"])), v["value"]).otherwise(new)
         return F.struct(v["start"].alias("start"), v["end"].alias("end"), new.alias("sub"))
 
-    extras = F.zip_with(F.col("__n"), F.col("__fake"), lambda n, f: F.struct(n.alias("n"), f.alias("f")))
-    df = df.withColumn("__subs", F.zip_with(values, extras, sub))
-    return df.withColumn(out, rebuilt(F.col(text), F.col("__subs"))).drop("__values", "__n", "__fake", "__subs")
+    extras = F.zip_with(F.col(n), F.col(fake), lambda n, f: F.struct(n.alias("n"), f.alias("f")))
+    df = df.withColumn(subs, F.zip_with(values, extras, sub))
+    return df.withColumn(out, rebuilt(F.col(text), F.col(subs))).drop(at, n, fake, subs)
 
 
 def redact(df: DataFrame, style: str = "labels", text: str = "text", out: str = "masked", **options) -> DataFrame:
     """``with_spans`` and ``masked`` in one."""
-    return masked(with_spans(df, text, "__spans", **options), style, text, "__spans", out).drop("__spans")
+    spans = free(df, "__spans")
+    return masked(with_spans(df, text, spans, **options), style, text, spans, out).drop(spans)
 
 
 def counts(df: DataFrame, spans: str = "spans", by: list[str] | None = None) -> DataFrame:

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from ..functions import rules as R
 from ..functions.spans import piece, scan
 from ..operators import entities, layout, screens, tracking, words
-from .texts import spans_sql, table
+from ..session import table
+from .texts import spans_sql
 
 EMAIL = next(r for r in R.GENERAL if r.name == "email")
 WORD, LINE, PAGE = 12, 40, 480

@@ -10,13 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
-from ..functions.spans import coalesce, first_wins, piece
+from ..functions.spans import coalesce, first_rule_wins, piece
 from ..operators.chat import anonymize
 from ..operators.redact import detect_terms, masked, redact
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+from ..session import table
 
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,7 +49,7 @@ PLAIN = {
     "ip": (r"\b(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)\b|\b(?:[0-9a-f]{1,4}:){7}[0-9a-f]{1,4}\b", 0, "i", "true"),
     "date": (rf"\b\d{{4}}[-/.]\d{{1,2}}[-/.]\d{{1,2}}\b|\b\d{{1,2}}[/.-]\d{{1,2}}[/.-]\d{{2,4}}\b|\b\d{{1,2}}(?:st|nd|rd|th)? (?:{R.ENGLISH_MONTHS})\.?,? \d{{4}}\b|\b(?:{R.ENGLISH_MONTHS})\.? \d{{1,2}}(?:st|nd|rd|th)?,? \d{{4}}\b", 0, "i", "true"),
     "postcode": (r"\b[A-Z]{1,2}\d[A-Z\d]? ?\d[A-Z]{2}\b", 0, "", "true"),
-    "street": (rf"\b\d{{1,5}}[A-Z]?,? (?:[A-Z][a-z]+ ){{1,3}}(?:{'|'.join(R.STREETS)})\b", 0, "", "true"),
+    "street": (rf"\b\d{{1,5}}[A-Z]?,? (?:[A-Z][a-z]+ ){{1,3}}(?:{R.STREETS})\b", 0, "", "true"),
 }
 
 
@@ -83,14 +80,14 @@ def emails_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
 def first_come(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First come first served over four rules that overlap."""
     by = {r.name: r for r in R.GENERAL}
-    found = first_wins(F.concat(*[by[n].spans(F.col("text")) for n in ("assigned", "email", "card", "ip")]))
+    found = first_rule_wins(R.detect(F.col("text"), [by[n] for n in ("assigned", "email", "card", "ip")]))
     return exploded(texts(spark, sf_dir).withColumn("s", found), "s")
 
 
 def coalesced(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overlaps of the same rules joined; bounds only, as SQL tells them by islands."""
     by = {r.name: r for r in R.GENERAL}
-    found = coalesce(F.concat(*[by[n].spans(F.col("text")) for n in ("assigned", "email", "card", "ip")]))
+    found = coalesce(F.flatten(R.detect(F.col("text"), [by[n] for n in ("assigned", "email", "card", "ip")])))
     return exploded(texts(spark, sf_dir).withColumn("s", found), "s").select("id", "start", "end", "value")
 
 
@@ -138,7 +135,7 @@ def chats(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tags_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An audit: hidden spans by source and language with subtotals, over three rules."""
     by = {r.name: r for r in R.GENERAL}
-    docs = table(spark, sf_dir, "documents").withColumn("spans", F.concat(*[by[n].spans(F.col("text")) for n in ("email", "card", "ip")]))
+    docs = table(spark, sf_dir, "documents").withColumn("spans", F.flatten(R.detect(F.col("text"), [by[n] for n in ("email", "card", "ip")])))
     rows = docs.select("source", "lang", F.explode("spans").alias("s")).select("source", "lang", F.col("s.tag").alias("tag"))
     return rows.rollup("source", "lang", "tag").agg(F.count(F.lit(1)).alias("n"), F.grouping_id().alias("level"))
 

@@ -7,7 +7,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Settings a session should have; the caller's own win.
 DEFAULTS = {
@@ -23,6 +23,14 @@ def session(master: str | None = None, **conf) -> SparkSession:
     return (builder.master(master) if master else builder).getOrCreate()
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of ``sf_dir``. One of fewer files than there are cores would keep as few cores busy,
+    so its rows are dealt to all of them; a table of more files is read as it lies."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if 0 < len(df.inputFiles()) < cores else df
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package to the executors, once per context, so that its functions can be
     imported there even if the cluster does not have it installed."""

@@ -1,11 +1,16 @@
+import random
+import re
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
 from hushframe.functions import rules as R
-from hushframe.functions.spans import coalesce, first_wins, span, split_at_lines
-from hushframe.operators.chat import anonymize
+from hushframe.functions.spans import coalesce, first_rule_wins, first_wins, span, split_at_lines, trimmed
+from hushframe.operators.chat import anonymize, joined, senders
 from hushframe.operators.names import fakes
-from hushframe.operators.redact import parse_terms, redact, with_spans
+from hushframe.operators.redact import counts, parse_terms, redact, with_spans
+from hushframe.operators.redact import masked as mask_with
 
 
 def masked(spark, text, style="labels", **options):
@@ -99,3 +104,83 @@ def test_chat(spark):
     out = anonymize(spark.createDataFrame([(text,), (None,), ("Note: x",)], "text string")).collect()
     assert out[0]["masked"] == "[12/03/2025, 14:05:12] Sam: Hi Jordan, call [PHONE_1]\n[12/03/2025, 14:06:40] Jordan: ok @Sam"
     assert out[1]["masked"] is None and out[2]["masked"] == "Note: x"
+
+
+def test_long_texts(spark):
+    n = 100_000
+    texts = ["a." * n, "a" * n, "@" * n, "a@" * n, "1" * n, "1 " * n, "-----BEGIN PRIVATE KEY-----" * (n // 20), "a-" * n, "a:" * n, "+1(2) " * (n // 3), "Jan " * (n // 2)]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").repartition(4)
+    rules = [*R.NATIONAL, *R.GENERAL, R.FOREIGN_DATES, R.DOMAIN, R.HANDLE, R.SCREEN_DATE, R.MENTION, *R.SECRETS]
+    began = time.time()
+    assert rows.select(F.size(F.flatten(R.detect(F.col("text"), rules)))).count() == len(texts)
+    assert rows.select(F.size(F.flatten(R.detect(F.col("text"), rules))).alias("n")).agg(F.sum("n")).first()[0] is not None
+    assert time.time() - began < 100  # quadratic ones take hours, and recursion ends the JVM
+
+
+def test_emails_begin_where_a_word_does(spark):
+    texts = [".a@b.co", "a@b.co.c@d.org", "é.x@y.zz", "x@y", "a.b@c.de,f@g.hi", "%%a@b.com", "a@b@c.org", "_@b.co", "-@b.co"]
+    rule = next(r for r in R.GENERAL if r.name == "email")
+    found = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string").select("i", "text", rule.spans(F.col("text")).alias("s")).orderBy("i").collect()
+    plain = re.compile(r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b", re.ASCII)
+    assert [[r["text"][s["start"] : s["end"]] for s in r["s"]] for r in found] == [plain.findall(t) for t in texts]
+
+
+def test_hints_hold_where_patterns_match(spark):
+    rng = random.Random(3)
+    parts = ["12345678Z", "sk-abcdefghijklmnopqrst", "pass: abcdef", "a@b.co", "https://x.io/a", "GB29NWBK60161331926819", "4111 1111 1111 1111", "078-05-1120", "AB 12 34 56 C", "a:b:c:d:e:f:a:b", "aa:bb:cc:dd:ee:ff", "aaaa.bbbb.cccc", "2024-01-02", "+44 20 7946 0958", "NW1 6XE", "12 Baker Street", "Lunes", "MIÉRCOLES", "Aujourd’hui", "vor 3 Tagen", "星期一", "昨天", "วันนี้", " ", "\n", "é", "-"]
+    texts = ["".join(rng.choice(parts) + rng.choice(["", " "]) for _ in range(rng.randint(1, 3))) for _ in range(400)]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    for rule in [*R.NATIONAL, *R.GENERAL, R.FOREIGN_DATES, *R.SECRETS]:
+        missed = rows.where(F.rlike("text", F.lit(rule.pattern)) & ~rule.likely(F.col("text")))
+        assert missed.isEmpty(), rule.name
+    each = rows.select(R.detect(F.col("text"), R.GENERAL).alias("a"), F.filter(F.array(*[r.spans(F.col("text")) for r in R.GENERAL]), lambda s: F.size(s) > 0).alias("b"))
+    assert each.where(F.filter("a", lambda s: F.size(s) > 0) != F.col("b")).isEmpty()
+
+
+def test_the_sweep_takes_what_first_wins_takes(spark):
+    rng = random.Random(4)
+    rows = []
+    for _ in range(200):
+        rules = []
+        for _ in range(rng.randint(0, 4)):
+            at, spans = 0, []
+            for _ in range(rng.randint(0, 5)):
+                at += rng.randint(0, 4)
+                spans.append((rng.choice("AB"), at, at := at + rng.randint(1, 4)))
+            rules.append(spans)
+        rows.append((rules,))
+    df = spark.createDataFrame(rows, "r array<array<struct<tag:string,start:int,end:int>>>")
+    both = df.select(F.array_sort(first_rule_wins(F.col("r"))).alias("a"), F.array_sort(first_wins(F.flatten("r"))).alias("b"))
+    assert both.where("a <> b").isEmpty()
+
+
+def test_names_found_by_sweep():
+    assert joined([(5, 9), (20, 24)], [(0, 5), (4, 6), (8, 10), (9, 20), (23, 30)]) == [(0, 5), (5, 9), (9, 20), (20, 24)]
+
+
+def test_styles_kept_and_counts(spark):
+    df = spark.createDataFrame([("a@b.co, c@d.co", ["0:6"], "x", 1)], "text string, kept array<string>, __values string, __n int")
+    with_all = with_spans(df)
+    assert with_all.columns == [*df.columns, "spans"]
+    for style, want in [("redacted", "a@b.co, [REDACTED]"), ("numbered", "a@b.co, [EMAIL_2]"), ("labels", "a@b.co, [EMAIL]"), ("blocks", "a@b.co, ██████")]:
+        out = mask_with(with_all, style, kept="kept")
+        assert out.columns == [*with_all.columns, "masked"] and out.first()["masked"] == want
+    assert [tuple(r) for r in counts(with_all, by=["__n"]).collect()] == [(1, "EMAIL", 2)]
+
+
+def test_trim(spark):
+    text = "  ab.) ,"
+    df = spark.createDataFrame([(text,)], "t string").select(trimmed(F.col("t"), F.array(span(F.lit("X"), F.lit(0), F.lit(len(text))), span(F.lit("Y"), F.lit(4), F.lit(8)))))
+    assert [tuple(s) for s in df.first()[0]] == [("X", 2, 4)]
+
+
+@pytest.mark.parametrize("text", ["19 de marzo de 2024", "hace 3 días", "lunes", "1er janvier 2024", "il y a 2 heures", "14h30", "3. März 2024", "vor 2 Tagen", "12 Uhr", "3 maart 2024", "2 dagen geleden", "gisteren", "2024年3月4日", "星期三", "金曜日", "上午 9:30", "3小时前", "วันที่ 3 มกราคม 2567", "เมื่อวาน", "9 โมงเช้า"])
+def test_foreign_dates(spark, text):
+    found = spark.createDataFrame([(f"x {text}.",)], "t string").select(R.FOREIGN_DATES.spans(F.col("t"))).first()[0]
+    assert [(s["start"], s["end"]) for s in found] == [(2, 2 + len(text))]
+
+
+@pytest.mark.parametrize("line", ["[12/03/2025, 14:05] Ann Lee: hi", "12/03/2025, 14:05 - Ann Lee: hi", "[14:05] Ann Lee", "Ann Lee  14:05", "Ann Lee — Today at 14:05"])
+def test_chat_formats(spark, line):
+    text = f"{line}\nhello Ann"
+    assert spark.createDataFrame([(text,)], "t string").select(senders(F.col("t"))).first()[0] == ["Ann Lee"]
