@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import layouts, running, streams, texts
+from .plans import audits, layouts, planted, running, streams, texts
 
-QUERIES = texts.QUERIES | streams.QUERIES | layouts.QUERIES | running.QUERIES
-SQL = texts.SQL | streams.SQL | layouts.SQL | running.SQL
+QUERIES = texts.QUERIES | streams.QUERIES | layouts.QUERIES | running.QUERIES | audits.QUERIES | planted.QUERIES
+SQL = texts.SQL | streams.SQL | layouts.SQL | running.SQL | audits.SQL | planted.SQL

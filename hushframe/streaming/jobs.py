@@ -26,12 +26,18 @@ def mask_to(stream: DataFrame, out: str, checkpoint: str, style: str = "labels",
     return copy.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
 
 
-def windowed(stream: DataFrame, time: str, keys: list[str], every: str = "1 hour", late: str | None = "1 day") -> DataFrame:
-    """Rows by window of time and ``keys``; rows later than ``late`` behind the newest are dropped
-    by the watermark, which also bounds the state. With ``late`` None none is dropped, and the
-    state keeps all windows."""
+def windowed(stream: DataFrame, time: str, keys: list[str], every: str = "1 hour", late: str | None = "1 day", step: str | None = None) -> DataFrame:
+    """Rows by window of time and ``keys``, one window each ``step`` (by default side by side); rows
+    later than ``late`` behind the newest are dropped by the watermark, which also bounds the
+    state. With ``late`` None none is dropped, and the state keeps all windows. Tables work too."""
     seen = stream if late is None else stream.withWatermark(time, late)
-    return seen.groupBy(F.window(time, every).alias("slot"), *keys).agg(F.count(F.lit(1)).alias("n")).select(F.col("slot.start").alias("start"), *keys, "n")
+    return seen.groupBy(F.window(time, every, step).alias("slot"), *keys).agg(F.count(F.lit(1)).alias("n")).select(F.col("slot.start").alias("start"), *keys, "n")
+
+
+def in_sessions(stream: DataFrame, time: str, keys: list[str], gap: str = "30 minutes", late: str | None = "1 day") -> DataFrame:
+    """``(start, end, keys, n)``: runs of rows of a key that come less than ``gap`` apart."""
+    seen = stream if late is None else stream.withWatermark(time, late)
+    return seen.groupBy(F.session_window(time, gap).alias("run"), *keys).agg(F.count(F.lit(1)).alias("n")).select("run.start", "run.end", *keys, "n")
 
 
 def updates_to(counts: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
