@@ -7,10 +7,10 @@ cutting of one text is imperative; joining tokens is windows over a chunk's toke
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
@@ -90,3 +90,36 @@ def named(tokens: DataFrame, by: list[str], chunk: str = "chunk", least: float =
     left = F.length(F.regexp_extract(F.substring("__chunk", F.lit(1), F.col("__s")), f"{SPACED}$", 0))
     right = F.length(F.regexp_extract(F.substring("__chunk", F.col("__e") + 1, F.length("__chunk")), f"^{SPACED}", 0))
     return names.select(*by, "label", (F.col("__s") - left).alias("start"), (F.col("__e") + right).alias("end"), "score")
+
+
+#: The name model of each language.
+MODEL_OF = {
+    "en": "en",
+    "es": "multi",
+    "fr": "multi",
+    "de": "multi",
+    "nl": "multi",
+    "zh-Hans": "multi",
+    "zh-Hant": "multi",
+    "ja": "multi",
+    "th": "th",
+}
+
+
+def model_of(lang: Column) -> Column:
+    """The name model of a language; the English one where there is none for it, or it is null."""
+    known = F.create_map(*[F.lit(x) for pair in MODEL_OF.items() for x in pair])
+    return F.coalesce(known[F.coalesce(lang, F.lit("en"))], F.lit("en"))
+
+
+def once_per_text(df: DataFrame, infer: Callable[[DataFrame], DataFrame], text: str = "text", model: str = "model", out: str = "found") -> DataFrame:
+    """Adds ``out``, what ``infer`` makes of a row's text with its model, asked once per different
+    pair. ``infer`` gets and keeps ``(key, model, text)`` and adds ``out``. Texts are told apart by
+    SHA-256, so only keys are compared; rows of null text or model have a null result."""
+    key = "__key"
+    while key in df.columns:
+        key += "_"
+    rows = df.withColumn(key, F.sha2(F.concat(F.col(model), F.lit("\n"), F.col(text)), 256))
+    asked = rows.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.any_value(model).alias("model"), F.any_value(text).alias("text"))
+    told = infer(asked).select(F.col("key").alias(key), F.col(out))
+    return rows.join(told, key, "left").select(*df.columns, out)

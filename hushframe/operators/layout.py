@@ -77,3 +77,28 @@ def merged_rects(rects: DataFrame, by: list[str]) -> DataFrame:
     folded = F.aggregate("__rects", F.array().cast(f"array<{box}>"), step)
     grouped = rects.groupBy(*by).agg(ordered.cast(f"array<{box}>").alias("__rects"))
     return grouped.select(*by, F.explode(folded).alias("r")).select(*by, "r.x0", "r.y0", "r.x1", "r.y1")
+
+
+def keyed_bars(rects: DataFrame, by: list[str]) -> DataFrame:
+    """Adds ``i``, a bar's place among those of its span, and ``key``: page, start, end and ``i``.
+    ``rects`` has the columns ``by`` of a page, ``start`` and ``end``."""
+    within = Window.partitionBy(*by, "start", "end").orderBy("y0", "x0", "y1", "x1")
+    rows = rects.withColumn("i", F.row_number().over(within) - 1)
+    return rows.withColumn("key", F.concat_ws(":", *by, "start", "end", "i"))
+
+
+def switched(bars: DataFrame, off: DataFrame, manual: DataFrame | None = None) -> DataFrame:
+    """Adds ``on``: false for bars whose ``key`` is in ``off``. ``manual`` bars (columns of ``bars`` but
+    for ``key``, null there, and their own ``on``) are added; a null ``on`` counts as off."""
+    gone = off.where(F.col("key").isNotNull()).select("key").distinct().withColumn("gone", F.lit(True))
+    rows = bars.join(gone, "key", "left").withColumn("on", F.col("gone").isNull()).drop("gone")
+    return rows if manual is None else rows.unionByName(manual.withColumn("on", F.coalesce("on", F.lit(False))), allowMissingColumns=True)
+
+
+def status(pages: DataFrame, bars: DataFrame, doc: str) -> DataFrame:
+    """``(doc, pages, bars, on, scan)`` of ``pages (doc, text)`` and ``bars (doc, on)``; ``scan`` tells that
+    no page has text. A document without bars has 0 of them."""
+    written = F.count_if(F.coalesce(F.col("text"), F.lit("")).rlike(r"(?U)\S"))
+    page = pages.groupBy(doc).agg(F.count(F.lit(1)).alias("pages"), (written == 0).alias("scan"))
+    bar = bars.groupBy(doc).agg(F.count(F.lit(1)).alias("bars"), F.count_if("on").alias("on"))
+    return page.join(bar, doc, "left").select(doc, "pages", F.coalesce("bars", F.lit(0)).alias("bars"), F.coalesce("on", F.lit(0)).alias("on"), "scan")

@@ -185,3 +185,12 @@ def parents(tracked: DataFrame, on: list[str], track: list[str], lead: float = 0
     fits = beside.groupBy(*on, "child", name.alias("parent")).agg(F.sum("__d").alias("total"), F.max("__d").alias("most"), F.count(F.lit(1)).alias("seen"), F.first("__n").alias("all"))
     best = fits.where((F.col("most") <= NEAR) & (F.col("seen") == F.col("all"))).groupBy(*on, "child").agg(F.min_by("parent", F.struct("total", "parent")).alias("parent"))
     return best.select(*on, *[F.col(f"child.{c}").alias(c) for c in track], *[F.col(f"parent.{c}").alias(f"parent_{c}") for c in track])
+
+
+def shown(covers: DataFrame, parents: DataFrame, off: DataFrame, on: list[str], track: list[str]) -> DataFrame:
+    """The covers of tracks that are not switched off; a track with a parent has its parent's
+    switch. ``off`` has the columns ``on`` and ``track``; ``parents`` is the result of that name."""
+    led = covers.join(parents.select(*on, *track, *[F.col(f"parent_{c}").alias(f"__{c}") for c in track]), [*on, *track], "left")
+    led = led.withColumns({f"__{c}": F.coalesce(f"__{c}", c) for c in track})
+    gone = off.select(*on, *[F.col(c).alias(f"__{c}") for c in track]).distinct()
+    return led.join(gone, [*on, *[f"__{c}" for c in track]], "left_anti").select(*covers.columns)
