@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, packing, pii_crf, quality, sharding, simhash, token_files, topk, toxicity
+from . import langid, mixing, packing, pii_crf, quality, runs, sharding, simhash, token_counts, token_files, topk, toxicity, vector_codes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,5 +57,22 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_pii, op3_sharding, op4_maxscore, op5_simhash, op6_quality, op7_language, op8_packing, op9_token_files, op10_mixing)}
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, books = vector_codes.compress(table(spark, sf_dir, "embeddings"))
+    code = F.array_join(F.transform("codes", lambda c: F.lower(F.lpad(F.hex(c), 2, "0"))), "")
+    told = vector_codes.label_errors(found)
+    return told.select("vec_id", code.alias("code"), "error", "label_error", F.lit(vector_codes.digest(books)).alias("codebooks_sha256"))
+
+
+def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return runs.summed_up(runs.periodic_runs(docs, text=runs.planted(F.col("doc_id"), F.col("text"))))
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = token_counts.token_counts(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_pii, op3_sharding, op4_maxscore, op5_simhash, op6_quality, op7_language, op8_packing, op9_token_files, op10_mixing, op11_vector_codes, op12_runs, op13_token_counts)}
 SQL = {"op3_sharding": sharding.SQL, "op4_maxscore": topk.SQL, "op10_mixing": mixing.SQL}
