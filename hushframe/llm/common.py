@@ -12,6 +12,7 @@ Conventions that hold for every operator here, unless its docstring says otherwi
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -46,6 +47,25 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet to the shared folder and read back: like ``cut``, and a good deal
+    smaller. ``clean`` takes it away once no result that reads it is needed."""
+    spark = df.sparkSession
+    folder = f"{shared_dir(spark).rstrip('/')}/hushframe-table-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
+
+
+def clean(spark: SparkSession) -> None:
+    """Deletes what ``written`` has left in the shared folder. Call it when no job that reads such a
+    table is running or still to come, whichever session began it."""
+    files = spark.sparkContext._jvm.org.apache.hadoop.fs
+    pattern = files.Path(f"{shared_dir(spark).rstrip('/')}/hushframe-table-*")
+    system = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for found in system.globStatus(pattern) or []:
+        system.delete(found.getPath(), True)
+
+
 def per_text(fn: Callable[[pa.Array], pa.Array], returns: str):
     """An Arrow function over a text column; ``fn`` gets a string array without nulls.
 

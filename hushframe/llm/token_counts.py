@@ -30,13 +30,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import cut, per_text
+from .common import cut, per_text, written
 from .tokens import KINDS, LONGEST, UNUSUAL, Encoder, tokenizer_path
 
 #: One in how many pre-tokens of the corpus a common one is.
-COMMON = 1 << 19
+COMMON = 1 << 20
 #: Distinct pre-tokens a task holds before it passes their counts on.
-HELD = 1 << 17
+HELD = 1 << 20
 TOKENIZER = "byte_bpe_50k.json"
 
 
@@ -157,20 +157,23 @@ def parted(path: str, common) -> Callable[[Column], Column]:
     return per_text(part, "struct<known long, rare array<struct<key string, n long>>>")
 
 
-def token_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None, common: int = COMMON) -> DataFrame:
-    """``(doc_id, n_bytes, n_tokens)`` of every document."""
+def token_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None, common: int = COMMON, fixed: bool = True) -> DataFrame:
+    """``(doc_id, n_bytes, n_tokens)`` of every document. Rows are told apart by their place, so ``docs``
+    has to give them in the same order whenever it is read, as files do; if it does not, as after a
+    shuffle, ``fixed=False`` writes it first."""
     path = path or tokenizer_path(TOKENIZER)
-    spark = docs.sparkSession
-    pieces = cut(counted(frequencies(docs.select(F.col(text)), path), path))
+    docs = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    docs = docs if fixed else cut(docs)
+    pieces = written(counted(frequencies(docs.select("text"), path), path))
     least = (pieces.agg(F.sum("n")).first()[0] or 0) / common
     frequent = pieces.where(F.col("n") > least).select("key", "tokens").toArrow()
-    sent = spark.sparkContext.broadcast(dict(zip(*(c.to_pylist() for c in frequent.columns), strict=True)))
-    whole = F.coalesce(F.col(text), F.lit(""))
-    seen = docs.select(F.col(doc_id).alias("__id"), F.octet_length(whole).cast("long").alias("__bytes"), parted(path, sent)(whole).alias("__seen"))
-    # Written once: the numbers of the rows hold only as long as the rows are not made anew.
-    seen = cut(seen.select(F.monotonically_increasing_id().alias("__row"), "__id", "__bytes", "__seen.*"))
-    rare = seen.select("__row", F.explode("rare").alias("__p")).select("__row", F.col("__p.key").alias("key"), F.col("__p.n").alias("__n"))
-    met = rare.join(pieces.where(F.col("n") <= least).select("key", "tokens"), "key").select("__row", (F.col("__n") * F.col("tokens")).alias("known"))
-    rows = seen.select("__row", "known", "__id", "__bytes", F.lit(True).alias("__own")).unionByName(met, allowMissingColumns=True)
-    total = rows.groupBy("__row").agg(F.sum("known").alias("n_tokens"), F.max(F.struct("__own", "__id", "__bytes")).alias("__doc"))
-    return total.select(F.col("__doc.__id").alias(doc_id), F.col("__doc.__bytes").alias("n_bytes"), "n_tokens")
+    sent = docs.sparkSession.sparkContext.broadcast(dict(zip(*(c.to_pylist() for c in frequent.columns), strict=True)))
+    seen = docs.select(F.monotonically_increasing_id().alias("row"), "id", F.octet_length("text").cast("long").alias("bytes"), parted(path, sent)(F.col("text")).alias("seen"))
+    # A document's own row goes along with its rare pre-tokens, under a key that is no pre-token's.
+    nothing = [F.lit(None).cast(seen.schema[c].dataType).alias(c) for c in ("id", "bytes")]
+    own = F.struct(F.concat(F.lit("\0\0"), F.col("row")).alias("key"), F.col("seen.known").alias("n"), "id", "bytes")
+    rare = F.transform("seen.rare", lambda p: F.struct(p["key"].alias("key"), p["n"].alias("n"), *nothing))
+    rows = seen.select("row", F.explode(F.concat(F.array(own), rare)).alias("p")).select("row", "p.*")
+    met = rows.join(pieces.where(F.col("n") <= least).select("key", "tokens"), "key", "left")
+    total = met.groupBy("row").agg(F.sum(F.col("n") * F.coalesce("tokens", F.lit(1))).alias("n_tokens"), F.max("bytes").alias("n_bytes"), F.first("id", True).alias(doc_id))
+    return total.select(doc_id, "n_bytes", "n_tokens")
