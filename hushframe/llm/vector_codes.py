@@ -30,13 +30,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import join_hot
+from .common import join_hot, written
 
 PARTS, ENTRIES, ROUNDS = 4, 256, 4
 #: Components are 1024ths, up to this.
 SCALE, MOST = 1024.0, 1 << 62
 #: Parts in a leaf.
-LEAF = 24
+LEAF = 64
 
 
 @dataclass
@@ -109,8 +109,8 @@ def nearest(x: np.ndarray, book: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
                 continue
             if parts.left[node] < 0:
                 rows = parts.order[parts.first[node] : parts.end[node]]
-                away = x[rows][:, None] - book[own][None]
-                best = own[np.argmin((away * away).sum(2), axis=1)]
+                near = book[own]
+                best = own[np.argmin((near * near).sum(1) - 2 * (x[rows] @ near.T), axis=1)]
                 codes[rows] = best
                 np.add.at(n, best, 1)
                 np.add.at(sums, best, x[rows])
@@ -137,11 +137,13 @@ def not_beaten(low: np.ndarray, high: np.ndarray, book: np.ndarray, own: np.ndar
 
 
 def matrix(vectors: pa.Array, books: list[np.ndarray]) -> np.ndarray:
-    """The vectors as rows of 64-bit numbers, or of Python's own where squares could be too large."""
+    """The vectors as rows of whole numbers: in doubles where even sums of squares are exact in them,
+    else in 64 bits, else, where squares could be too large for those, in Python's own."""
     width = sum(b.shape[1] for b in books)
     x = vectors.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
     most = max([int(max(abs(int(a.min())), abs(int(a.max())))) for a in (x, *books) if a.size], default=0)
-    return x if width * (8 * most * most) < 1 << 62 else x.astype(object)
+    largest = 8 * width * most * most
+    return x.astype(np.float64 if largest < 1 << 52 else np.int64 if largest < 1 << 62 else object)
 
 
 def starts(width: int, parts: int) -> list[int]:
@@ -167,7 +169,7 @@ def round_of(vectors: DataFrame, books: list[np.ndarray]) -> list[np.ndarray]:
             if batch.num_rows:
                 for part, (_, _, _, count, own) in enumerate(assigned(batch.column(0), books)):
                     n[part] += count
-                    total[part] += own
+                    total[part] += own if own.dtype == object else own.astype(np.int64)
         rows = [(part, e, k, int(n[part][e]), str(total[part][e, k])) for part, b in enumerate(books) for e in np.flatnonzero(n[part]).tolist() for k in range(b.shape[1])]
         columns = list(zip(*rows, strict=True)) or [[]] * 5
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.string()), strict=True)], names=["part", "entry", "k", "n", "total"])
@@ -190,8 +192,8 @@ def whole_numbers(vector: Column) -> Column:
 
 
 def compress(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", label: str = "label", parts: int = PARTS, entries: int = ENTRIES, rounds: int = ROUNDS) -> tuple[DataFrame, list[np.ndarray]]:
-    """``(vec_id, label, codes, error)`` of every vector, and the codebooks. ``error`` is the sum of the
-    parts' squared distances; one beyond 64 bits is given as the largest number of 64 bits."""
+    """``(vec_id, label, codes, error)`` of every vector, written once, and the codebooks. ``error`` is
+    the sum of the parts' squared distances; one beyond 64 bits is given as the largest number of 64 bits."""
     if not 0 < entries <= 256:
         raise ValueError("a code is a byte")
     x = F.col(vector)
@@ -210,13 +212,13 @@ def compress(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", l
 
     def code(vectors: pa.Array) -> pa.Array:
         found = list(assigned(vectors, last)) if len(vectors) else []
-        error = sum(((own - book[codes]) ** 2).sum(1).astype(object) for own, book, codes, _, _ in found)
+        error = sum(((own - book[codes]) ** 2).sum(1) for own, book, codes, _, _ in found)
         codes = np.stack([f[2] for f in found], 1).tolist() if found else []
         return pa.array([{"codes": c, "error": min(int(e), (1 << 63) - 1)} for c, e in zip(codes, error if found else [], strict=True)], pa.struct([("codes", pa.list_(pa.int32())), ("error", pa.int64())]))
 
     code.__annotations__ = {"vectors": pa.Array, "return": pa.Array}
     told = kept.select(vec_id, label, arrow_udf(code, "struct<codes array<int>, error long>").asNondeterministic()("__x").alias("__told"))
-    return told.select(vec_id, label, "__told.*"), books
+    return written(told.select(vec_id, label, "__told.*")), books
 
 
 def label_errors(found: DataFrame, label: str = "label", error: str = "error") -> DataFrame:
@@ -227,3 +229,32 @@ def label_errors(found: DataFrame, label: str = "label", error: str = "error") -
     sums = keyed.groupBy("__label").agg(F.sum(F.col(error).cast("decimal(38,0)")).alias("__sum"), F.count(F.lit(1)).alias("__rows"))
     most = F.lit((1 << 63) - 1)
     return join_hot(keyed, sums, "__label", "__rows").select(*found.columns, F.least(F.col("__sum"), most.cast("decimal(38,0)")).cast("long").alias("label_error"))
+
+
+def sql() -> str:
+    """The same in DuckDB, with every part against every entry, for the production parameters and
+    vectors of one dimension."""
+    vectors = """
+WITH v AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id, embedding) AS r, vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS c, len(embedding) // 4 AS d
+  FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (SELECT r, k, c[k * d + 1 : (k + 1) * d] AS x FROM v, range(4) AS t(k)),
+b0 AS MATERIALIZED (SELECT k, r - 1 AS e, x FROM p WHERE r <= 256)"""
+    near = "(SELECT r, p.k, p.x, min({{'d': list_sum(list_transform(list_zip(p.x, b.x), lambda z: (z[1] - z[2]) ** 2))::BIGINT, 'e': e}}) AS m FROM p JOIN b{0} b ON p.k = b.k GROUP BY r, p.k, p.x)"
+    rounds = [
+        f""",
+a{n} AS MATERIALIZED {near.format(n)},
+m{n} AS (SELECT k, e, i, sum(y)::BIGINT AS s, count(*) AS n FROM (SELECT k, m.e AS e, unnest(x) AS y, unnest(range(len(x))) AS i FROM a{n}) GROUP BY ALL),
+b{n + 1} AS MATERIALIZED (SELECT k, e, coalesce(y, x) AS x FROM b{n} LEFT JOIN (SELECT k, e, list((s - ((s % n) + n) % n) // n ORDER BY i) AS y FROM m{n} GROUP BY ALL) USING (k, e))"""
+        for n in range(ROUNDS)
+    ]
+    return (
+        vectors
+        + "".join(rounds)
+        + f""",
+f AS (SELECT r, string_agg(lower(lpad(to_hex(m.e), 2, '0')), '' ORDER BY k) AS code, sum(m.d)::BIGINT AS error FROM {near.format(ROUNDS)} GROUP BY r)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error,
+  (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY k, e)) FROM b{ROUNDS}) AS codebooks_sha256 FROM f JOIN v USING (r)"""
+    )
+
+
+SQL = sql()
