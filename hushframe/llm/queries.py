@@ -75,4 +75,4 @@ def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_pii, op3_sharding, op4_maxscore, op5_simhash, op6_quality, op7_language, op8_packing, op9_token_files, op10_mixing, op11_vector_codes, op12_runs, op13_token_counts)}
-SQL = {"op3_sharding": sharding.SQL, "op4_maxscore": topk.SQL, "op10_mixing": mixing.SQL}
+SQL = {"op3_sharding": sharding.SQL, "op4_maxscore": topk.SQL, "op10_mixing": mixing.SQL, "op11_vector_codes": vector_codes.SQL, "op12_runs": runs.SQL}

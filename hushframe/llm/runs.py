@@ -218,3 +218,24 @@ def summed_up(found: DataFrame, doc_id: str = "doc_id") -> DataFrame:
         F.sha2(lines, 256).alias("runs_sha256"),
         F.sha2("collapsed", 256).alias("collapsed_sha256"),
     )
+
+
+#: The same in DuckDB: crc32 bit by bit, all pairs of the same word of a text, their diagonals as
+#: islands, and of runs at one place the one of the smallest period.
+SQL = r"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+    xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: list_prepend(unicode(c)::BIGINT, list_transform(range(8), lambda k: -1))))),
+      lambda c, b: CASE WHEN b >= 0 THEN xor(c, b) WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS h FROM documents),
+s AS (SELECT *, len(w) AS n, (h // 10) % len(w) AS a, 1 + (len(w) - (h // 10) % len(w)) // (3 + (h // 10) % 8) AS p FROM t),
+d AS MATERIALIZED (SELECT r, doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i: w[1 + CASE WHEN i >= a THEN a + (i - a) % p ELSE i END]) ELSE w END AS w FROM s),
+u AS MATERIALIZED (SELECT r, n, unnest(w) AS w, unnest(range(n)) AS i FROM d),
+m AS (SELECT x.r, x.i, x.i - y.i AS q FROM u x JOIN u y ON x.r = y.r AND x.w = y.w AND y.i < x.i AND 4 * (x.i - y.i) <= x.n),
+g AS (SELECT r, q, i, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS g FROM m),
+e AS (SELECT r, q, min(i) - q AS start, count(*) + q AS length FROM g GROUP BY r, q, g HAVING count(*) + q >= greatest(6, 4 * q)),
+runs AS MATERIALIZED (SELECT r, start, length, min(q) AS period FROM e GROUP BY r, start, length),
+of AS (SELECT r, count(*) AS n, max({'length': length, 's': -start, 'p': -period}) AS b, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS told FROM runs GROUP BY r),
+gone AS (SELECT DISTINCT r, unnest(range(start + period, start + length)) AS i FROM runs),
+kept AS (SELECT r, string_agg(w, ' ' ORDER BY i) AS c FROM u ANTI JOIN gone USING (r, i) GROUP BY r)
+SELECT doc_id, coalesce(of.n, 0) AS n_runs, -b.s AS start, b.length AS length, -b.p AS period, 1000 * b.length // -b.p AS exponent_milli,
+  sha256(coalesce(told, '')) AS runs_sha256, sha256(coalesce(c, '')) AS collapsed_sha256
+FROM d LEFT JOIN of USING (r) LEFT JOIN kept USING (r)"""
