@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import audits, layouts, pictures, planted, running, streams, texts
+from .plans import audits, layouts, pictures, planted, running, streams, texts, timeline
 
-QUERIES = texts.QUERIES | streams.QUERIES | layouts.QUERIES | running.QUERIES | audits.QUERIES | pictures.QUERIES | planted.QUERIES
-SQL = texts.SQL | streams.SQL | layouts.SQL | running.SQL | audits.SQL | pictures.SQL | planted.SQL
+QUERIES = texts.QUERIES | streams.QUERIES | layouts.QUERIES | running.QUERIES | audits.QUERIES | pictures.QUERIES | planted.QUERIES | timeline.QUERIES
+SQL = texts.SQL | streams.SQL | layouts.SQL | running.SQL | audits.SQL | pictures.SQL | planted.SQL | timeline.SQL

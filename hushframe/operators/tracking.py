@@ -71,28 +71,27 @@ def matched(t: float, boxes: np.ndarray, live: list[Live]) -> list[tuple[int, in
     return pairs
 
 
+def advanced(live: list[Live], made: int, t: float, boxes: np.ndarray, max_gap: float) -> tuple[list[Live], int, list[int]]:
+    """The live tracks after the boxes found at ``t``, how many tracks were made, and each box's track."""
+    live, out = [k for k in live if t - k.last[0] <= max_gap], [0] * len(boxes)
+    for row, column in matched(t, boxes, live):
+        k = live[column]
+        k.before, k.last = k.last, np.array([t, *boxes[row]])
+        out[row] = k.track
+    for row in range(len(boxes)):
+        if not out[row]:
+            made += 1
+            out[row] = made
+            live.append(Live(made, np.array([t, *boxes[row]])))
+    return live, made, out
+
+
 def numbered(parts, group: str, max_gap: float):
     """Adds ``track`` to frames sorted by group and time; a step cut by the end of a frame
     waits for its rest."""
     live: list[Live] = []
     here, made, waiting = None, 0, None
 
-    def take(step: pd.DataFrame) -> list[int]:
-        nonlocal live, made
-        t, boxes = float(step["t"].iloc[0]), step[SIDES].to_numpy(float)
-        live = [k for k in live if t - k.last[0] <= max_gap]
-        out = [0] * len(step)
-        for row, column in matched(t, boxes, live):
-            k = live[column]
-            k.before, k.last = k.last, np.array([t, *boxes[row]])
-            out[row] = k.track
-        for row in range(len(step)):
-            if not out[row]:
-                made += 1
-                out[row] = made
-                live.append(Live(made, np.array([t, *boxes[row]])))
-        return out
-
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         nonlocal live, here, made
         found: list[int] = []
@@ -101,7 +100,8 @@ def numbered(parts, group: str, max_gap: float):
             step = frame.iloc[first:end]
             if step[group].iloc[0] != here:
                 live, here, made = [], step[group].iloc[0], 0
-            found += take(step)
+            live, made, tracks = advanced(live, made, float(step["t"].iloc[0]), step[SIDES].to_numpy(float), max_gap)
+            found += tracks
         return frame.assign(track=np.array(found, np.int64))
 
     for part in parts:
