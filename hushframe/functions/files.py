@@ -83,14 +83,3 @@ def tag_report(tags: Column, skip: list[str], labels: dict[str, str], place: str
     named = F.create_map(*[F.lit(x) for pair in labels.items() for x in pair]) if labels else F.create_map().cast("map<string,string>")
     lines = F.transform(said, lambda e: F.concat(F.coalesce(named[e["key"]], split_words(e["key"])), F.lit(": "), shortened(F.trim(e["value"]))))
     return F.struct(F.coalesce(where, F.array().cast("array<string>")).alias("location"), F.slice(F.array_distinct(lines), 1, most).alias("other"))
-
-
-def one_line(text: Column) -> Column:
-    """Text of the same length with spaces for line ends, so that patterns match over them."""
-    return F.translate(text, "\n", " ")
-
-
-def model_of(lang: Column) -> Column:
-    """The name model for a language: English, Thai, or the one for many languages."""
-    low = F.lower(F.coalesce(lang, F.lit("")))
-    return F.when(low.startswith("en"), "en").when(low.startswith("th"), "th").otherwise("multi")

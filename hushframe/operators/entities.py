@@ -7,6 +7,7 @@ cutting of one text is imperative; joining tokens is windows over a chunk's toke
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -17,6 +18,8 @@ from pyspark.sql.functions import arrow_udf
 #: Characters a chunk may have; least mean score of a name; labels of persons.
 MOST, LEAST = 1000, 0.5
 PERSONS = ("PER", "PERSON")
+#: How many characters behind the last token the next one may lie; what surrounds a token's word.
+NEAR, BLANK = 40, " \t\n\v\f\r\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 #: Letters and digits of scripts that put spaces between words.
 SPACED = r"(?:(?![\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}])[\p{L}\p{N}])*"
 LINES = re.compile(r"[^\n]*\n+|[^\n]+")
@@ -64,6 +67,59 @@ def chunks(df: DataFrame, key: str, text: str = "text", most: int = MOST) -> Dat
     return df.select(key, F.explode(cut(F.col(text))).alias("c")).select(key, "c.offset", "c.chunk")
 
 
+def folded(text: str) -> str:
+    """Without case and marks."""
+    return "".join(c for c in unicodedata.normalize("NFD", text) if unicodedata.category(c)[0] != "M").lower()
+
+
+def placed_tokens(text: str, words: list[str | None]) -> Iterator[tuple[int, int, int]]:
+    """``(which, start, end)`` of a model's decoded words in the text that they come from.
+
+    The words come in the text's order, in lower case or without marks, as the model has it, so both
+    sides are folded. Each word is looked for behind the one before, within ``NEAR`` folded
+    characters; one that is not there is left out. Marks behind a word's last letter are part
+    of it. Beginnings of word pieces (``##``, ``\u2581``) are not, and unknown words have no place."""
+    folds = [folded(c) if c <= "\uffff" else c for c in text]
+    plain = "".join(folds)
+    at = [i for i, f in enumerate(folds) for _ in f]
+    behind = 0
+    for which, word in enumerate(words):
+        word = folded((word or "").removeprefix("##").removeprefix("\u2581").strip(BLANK))
+        if not word or word == "[unk]":
+            continue
+        found = plain.find(word, behind, behind + NEAR + len(word))
+        if found < 0:
+            continue
+        behind = found + len(word)
+        end = at[behind - 1] + 1
+        while end < len(text) and unicodedata.category(text[end])[0] == "M":
+            end += 1
+        yield which, at[found], end
+
+
+def aligned(chunk: Column, words: Column) -> Column:
+    """``array<struct<which, start, end>>``: the places in a chunk of a model's decoded ``words``
+    (``array<string>``); ``which`` is a word's index. Null chunks or words: no places."""
+
+    def run(chunks: pa.Array, words: pa.Array) -> pa.Array:
+        kind = pa.struct([(c, pa.int32()) for c in ("which", "start", "end")])
+        return pa.array([[dict(zip(("which", "start", "end"), p, strict=True)) for p in placed_tokens(c or "", w or [])] for c, w in zip(chunks.to_pylist(), words.to_pylist(), strict=True)], pa.list_(kind))
+
+    run.__annotations__ = {"chunks": pa.Array, "words": pa.Array, "return": pa.Array}
+    return arrow_udf(run, "array<struct<which:int,start:int,end:int>>")(chunk, words)
+
+
+def with_places(tokens: DataFrame, by: list[str], order: str = "n", chunk: str = "chunk", word: str = "word") -> DataFrame:
+    """A chunk's tokens (``by``, ``order``, ``chunk``, ``word``, ``entity``, ``score``) with ``start`` and ``end``,
+    as ``named`` wants them; those that have no place are left out. A chunk is a bounded text, so
+    its tokens are one row for a moment."""
+    line = F.array_sort(F.collect_list(F.struct(order, F.coalesce(word, F.lit("")).alias("word"), "entity", "score")))
+    rows = tokens.groupBy(*by).agg(F.first(chunk).alias(chunk), line.alias("__t"))
+    rows = rows.withColumn("__p", aligned(F.col(chunk), F.transform("__t", lambda t: t["word"])))
+    each = rows.select(*by, chunk, "__t", F.explode("__p").alias("p")).withColumn("t", F.col("__t")[F.col("p.which")])
+    return each.select(*by, chunk, F.col(f"t.{order}").alias(order), "t.entity", "t.score", "p.start", "p.end")
+
+
 def named(tokens: DataFrame, by: list[str], chunk: str = "chunk", least: float = LEAST) -> DataFrame:
     """``(by, label, start, end, score)``: the names that a chunk's tokens make up.
 
@@ -92,6 +148,44 @@ def named(tokens: DataFrame, by: list[str], chunk: str = "chunk", least: float =
     return names.select(*by, "label", (F.col("__s") - left).alias("start"), (F.col("__e") + right).alias("end"), "score")
 
 
+#: Labels by kind of name, and the least score of a name that a line alone gives.
+PLACES, GROUPS = ("LOCATION", "LOC", "FACILITY"), ("ORGANIZATION", "ORG")
+CLEAR_PERSON, CLEAR_PLACE = 0.85, 0.7
+
+
+def lines_alone(texts: DataFrame, by: list[str], text: str = "text") -> DataFrame:
+    """``(by, line_start, line)``: the lines that have two letters together, and where they begin."""
+    ends = F.split(text, "\n", -1)
+    each = texts.select(*by, text, F.posexplode(ends).alias("__k", "line"))
+    before = Window.partitionBy(*by).orderBy("__k").rowsBetween(Window.unboundedPreceding, -1)
+    each = each.withColumn("line_start", F.coalesce(F.sum(F.length("line") + 1).over(before), F.lit(0)))
+    return each.where(F.col("line").rlike(r"\p{L}{2}")).select(*by, "line_start", "line")
+
+
+def in_two_rounds(texts: DataFrame, by: list[str], infer: Callable[[DataFrame], DataFrame], text: str = "text", model: str = "model", alone: str = "en") -> DataFrame:
+    """``(by, label, start, end, score)``: the names in texts of short lines, cut at line ends.
+
+    A model reads whole texts and, as the text around a name matters to it, each line alone too; but
+    only the model ``alone``, the others read short lines well. Of a line alone only clear persons and
+    places count, that begin with a capital letter. ``infer`` gets rows of ``key``, ``model`` and ``text``
+    and adds ``found``, an array of ``label, start, end, score``; it is asked once per different
+    text, whether a whole one or a line. Blank texts are not asked; null texts have no names."""
+    whole = texts.select(*by, F.col(text).alias("__text"), F.col(model).alias("__model"))
+    own = whole.where(F.col("__text").rlike(r"(?U)\S")).select(*by, F.lit(0).cast("long").alias("line_start"), F.col("__text").alias("text"), F.col("__model").alias("model"), F.lit(True).alias("whole"))
+    single = lines_alone(whole.where(F.col("__model") == alone), by, "__text").select(*by, "line_start", F.col("line").alias("text"), F.lit(alone).alias("model"), F.lit(False).alias("whole"))
+    asked = once_per_text(own.unionByName(single), infer)
+    told = asked.select(*by, "line_start", "text", "whole", F.explode("found").alias("s"))
+    person, place, group = (F.col("s.label").isin(*x) for x in (PERSONS, PLACES, GROUPS))
+    capital = F.substring("text", F.col("s.start") + 1, F.lit(1)).rlike(r"\p{Lu}")
+    clear = capital & ((person & (F.col("s.score") >= CLEAR_PERSON)) | (place & (F.col("s.score") >= CLEAR_PLACE)))
+    told = told.where(F.when(F.col("whole"), person | place | group).otherwise(clear))
+    value = F.substring("text", F.col("s.start") + 1, F.col("s.end") - F.col("s.start"))
+    parts = F.transform(F.split(value, "\n", -1), lambda x: F.length(x))
+    cut = told.select(*by, "line_start", "s", F.posexplode(parts).alias("k", "n"), parts.alias("ns"))
+    shift = F.col("line_start") + F.col("s.start") + F.col("k") + F.aggregate(F.slice("ns", F.lit(1), F.col("k")), F.lit(0), lambda a, x: a + x)
+    return cut.where("n > 0").select(*by, F.col("s.label").alias("label"), shift.cast("long").alias("start"), (shift + F.col("n")).cast("long").alias("end"), F.col("s.score").alias("score"))
+
+
 #: The name model of each language.
 MODEL_OF = {
     "en": "en",
@@ -106,10 +200,18 @@ MODEL_OF = {
 }
 
 
-def model_of(lang: Column) -> Column:
-    """The name model of a language; the English one where there is none for it, or it is null."""
-    known = F.create_map(*[F.lit(x) for pair in MODEL_OF.items() for x in pair])
-    return F.coalesce(known[F.coalesce(lang, F.lit("en"))], F.lit("en"))
+def language_of(tag: Column) -> Column:
+    """The supported language of a language tag such as ``de-CH``; Chinese by script or region; English
+    where it is none of them, or null."""
+    low = F.lower(tag)
+    base = F.split_part(low, F.lit("-"), F.lit(1))
+    chinese = F.when(low.rlike("hant|tw|hk|mo"), "zh-Hant").otherwise("zh-Hans")
+    return F.when(low.startswith("zh"), chinese).when(base.isin([c for c in MODEL_OF if "-" not in c]), base).otherwise("en")
+
+
+def model_of(tag: Column) -> Column:
+    """The name model for a language tag."""
+    return F.create_map(*[F.lit(x) for pair in MODEL_OF.items() for x in pair])[language_of(tag)]
 
 
 def once_per_text(df: DataFrame, infer: Callable[[DataFrame], DataFrame], text: str = "text", model: str = "model", out: str = "found") -> DataFrame:

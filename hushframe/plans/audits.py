@@ -12,11 +12,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import files
-from ..operators import boxes, findings
+from ..operators import boxes, entities, findings
+from ..operators import pictures as pictures_
 from ..session import table
 from ..streaming import jobs
 
 #: First bytes of files by kind: JPEG, PNG, WebP, PDF, two of videos, and none.
+#: Language tags: endings put behind a document's language, and others.
+TAGS = ["", "-CH", "-x", "zh-TW", "zh", "zh-Hant-CN", "TH", "ja-JP", "pt-BR", "nl"]
 HEADS = ["FFD8FFE0", "89504E47", "524946460000000057454250", "255044462D312E37", "0000001866747970", "1A45DFA3", ""]
 
 
@@ -33,8 +36,8 @@ def file_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def file_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = documents(spark, sf_dir)
-    cut = F.substring("text", 1, 200)
-    return d.select("doc_id", files.size_text(F.octet_length("text") * 97).alias("size"), files.time_text(F.col("n_chars")).alias("time"), files.shortened(cut).alias("short"), files.readable(cut).alias("readable"), files.split_words(F.concat(F.lit("camelCase_"), F.col("source"), F.lit(".tagName"))).alias("words"), files.one_line(cut).alias("line"), files.model_of(F.col("lang")).alias("model"))
+    text, tag = F.col("text"), F.element_at(F.array(*[F.concat("lang", F.lit(end)) for end in TAGS[:3]], *[F.lit(t) for t in TAGS[3:]]), (F.col("doc_id") % len(TAGS) + 1).cast("int"))
+    return d.select("doc_id", files.size_text(F.octet_length("text") * 97).alias("size"), files.time_text(F.col("n_chars")).alias("time"), files.shortened(text).alias("short"), files.readable(text).alias("readable"), files.split_words(F.concat(F.lit("camelCase_"), F.col("source"), F.lit(".tagName"))).alias("words"), pictures_.one_line(text).alias("line"), entities.language_of(tag).alias("language"), entities.model_of(tag).alias("model"))
 
 
 def info() -> Column:
@@ -73,6 +76,30 @@ def look_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return findings.phrases(words, ["line"], "vec_id").select("line", "look", "first", "text")
 
 
+def raster_looks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words as boxes on pages of forty rows of pixels, some of them outside, some wide."""
+    k = F.floor(F.col("vec_id") / 8) % 3
+    light = F.transform("embedding", lambda v: F.element_at(F.array(F.lit(30.0), F.lit(220.0), F.lit(128.0)), (k + 1).cast("int")) + F.when(k == 2, 100.0).otherwise(8.0) * v.cast("double"))
+    # Five vectors' pixels side by side make a row wide enough to be looked at in steps.
+    rows = table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 40).alias("page"), (F.col("vec_id") % 40).alias("y"), F.flatten(F.array_repeat(light, 5)).alias("light"))
+    pages = rows.groupBy("page").agg(F.lit(320).alias("width"), (F.max("y") + 1).cast("int").alias("height"))
+    e, n = table(spark, sf_dir, "events"), F.col("event_id")
+    words = e.select((n % 14).alias("page"), n.alias("n"), (n * 7 % 340 - 15).cast("double").alias("x"), (n * 13 % 47 - 4).cast("double").alias("y"), (n * 11 % 301 + 3).cast("double").alias("w"), (n % 9 + 3).cast("double").alias("h"))
+    return findings.word_looks(words, rows, pages, ["page"]).select("page", "n", "look")
+
+
+def file_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Details, attached files and earlier versions of files that were saved once, twice or three times."""
+    again, plain = F.col("doc_id") % 3, F.translate(F.regexp_replace("text", r"[^\x{0}-\x{FF}]", "?"), "()\\", "   ")
+    saved = F.concat(F.lit("%%EOF /Subject (draft \\) "), plain, F.lit(") "))
+    content = F.encode(F.concat(F.lit("%PDF-1.7 /Title (t"), F.col("doc_id").cast("string"), F.lit(") "), F.repeat(saved, again.cast("int")), F.lit("%%EOF")), "ISO-8859-1")
+    attached = F.when(again > 0, F.filter(F.array(F.concat("source", F.lit(".txt")), F.when(again == 2, F.lit("")), F.lit(None).cast("string")), lambda f: f.isNotNull()))
+    docs = documents(spark, sf_dir)
+    items = findings.findings(findings.document_items(docs, ["doc_id"], info(), attached), ["doc_id"])
+    both = items.unionByName(findings.version_findings(docs, ["doc_id"], content, info()))
+    return both.select("doc_id", F.col("place").cast("long").alias("place"), "level", "title", "detail", "n", F.array_join("items", "|").alias("items"))
+
+
 def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("event_id") % 5
     kind = F.element_at(F.array(*[F.lit(s) for s in ("Redact", "Widget", "Text", "Link", "FreeText")]), (k + 1).cast("int"))
@@ -133,7 +160,7 @@ def picture_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tag_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tags of a file as lines; every third has a place."""
     place = F.when(F.col("doc_id") % 3 == 0, F.format_string("+%02d.5%s/", F.col("doc_id") % 90, F.lit("-012.25"))).otherwise("nowhere")
-    tags = F.create_map(F.lit("place"), place, F.lit("Make"), F.col("source"), F.lit("imageWidth"), F.lit("12"), F.lit("GPSx"), F.lit("1"), F.lit("userComment_x"), F.substring("text", 1, 150), F.lit("lang"), F.col("lang"))
+    tags = F.create_map(F.lit("place"), place, F.lit("Make"), F.col("source"), F.lit("imageWidth"), F.lit("12"), F.lit("GPSx"), F.lit("1"), F.lit("userComment_x"), F.col("text"), F.lit("lang"), F.col("lang"))
     rows = documents(spark, sf_dir).select("doc_id", files.tag_report(tags, ["imageWidth"], {"Make": "Camera"}, "place").alias("r"))
     return rows.select("doc_id", F.explode(F.concat("r.location", "r.other")).alias("line"))
 
@@ -150,7 +177,7 @@ def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.in_sessions(e, "ts", ["user_id"], "6 hours", late=None).select(F.unix_micros("start").alias("start"), F.unix_micros("end").alias("end"), "user_id", "n")
 
 
-QUERIES = {f.__name__: f for f in (file_kinds, file_texts, pdf_details, old_details, word_looks, look_phrases, doc_findings, reports, faces_kept, shapes_kept, shapes_off_text, face_room, picture_tiles, tag_lines, sliding, sessions)}
+QUERIES = {f.__name__: f for f in (file_kinds, file_texts, pdf_details, old_details, word_looks, look_phrases, raster_looks, file_findings, doc_findings, reports, faces_kept, shapes_kept, shapes_off_text, face_room, picture_tiles, tag_lines, sliding, sessions)}
 
 DOCS = "(SELECT doc_id, coalesce(text, '') AS text, coalesce(source, '') AS source, coalesce(lang, '') AS lang, n_chars FROM documents)"
 DAY = "2000 + doc_id % 25, 1 + doc_id % 12, 1 + doc_id % 28"
@@ -159,13 +186,13 @@ LOOKS = """SELECT vec_id, CASE WHEN sd < 6 AND mean < 60 THEN 'covered' WHEN sd
     SELECT vec_id, list_transform(embedding, lambda x: [30.0, 220.0, 128.0][CAST((vec_id // 2) % 3 + 1 AS INTEGER)]::DOUBLE + (CASE WHEN (vec_id // 2) % 3 = 2 THEN 100.0 ELSE 8.0 END)::DOUBLE * x::DOUBLE) AS l FROM embeddings))"""
 ITEMS = """SELECT user_id, event_id, kind, CASE kind WHEN 0 THEN NULL ELSE text END AS text, kind AS place FROM (
   SELECT user_id, event_id,
-    CASE WHEN k = 0 THEN 2 WHEN k = 1 THEN CASE WHEN field_value <> 'Off' AND trim(coalesce(field_value, '')) <> '' THEN 5 END WHEN k <> 3 AND trim(contents) <> '' THEN 4 END AS kind,
+    CASE WHEN k = 0 THEN 2 WHEN k = 1 THEN CASE WHEN field_value <> 'Off' AND trim(coalesce(field_value, '')) <> '' THEN 6 END WHEN k <> 3 AND trim(contents) <> '' THEN 5 END AS kind,
     CASE WHEN k = 0 THEN contents WHEN k = 1 THEN field_name || ': ' || field_value WHEN title <> '' THEN title || ': ' || contents ELSE contents END AS text
   FROM (SELECT user_id, event_id, event_id % 5 AS k, CASE WHEN event_id % 3 > 0 THEN 'note ' || event_id ELSE ' ' END AS contents, CASE WHEN event_id % 2 = 0 THEN 'Ann' ELSE '' END AS title,
       CASE WHEN event_id % 7 > 0 THEN 'size' ELSE 'Field' END AS field_name, CASE WHEN event_id % 4 = 0 THEN 'Off' ELSE event_type END AS field_value FROM events)) WHERE kind IS NOT NULL"""
 FOUND = f"""SELECT user_id, CAST(place AS BIGINT) AS place, CASE WHEN place = 2 THEN 'leak' ELSE 'check' END AS level,
-  CASE place WHEN 2 THEN 'Redactions marked but not applied' WHEN 4 THEN 'Comments and notes' ELSE 'Form fields with values' END AS title,
-  CASE place WHEN 2 THEN 'Someone marked these areas for redaction, but the text under them is still in the file.' WHEN 4 THEN 'Comments are saved in the file and often contain names.' ELSE 'Filled form fields are saved in the file.' END AS detail,
+  CASE place WHEN 2 THEN 'Redactions marked but not applied' WHEN 5 THEN 'Comments and notes' ELSE 'Form fields with values' END AS title,
+  CASE place WHEN 2 THEN 'Someone marked these areas for redaction, but the text under them is still in the file.' WHEN 5 THEN 'Comments are saved in the file and often contain names.' ELSE 'Filled form fields are saved in the file.' END AS detail,
   count(*) AS n, list(text ORDER BY event_id, text)[1:3] AS items, CASE WHEN count(*) > 3 THEN '…and ' || (count(*) - 3) || ' more' END AS more
 FROM ({ITEMS}) GROUP BY user_id, place"""
 PICTURES = """SELECT user_id % 50 AS "user", CAST(floor(epoch(ts) / 86400) AS BIGINT) AS day, event_id, CAST(event_id * 37 % 301 AS DOUBLE) AS x, CAST(event_id * 53 % 211 AS DOUBLE) AS y,
@@ -205,8 +232,9 @@ FROM (SELECT *, {HEADS}[CAST(doc_id % 7 + 1 AS INTEGER)] || hex(encode(text)) AS
     "file_texts": rf"""
 SELECT doc_id, CASE WHEN b < 1048576 THEN greatest(1, CAST(floor(b / 1024.0 + 0.5) AS BIGINT)) || ' KB' ELSE printf('%.1f MB', b / 1024.0::DOUBLE / 1024.0::DOUBLE) END AS size,
   (n_chars // 60) || ':' || lpad(CAST(n_chars % 60 AS VARCHAR), 2, '0') AS time, CASE WHEN length(t) > 120 THEN substr(t, 1, 117) || '…' ELSE t END AS short,
-  CASE WHEN regexp_matches(r, '[A-Za-z0-9][A-Za-z0-9]') THEN r ELSE '' END AS readable, 'camel Case ' || source || ' tag Name' AS words, replace(t, chr(10), ' ') AS line, CASE WHEN lang LIKE 'en%' THEN 'en' WHEN lang LIKE 'th%' THEN 'th' ELSE 'multi' END AS model
-FROM (SELECT *, substr(text, 1, 200) AS t, trim(regexp_replace(substr(text, 1, 200), '[\x00-\x1f\x{{FFFD}}]', '', 'g')) AS r, strlen(text) * 97 AS b FROM {DOCS})""",
+  CASE WHEN regexp_matches(r, '[A-Za-z0-9][A-Za-z0-9]') THEN r ELSE '' END AS readable, 'camel Case ' || source || ' tag Name' AS words, replace(t, chr(10), ' ') AS line, language, CASE language WHEN 'en' THEN 'en' WHEN 'th' THEN 'th' ELSE 'multi' END AS model
+FROM (SELECT *, CASE WHEN k IN (3, 5) THEN 'zh-Hant' WHEN k = 4 THEN 'zh-Hans' WHEN k = 6 THEN 'th' WHEN k = 7 THEN 'ja' WHEN k = 9 THEN 'nl' WHEN k < 3 AND lang IN ('en', 'es', 'fr', 'de', 'nl', 'ja', 'th') THEN lang ELSE 'en' END AS language
+  FROM (SELECT *, doc_id % 10 AS k, text AS t, trim(regexp_replace(text, '[\x00-\x1f\x{{FFFD}}]', '', 'g')) AS r, strlen(text) * 97 AS b FROM {DOCS}))""",
     "pdf_details": f"""
 SELECT doc_id, unnest(list_filter(['Title: t' || doc_id, CASE WHEN trim(source) <> '' THEN 'Author: ' || source END, printf('Created: %04d-%02d-%02d', {DAY}), CASE WHEN doc_id % 2 = 0 THEN printf('Changed: %04d', 2000 + doc_id % 25) END], lambda x: x IS NOT NULL)) AS line FROM {DOCS}""",
     "old_details": f"""
@@ -216,6 +244,20 @@ SELECT doc_id, 1 + doc_id % 3 AS versions, unnest(CASE doc_id % 3 WHEN 0 THEN [N
 WITH w AS (SELECT vec_id // 12 AS line, vec_id, look FROM ({LOOKS})),
 r AS (SELECT *, sum(new) OVER (PARTITION BY line ORDER BY vec_id) AS run FROM (SELECT *, CASE WHEN row_number() OVER (PARTITION BY line ORDER BY vec_id) > 1 AND lag(look) OVER (PARTITION BY line ORDER BY vec_id) IS NOT DISTINCT FROM look THEN 0 ELSE 1 END AS new FROM w))
 SELECT line, look, min(vec_id) AS first, string_agg('w' || vec_id, ' ' ORDER BY vec_id) AS text FROM r WHERE look IS NOT NULL GROUP BY line, run, look""",
+    "raster_looks": """
+WITH r AS MATERIALIZED (SELECT vec_id // 40 AS page, vec_id % 40 AS y, list_transform(embedding, lambda v: [30.0, 220.0, 128.0][CAST((vec_id // 8) % 3 + 1 AS INTEGER)]::DOUBLE + (CASE WHEN (vec_id // 8) % 3 = 2 THEN 100.0 ELSE 8.0 END)::DOUBLE * v::DOUBLE) AS l FROM embeddings),
+g AS (SELECT page, 320 AS wide, max(y) + 1 AS high FROM r GROUP BY page),
+b AS (SELECT event_id % 14 AS page, event_id AS n, event_id * 7 % 340 - 15 AS x, event_id * 13 % 47 - 4 AS y, event_id * 11 % 301 + 3 AS w, event_id % 9 + 3 AS h FROM events),
+m AS (SELECT b.*, wide, high, greatest(0, floor(x + w * 0.2::DOUBLE))::INT AS x0, least(wide, ceil(x + w * (1 - 0.2::DOUBLE)))::INT AS x1, greatest(0, floor(b.y + h * 0.3::DOUBLE))::INT AS y0, least(high, ceil(b.y + h * (1 - 0.3::DOUBLE)))::INT AS y1 FROM b JOIN g USING (page)),
+p AS (SELECT m.page, n, list_transform(range(x0, x1, greatest(1, (x1 - x0) // 120)), lambda i: l[i % 64 + 1]) AS l FROM m JOIN r ON r.page = m.page AND r.y >= y0 AND r.y < y1 WHERE x1 - x0 >= 2 AND y1 - y0 >= 2),
+k AS (SELECT page, n, avg(v) AS mean, stddev_pop(v) AS sd FROM (SELECT page, n, unnest(l) AS v FROM p) GROUP BY ALL)
+SELECT m.page, m.n, CASE WHEN x + w < 0 OR y + h < 0 OR x > wide OR y > high THEN 'outside' WHEN sd < 6 AND mean < 60 THEN 'covered' WHEN sd < 6 THEN 'hidden' END AS look FROM m LEFT JOIN k USING (page, n)""",
+    "file_findings": f"""
+WITH d AS (SELECT *, doc_id % 3 AS k, list_filter(['Title: t' || doc_id, CASE WHEN trim(source) <> '' THEN 'Author: ' || source END, printf('Created: %04d-%02d-%02d', {DAY}), CASE WHEN doc_id % 2 = 0 THEN printf('Changed: %04d', 2000 + doc_id % 25) END], lambda x: x IS NOT NULL) AS details FROM {DOCS})
+SELECT doc_id, 8::BIGINT AS place, 'check' AS level, 'Document details (metadata)' AS title, 'These details are saved in the file and show in PDF apps.' AS detail, len(details)::BIGINT AS n, array_to_string(details, '|') AS items FROM d
+UNION ALL SELECT doc_id, 7, 'check', 'Attached files', 'Files attached inside the PDF are shared with it.', k, source || '.txt' || CASE WHEN k = 2 THEN '|Attachment' ELSE '' END FROM d WHERE k > 0
+UNION ALL SELECT doc_id, 3, 'leak', (k + 1) || ' saved versions in one file', 'The file was saved over without being rebuilt, so earlier versions are still inside it. These details from an earlier version are still readable:', 1,
+  'Subject: draft ) ' || translate(regexp_replace(text, '[^\\x00-\\xff]', '?', 'g'), '()' || chr(92), '   ') FROM d WHERE k > 0""",
     "doc_findings": f"SELECT user_id, place, level, title, n, array_to_string(items, '|') || coalesce('|' || more, '') AS items FROM ({FOUND})",
     "reports": f"""
 SELECT user_id, 'Redaction check: u' || user_id || '.pdf' || CASE WHEN bool_or(level = 'leak') THEN '' ELSE chr(10) || chr(10) || 'No leaks found.' END || chr(10) || chr(10)
@@ -240,7 +282,7 @@ UNION ALL SELECT doc_id, x, y, least(960, width - x), least(960, height - y) FRO
     "tag_lines": f"""
 SELECT doc_id, unnest(list_filter([CASE WHEN doc_id % 3 = 0 THEN printf('GPS location: %.5f, -12.25000', (doc_id % 90) + 0.5::DOUBLE) END, CASE WHEN trim(source) <> '' THEN 'Camera: ' || trim(source) END,
   CASE WHEN trim(c) <> '' THEN 'user Comment x: ' || CASE WHEN length(trim(c)) > 120 THEN substr(trim(c), 1, 117) || '…' ELSE trim(c) END END, CASE WHEN trim(lang) <> '' THEN 'lang: ' || trim(lang) END], lambda x: x IS NOT NULL)) AS line
-FROM (SELECT *, substr(text, 1, 150) AS c FROM {DOCS})""",
+FROM (SELECT *, text AS c FROM {DOCS})""",
     "sliding": """
 SELECT start, event_type, count(*) AS n FROM (
   SELECT event_type, unnest(range(CAST(floor(epoch(ts) / 900) AS BIGINT) * 900 - 2700, CAST(floor(epoch(ts) / 900) AS BIGINT) * 900 + 1, 900)) AS start FROM events WHERE ts IS NOT NULL) GROUP BY ALL""",
