@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 
 #: Room around a face at its sides, top and bottom, in its own sizes.
 SIDES, TOP, BOTTOM = 0.18, 0.35, 0.12
+#: A small face's most share of the width; more room around a larger one.
+SMALL, FACE_ROOM = 0.08, 0.05
+#: Side of a cell of the grid by which centers meet areas.
+CELL = 128
 #: Side of a tile, step from tile to tile, longest side that needs none.
 TILE, STEP, WHOLE = 960, 0.75, 1.3
 #: Share of a word on a shape from which it counts, letters of a short word.
@@ -64,6 +68,14 @@ def padded(b: Column, width: Column, height: Column, extra: float = 0.0) -> Colu
     return box(x, y, right - x, bottom - y)
 
 
+def face_cover(b: Column, width: Column, height: Column) -> Column:
+    """What to cover of a face: of a small one, likely a profile picture, the whole circle around it; of
+    another its padded box."""
+    side = b["w"] * 2
+    circle = box(F.greatest(F.lit(0.0), b["x"] + b["w"] / 2 - side / 2), F.greatest(F.lit(0.0), b["y"] + b["h"] / 2 - side / 2), side, side)
+    return F.when(b["w"] < width * SMALL, circle).otherwise(padded(b, width, height, FACE_ROOM))
+
+
 def tiles(width: Column, height: Column, tile: int = TILE) -> Column:
     """``array<struct<x, y, w, h>>``: the whole picture, and of a large one overlapping tiles."""
     step = round(tile * STEP)
@@ -111,3 +123,19 @@ def not_on_text(shapes: DataFrame, words: DataFrame, by: list[str]) -> DataFrame
     for c in same:
         on = on & c
     return shapes.alias("s").join(words.alias("w"), on, "left_anti")
+
+
+def not_inside(found: DataFrame, areas: DataFrame, by: list[str], cell: int = CELL) -> DataFrame:
+    """The boxes of a picture whose center lies inside none of its ``areas`` (touching the rim is outside).
+
+    Areas are dealt to the cells of a grid that they reach into, and a center lies in one cell, so that they meet by
+    equality and a crowded picture is many keys. Null keys or sides are inside nothing."""
+    cells = lambda a, b: F.sequence(F.floor(a / cell).cast("long"), F.greatest(F.floor(a / cell), F.floor(b / cell)).cast("long"))
+    a = areas.dropna(subset=[*by, *"xywh"]).select(*by, F.struct(*"xywh").alias("__a"), F.explode(cells(F.col("x"), F.col("x") + F.col("w"))).alias("__cx"), "y", "h")
+    a = a.select(*[F.col(c).alias(f"__by{i}") for i, c in enumerate(by)], "__a", "__cx", F.explode(cells(F.col("y"), F.col("y") + F.col("h"))).alias("__cy"))
+    x, y = F.col("x") + F.col("w") / 2, F.col("y") + F.col("h") / 2
+    own = found.withColumns({"__ox": F.floor(x / cell).cast("long"), "__oy": F.floor(y / cell).cast("long")})
+    on = (F.col("__ox") == F.col("__cx")) & (F.col("__oy") == F.col("__cy")) & holds(F.col("__a"), box(*[own[c] for c in "xywh"]))
+    for i, c in enumerate(by):
+        on = on & (own[c] == a[f"__by{i}"])
+    return own.join(a, on, "left_anti").drop("__ox", "__oy")

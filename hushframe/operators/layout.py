@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .intervals import overlapping
+
 #: In font sizes; fixed values. A base line further off starts a line; a wider gap is a space.
 LINE_STEP, WORD_GAP = 0.5, 0.15
 #: Room around a box, in font sizes, at its ends, below and above the base line; fixed values.
@@ -45,19 +47,44 @@ def page_text(parts: DataFrame, by: list[str], order: str = "n") -> DataFrame:
     return parts.groupBy(*by).agg(F.array_join(F.transform(pieces, lambda p: p["piece"]), "").alias("text"))
 
 
-def span_rects(spans: DataFrame, parts: DataFrame, by: list[str], keep: list[str]) -> DataFrame:
+def measured(text: Column, widths: Column) -> Column:
+    """The width of a text by a font's ``widths`` (a map from character; others count as the mean of
+    those it has, or as one), without kerning."""
+    usual = F.coalesce(F.aggregate(F.map_values(widths), F.lit(0.0), lambda a, v: a + v) / F.nullif(F.size(widths), F.lit(0)), F.lit(1.0))
+    return F.aggregate(F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.coalesce(widths[c], usual)), F.lit(0.0), lambda a, v: a + v)
+
+
+def span_rects(spans: DataFrame, parts: DataFrame, by: list[str], keep: list[str], fonts: DataFrame | None = None) -> DataFrame:
     """A box per span and item that it touches: ``x0, y0, x1, y1``. ``spans`` has the page key,
     ``start``, ``end`` and the columns ``keep``.
 
-    Characters count as equally wide within an item."""
-    s = spans.select(*by, F.col("start").alias("__s"), F.col("end").alias("__e"), *keep)
-    p = parts.select(*by, "n", "start", "end", "x", "y", "width", "size")
-    hit = s.join(p, by).where((F.col("__s") < F.col("end")) & (F.col("__e") > F.col("start")))
-    each = F.col("width") / (F.col("end") - F.col("start"))
-    x0 = F.col("x") + each * (F.greatest("__s", "start") - F.col("start")) - PAD * F.col("size")
-    x1 = F.col("x") + each * (F.least("__e", "end") - F.col("start")) + PAD * F.col("size")
-    y0, y1 = F.col("y") - BELOW * F.col("size"), F.col("y") + ABOVE * F.col("size")
-    return hit.select(*by, *keep, F.col("__s").alias("start"), F.col("__e").alias("end"), "n", x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), y1.alias("y1"))
+    Characters count as equally wide within an item, or as wide as ``fonts`` (``font``, ``widths``: a map
+    from character) tells of the item's ``font``. Items that lie at an angle have ``a, b, c, d``, the first
+    four numbers of their transform: the direction of the line and of what is up, of any length
+    (``size`` is the latter's); the box is the one around the turned one. Spans meet items by bins of places, so that no task sees
+    all pairs of a page."""
+    turned = all(c in parts.columns for c in "abcd")
+    p = parts.select(*by, "n", F.col("start").alias("__ps"), F.col("end").alias("__pe"), "x", "y", "width", "size", *(["str", "font"] if fonts is not None else []), *("abcd" if turned else ""))
+    hit = overlapping(spans.select(*by, F.col("start").alias("__s"), F.col("end").alias("__e"), *keep), p, by, ("__s", "__e"), ("__ps", "__pe"))
+    first, last = F.greatest("__s", "__ps") - F.col("__ps"), F.least("__e", "__pe") - F.col("__ps")
+    if fonts is None:
+        each = F.col("width") / (F.col("__pe") - F.col("__ps"))
+        from_, to = each * first, each * last
+    else:
+        hit = hit.join(fonts.select("font", F.col("widths").alias("__widths")), "font", "left")
+        wide = lambda t: measured(t, F.coalesce("__widths", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<double>"))))
+        whole = F.coalesce(F.nullif(wide(F.col("str")), F.lit(0.0)), F.lit(1.0))
+        from_, to = (wide(F.substring("str", F.lit(1), k)) / whole * F.col("width") for k in (first, last))
+    left, right, low, high = from_ - PAD * F.col("size"), to + PAD * F.col("size"), -BELOW * F.col("size"), ABOVE * F.col("size")
+    if not turned:
+        box = [F.col("x") + left, F.col("y") + low, F.col("x") + right, F.col("y") + high]
+    else:
+        length = F.coalesce(F.nullif(F.hypot("a", "b"), F.lit(0.0)), F.lit(1.0))
+        at = lambda o, along, up, u, v: F.col(o) + F.col(along) / length * u + F.col(up) / F.col("size") * v
+        corners = [(u, v) for u in (left, right) for v in (low, high)]
+        xs, ys = ([at(o, along, up, u, v) for u, v in corners] for o, along, up in (("x", "a", "c"), ("y", "b", "d")))
+        box = [F.least(*xs), F.least(*ys), F.greatest(*xs), F.greatest(*ys)]
+    return hit.select(*by, *keep, F.col("__s").alias("start"), F.col("__e").alias("end"), "n", *[v.alias(c) for v, c in zip(box, ("x0", "y0", "x1", "y1"), strict=True)])
 
 
 def merged_rects(rects: DataFrame, by: list[str]) -> DataFrame:

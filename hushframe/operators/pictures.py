@@ -9,12 +9,52 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.rules import WB
 from ..functions.spans import piece, span
 
 #: Room around a box, in its heights; text height where a picture has no lines.
 ROOM, HEIGHT = 0.18, 30
 
 
+#: The bands of a picture, in shares of its height and width, where an app shows a chat's
+#: name; how much taller than wide a phone's picture is; lines of the head that are no names.
+HEAD_TOP, HEAD_END, HEAD_SIDE, TALL = 0.045, 0.095, 0.15, 1.4
+HEAD_INFO = [
+    rf"{WB}(?:members?|online|last seen|typing|subscribers?|participants?|active|recently){WB}",
+    rf"{WB}(?:miembros?|en línea|escribiendo|últ\. vez|participantes){WB}",
+    rf"{WB}(?:membres?|en ligne|écrit|vu(?:e)? (?:à|hier|il y a)|participants){WB}",
+    rf"{WB}(?:Mitglieder|online|schreibt|zuletzt|Teilnehmer){WB}",
+    rf"{WB}(?:leden|lid|typt|laatst gezien|deelnemers){WB}",
+    "成员|成員|在线|在線|正在输入|最后上线|メンバー|オンライン|入力中|最終ログイン|สมาชิก|ออนไลน์|กำลังพิมพ์|ใช้งานล่าสุด",
+]
+#: Scripts without upper and lower case.
+CASELESS = r"^[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsHangul}\p{IsArabic}\p{IsHebrew}\p{IsDevanagari}]"
+
+
+def below_status(words: DataFrame, width: Column, height: Column) -> DataFrame:
+    """The words below a phone's status bar; pictures of other shapes have none."""
+    top = F.when(height > width * TALL, height * HEAD_TOP).otherwise(0.0)
+    return words.where(F.col("y") + F.col("h") / 2 > top)
+
+
+def head_names(lines: DataFrame, width: Column, height: Column, text: str = "text") -> DataFrame:
+    """The ``lines`` (``x, y, w, h`` and their text) that name a chat in an app's head: near the top, between
+    the button and the picture at its ends, and no remark such as how many members there are."""
+    middle = F.col("y") + F.col("h") / 2
+    placed = middle.between(height * HEAD_TOP, height * HEAD_END) & (F.col("x") >= width * HEAD_SIDE) & (F.col("x") + F.col("w") <= width * (1 - HEAD_SIDE))
+    said = F.col(text)
+    return lines.where(placed & ~said.rlike("(?iu)" + "|".join(HEAD_INFO)) & (said.rlike(r"\p{L}{2}") | said.rlike(CASELESS)))
+
+
+def hidden_counts(boxes: DataFrame, by: list[str], on: str = "on", tag: str = "tag", text: str = "text") -> DataFrame:
+    """``(by, hidden, names, faces, more)``: how many boxes of a picture are hidden, how many different names
+    and how many faces among them, and whether there are others."""
+    shown = F.col(on)
+    count = lambda c: F.count(F.when(shown & c, 1))
+    name, face = F.col(tag) == "NAME", F.col(tag) == "FACE"
+    return boxes.groupBy(*by).agg(count(F.lit(True)).alias("hidden"), F.count_distinct(F.when(shown & name, F.lower(text))).alias("names"), count(face).alias("faces"), (count(~F.coalesce(name | face, F.lit(False))) > 0).alias("more"))
+
+
 def one_line(text: Column) -> Column:
     """The text with spaces for line breaks, at the same places, so that rules read on over
     lines. Null stays null."""
