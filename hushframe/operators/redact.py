@@ -6,6 +6,8 @@ that patterns stand in the plan once; there is no shuffle.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -81,11 +83,19 @@ def with_values(df: DataFrame, text: str = "text", spans: str = "spans", out: st
     return df.withColumn(out, F.transform(spans, lambda s: F.struct(s["tag"].alias("tag"), s["start"].alias("start"), s["end"].alias("end"), piece(F.col(text), s).alias("value"))))
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once: in a lambda, it would be for every element."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def numbers(values: Column) -> Column:
-    """The number of each value within its tag, by first appearance; case does not count."""
+    """The number of each value within its tag, by first appearance; case does not count. Each tag's
+    different values are ranked once, and every value looks its rank up."""
     key = lambda v: F.concat_ws("|", v["tag"], F.lower(v["value"]))
-    keys = F.array_distinct(F.transform(values, key))
-    return F.transform(values, lambda v: F.array_position(F.filter(keys, lambda k: k.startswith(F.concat(v["tag"], F.lit("|")))), key(v)).cast("int"))
+    pairs = F.array_distinct(F.transform(values, lambda v: F.struct(v["tag"].alias("tag"), key(v).alias("key"))))
+    of_tag = lambda pairs, t: F.transform(F.filter(pairs, lambda p: p["tag"] == t), lambda p, i: F.struct(p["key"].alias("key"), (i + 1).alias("n")))
+    ranks = bound(pairs, lambda pairs: F.map_from_entries(F.flatten(F.transform(F.array_distinct(F.transform(pairs, lambda p: p["tag"])), lambda t: of_tag(pairs, t)))))
+    return bound(ranks, lambda ranks: F.transform(values, lambda v: ranks[key(v)]))
 
 
 def masked(df: DataFrame, style: str = "labels", text: str = "text", spans: str = "spans", out: str = "masked", kept: str | None = None) -> DataFrame:
