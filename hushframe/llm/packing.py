@@ -8,7 +8,8 @@ branch-and-bound search runs on it alone:
 * the largest piece left must go somewhere; all fillings that complete its sequence are
   enumerated as they are asked for, largest pieces first, but for dominated ones: a filling is
   dominated if a piece left over could be added, or could replace a smaller one (or two) in it;
-* a filling is applied to as many sequences as its pieces allow;
+* a filling is applied to as many sequences as its pieces allow, then to one less, and so on, and no
+  more to others that begin with the same piece;
 * branches that can't beat the incumbent, by the total length left (every sequence wasted
   so far counts), are pruned; the first incumbent is best-fit decreasing; a solution at the
   bound, or the end of all branches, proves the plan to be the best of its kind.
@@ -22,10 +23,12 @@ each range of ranks which sequences, and which place in them, it fills.
 
 from __future__ import annotations
 
+import logging
 import zlib
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -76,8 +79,6 @@ def fillings(lengths: list[int], counts: dict[int, int], room: int) -> Iterator[
             continue
         if grown:
             yield None if dominated(chosen, left) else tuple(chosen)
-            if not left:
-                return  # nothing beats a full sequence; the first one has the largest pieces
         grown = False
         open_.pop()
         if chosen:
@@ -112,6 +113,24 @@ def best_fit(histogram: dict[int, int], length: int) -> list[tuple[tuple[int, ..
     return plan
 
 
+@dataclass
+class Node:
+    """A state of the search: its largest piece, the fillings not yet tried, what is left to pack, the
+    sequences used, the fillings that are done with, and the filling in use and how often.
+
+    A filling is closed below a node that uses it ``times`` times, as long as the largest piece is
+    the same: plans that use it more often were looked at before."""
+
+    top: int
+    options: Iterator[tuple[int, ...] | None]
+    remaining: int
+    size: int
+    closed: frozenset[tuple[int, ...]]
+    filling: tuple[int, ...] = ()
+    times: int = 0
+    in_use: bool = False
+
+
 def search(histogram: dict[int, int], length: int = LENGTH, steps: int = STEPS) -> tuple[list[tuple[tuple[int, ...], int]], bool]:
     """``(filling, times)``: the plan with the fewest sequences that the search finds, and whether
     it ended by itself, in at most ``steps`` steps."""
@@ -124,55 +143,60 @@ def search(histogram: dict[int, int], length: int = LENGTH, steps: int = STEPS)
     bound = max(-(-total // length), sum(n for x, n in histogram.items() if 2 * x > length))
     counts = dict(histogram)
     plan: list[tuple[tuple[int, ...], int]] = []
-    # An explicit stack: each frame has the fillings not yet tried at its node, what is left to
-    # pack there, the sequences used, and the filling in use.
-    stack: list[list] = []
+    stack: list[Node] = []
 
-    def open_node(remaining: int, size: int) -> None:
+    def open_node(remaining: int, size: int, before: Node | None) -> None:
         lengths = sorted(x for x, n in counts.items() if n > 0)
         top = lengths[-1]
         here = dict(counts)
         here[top] -= 1
-        stack.append([top, fillings([x for x in lengths if here[x] > 0], here, length - top), remaining, size, None])
+        closed = before.closed | {before.filling} if before and before.top == top else frozenset()
+        stack.append(Node(top, fillings([x for x in lengths if here[x] > 0], here, length - top), remaining, size, closed))
 
     if best_size > bound:
-        open_node(total, 0)
+        open_node(total, 0, None)
     while stack and best_size > bound:
-        top, options, remaining, size, done = stack[-1]
-        if done:
-            for x in done[0]:
-                counts[x] += done[1]
+        node = stack[-1]
+        if node.in_use:
+            for x in node.filling:
+                counts[x] += node.times
             plan.pop()
-            stack[-1][4] = None
+            node.in_use = False
         if not steps:
             return best, False
         steps -= 1
-        try:
-            option = next(options)
-        except StopIteration:
-            stack.pop()
-            continue
-        if option is None:
-            continue
-        filling = (top, *option)
-        times = min(counts[x] // n for x, n in Counter(filling).items())
-        after, used = remaining - times * sum(filling), size + times
+        if node.times > 1:
+            node.times -= 1
+        else:
+            try:
+                option = next(node.options)
+            except StopIteration:
+                stack.pop()
+                continue
+            filling = (node.top, *option) if option is not None else None
+            if filling is None or filling in node.closed:
+                node.times = 0
+                continue
+            node.filling, node.times = filling, min(counts[x] // n for x, n in Counter(filling).items())
+        after, used = node.remaining - node.times * sum(node.filling), node.size + node.times
         if used + -(-after // length) >= best_size:
             continue
-        for x in filling:
-            counts[x] -= times
-        plan.append((filling, times))
-        stack[-1][4] = filling, times
+        for x in node.filling:
+            counts[x] -= node.times
+        plan.append((node.filling, node.times))
+        node.in_use = True
         if not after:
             best, best_size = list(plan), used
             continue
-        open_node(after, used)
+        open_node(after, used, node)
     return best, True
 
 
 def solve(histogram: dict[int, int], length: int = LENGTH, steps: int = STEPS) -> list[tuple[tuple[int, ...], int]]:
-    """The plan that ``search`` finds."""
-    return search(histogram, length, steps)[0]
+    """The plan that ``search`` finds; whether it is proved to be the best is logged."""
+    plan, ended = search(histogram, length, steps)
+    logging.getLogger(__name__).info("packing: %d sequences, %s", sum(t for _, t in plan), "the fewest possible" if ended else f"the best of {steps} steps")
+    return plan
 
 
 def tokenized(docs: DataFrame, tokenizer: str, end_id: int, length: int, id_col: str, text_col: str, keep_ids: bool) -> DataFrame:
