@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: The mean light below which a screen is dark, of every so manyth pixel; at every how manyth
+#: check faces are looked for, and the seconds a face's track may go unseen then.
+DARK, EVERY_PIXEL, FACE_EVERY, FACE_GAP = 110, 4, 2, 2.0
 #: A clear change of gray, pixels that make a changed row, rows apart in one band.
 CLEAR, PIXELS, APART = 24, 2, 3
 
@@ -55,3 +58,16 @@ def typed_from(snapshots: DataFrame, firsts: DataFrame, by: str, n: str = "n", t
     # Frames are numbered without gaps: the unbroken run up to the item's frame has n + rank constant.
     back = F.row_number().over(Window.partitionBy(by, "__at", "item").orderBy(F.desc(n)))
     return hits.withColumn("__k", back).where(F.col(n) + F.col("__k") == F.col("__at")).groupBy(by, "item", F.col("__at").alias("shown")).agg(F.min(n).alias("since"))
+
+
+def is_dark(light: Column) -> Column:
+    """Whether a region is dark on the mean, so that its light text is read once more as dark text on
+    white: of an array of luma, every fourth pixel counts. A null or empty region is not dark."""
+    some = F.filter(light, lambda _, i: i % EVERY_PIXEL == 0)
+    return F.coalesce(F.aggregate(some, F.lit(0.0), lambda a, v: a + v) / F.nullif(F.size(some), F.lit(0)) < DARK, F.lit(False))
+
+
+def face_checks(checks: DataFrame, n: str = "n") -> DataFrame:
+    """The checks, numbered from 1, at which faces are looked for; what is found there goes to the
+    tracker with a gap of ``FACE_GAP``."""
+    return checks.where((F.col(n) - 1) % FACE_EVERY == 0)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
-from ..operators import boxes, intervals, layout, pictures
+from ..operators import boxes, intervals, layout, pictures, screens
 from ..session import table
 from .layouts import EMAIL, PARTS, PAGE_TEXTS, page_items
 from .texts import COALESCED_SQL, exploded, spans_sql, texts
@@ -73,7 +73,19 @@ def hidden_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pictures.hidden_counts(tagged, ["user"])
 
 
-QUERIES = {f.__name__: f for f in (spans_joined, turned_rects, words_off_pictures, head_names, face_covers, hidden_names)}
+def dark_screens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings as regions of 64 pixels: which ones are dark."""
+    light = F.transform("embedding", lambda v: F.lit(110.0) + v.cast("double") * 200)
+    return table(spark, sf_dir, "embeddings").select("vec_id", screens.is_dark(light).alias("dark"))
+
+
+def faces_at_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as faces found at checks of a quarter second: what every second check tells, in all."""
+    found = screen(spark, sf_dir).withColumn("n", F.floor(F.col("event_id") / 3) % 50 + 1)
+    return screens.face_checks(found).groupBy("user").agg(F.count(F.lit(1)).alias("faces"), F.count_distinct("n").alias("checks"))
+
+
+QUERIES = {f.__name__: f for f in (spans_joined, turned_rects, words_off_pictures, head_names, face_covers, hidden_names, dark_screens, faces_at_checks)}
 
 SCREEN = f"""(SELECT user_id % 40 AS "user", event_id, CAST(event_id * 37 % 401 AS DOUBLE) AS x, CAST(event_id * 53 % 151 AS DOUBLE) AS y, CAST(event_id * 7 % 90 + 10 AS DOUBLE) AS w, CAST(event_id * 11 % 30 + 10 AS DOUBLE) AS h,
   {SAID!r}[CAST(event_id % {len(SAID)} + 1 AS INTEGER)] AS text, event_id % 7 = 0 AS area FROM events)"""
@@ -99,6 +111,8 @@ def side(pick: str, o: str, along: str, up: str) -> str:
 
 
 SQL = {
+    "dark_screens": "SELECT vec_id, list_avg(list_transform(list_filter(embedding, lambda v, i: (i - 1) % 4 = 0), lambda v: 110.0::DOUBLE + v::DOUBLE * 200)) < 110 AS dark FROM embeddings",
+    "faces_at_checks": f"""SELECT "user", count(*) AS faces, count(DISTINCT n) AS checks FROM (SELECT *, (event_id // 3) % 50 + 1 AS n FROM {SCREEN}) WHERE (n - 1) % 2 = 0 GROUP BY ALL""",
     "spans_joined": COALESCED_SQL,
     "turned_rects": f"""
 WITH m AS (SELECT avg(l % 5 + 3) AS mean FROM range(97, 123) r(l)),

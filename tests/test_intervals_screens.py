@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hushframe.functions.spans import coalesce
-from hushframe.operators import boxes, intervals, layout, pictures
+from hushframe.operators import boxes, intervals, layout, pictures, screens
 
 PARTS = "p int, n int, start int, end int, x double, y double, width double, size double, str string, font string, a double, b double, c double, d double"
 
@@ -86,3 +86,9 @@ def test_turned_items(spark):
         corners = [(x + a / 3 * u + c / size * v, y + b / 3 * u + d / size * v) for u in (u0 - 0.2 * size, u1 + 0.2 * size) for v in (-0.28 * size, 0.95 * size)]
         want = [f(p[i] for p in corners) for f in (min, max) for i in (0, 1)]
         assert [r["x0"], r["y0"], r["x1"], r["y1"]] == pytest.approx(want)
+
+
+def test_dark_regions_and_face_checks(spark):
+    rows = [([100.0] + [255.0] * 3 + [119.0],), ([100.0] + [0.0] * 3 + [120.0],), ([],), (None,)]
+    assert [r["d"] for r in spark.createDataFrame(rows, "l array<double>").select(screens.is_dark(F.col("l")).alias("d")).collect()] == [True, False, False, False]
+    assert [r["n"] for r in screens.face_checks(spark.range(1, 7).toDF("n")).collect()] == [1, 3, 5]
