@@ -30,6 +30,28 @@ def piece(text: Column, s: Column) -> Column:
     return F.substring(text, s["start"] + 1, s["end"] - s["start"])
 
 
+#: Code points of a block of text.
+BLOCK = 2048
+
+
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once: in a lambda, it would be for every element."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def blocks(text: Column) -> Column:
+    """The text in blocks, for many pieces of one text: to find a piece, characters are counted from
+    the beginning of what it is a piece of."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+
+
+def part(blocks: Column, start: Column, end: Column) -> Column:
+    """What lies between two places of a text in ``blocks``."""
+    first = F.greatest(F.lit(0), F.shiftright(start, BLOCK.bit_length() - 1))
+    n = F.greatest(F.lit(0), F.shiftright(end, BLOCK.bit_length() - 1) - first + 1)
+    return F.substring(F.array_join(F.slice(blocks, first + 1, n), ""), start - first * BLOCK + 1, end - start)
+
+
 MATCHES = "struct<rank:int,between:array<string>,whole:array<string>,value:array<string>>"
 
 
@@ -83,28 +105,26 @@ def first_wins(spans: Column) -> Column:
 def first_rule_wins(rules: Column) -> Column:
     """``array<array<span>>``, one array of disjoint spans from left to right per rule, in order of
     rules: takes each span unless it overlaps one of a rule before. One sorted sweep per rule."""
-    mark = lambda spans, own: F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(own).alias("own"), s["end"].alias("end"), s["tag"].alias("tag")))
-    plain = lambda e: span(e["tag"], e["start"], e["end"])
-
     def add(taken: Column, more: Column) -> Column:
-        # The sweep holds a new span back until the next one taken is seen to begin after it.
-        start = F.struct(F.lit(0).alias("till"), F.lit(None).cast(SPAN).alias("held"), none().alias("out"))
-
-        def step(acc: Column, e: Column) -> Column:
-            ends = acc["held"].isNull() | ((e["own"] == 0) & (e["start"] < acc["held"]["end"]))
-            out = F.when(ends, acc["out"]).otherwise(F.concat(acc["out"], F.array(acc["held"])))
-            held = F.when((e["own"] == 1) & (e["start"] >= acc["till"]), plain(e))
-            return F.struct(F.when(e["own"] == 0, e["end"]).otherwise(acc["till"]).alias("till"), held.alias("held"), out.alias("out"))
-
-        last = lambda acc: F.when(acc["held"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(acc["held"])))
-        return F.when(F.size(taken) == 0, more).otherwise(F.concat(taken, F.aggregate(F.array_sort(F.concat(mark(taken, 0), mark(more, 1))), start, step, last)))
+        return F.when(F.size(taken) == 0, more).otherwise(F.concat(taken, clear_of(more, taken)))
 
     return F.aggregate(rules, none(), add)
 
 
 def clear_of(spans: Column, others: Column) -> Column:
-    """The spans that overlap none of ``others``."""
-    return F.filter(spans, lambda s: ~F.exists(others, lambda o: overlaps(s, o)))
+    """Of disjoint ``spans`` those that overlap none of ``others``, from left to right. One sorted sweep,
+    which holds a span back until the next of the others is seen to begin after it."""
+    mark = lambda spans, own: F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(own).alias("own"), s["end"].alias("end"), s["tag"].alias("tag")))
+    start = F.struct(F.lit(0).alias("till"), F.lit(None).cast(SPAN).alias("held"), none().alias("out"))
+
+    def step(acc: Column, e: Column) -> Column:
+        ends = acc["held"].isNull() | ((e["own"] == 0) & (e["start"] < acc["held"]["end"]))
+        out = F.when(ends, acc["out"]).otherwise(F.concat(acc["out"], F.array(acc["held"])))
+        held = F.when((e["own"] == 1) & (e["start"] >= acc["till"]), span(e["tag"], e["start"], e["end"]))
+        return F.struct(F.when(e["own"] == 0, F.greatest(acc["till"], e["end"])).otherwise(acc["till"]).alias("till"), held.alias("held"), out.alias("out"))
+
+    last = lambda acc: F.when(acc["held"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(acc["held"])))
+    return F.aggregate(F.array_sort(F.concat(mark(others, 0), mark(spans, 1))), start, step, last)
 
 
 def ordered(spans: Column) -> Column:
@@ -130,32 +150,38 @@ def trimmed(text: Column, spans: Column) -> Column:
     """Spans without white space at the start, or white space and marks at the end; spans of
     nothing else go."""
 
-    def cut(s: Column) -> Column:
-        value = piece(text, s)
-        rest = F.regexp_replace(value, LEFT_TRIM, "")
-        start = s["start"] + F.length(value) - F.length(rest)
-        return span(s["tag"], start, start + F.length(F.regexp_replace(rest, RIGHT_TRIM, "")))
+    def cut(blocks: Column) -> Column:
+        found = F.transform(spans, lambda s: F.struct(s["tag"].alias("tag"), s["start"].alias("start"), part(blocks, s["start"], s["end"]).alias("value")))
+        found = F.transform(found, lambda s: F.struct(s["tag"].alias("tag"), (s["start"] + F.length(s["value"])).alias("end"), F.regexp_replace(s["value"], LEFT_TRIM, "").alias("rest")))
+        found = F.transform(found, lambda s: F.struct(s["tag"].alias("tag"), (s["end"] - F.length(s["rest"])).alias("start"), F.length(F.regexp_replace(s["rest"], RIGHT_TRIM, "")).alias("n")))
+        return F.transform(F.filter(found, lambda s: s["n"] > 0), lambda s: span(s["tag"], s["start"], s["start"] + s["n"]))
 
-    return F.filter(F.transform(spans, cut), lambda s: s["end"] > s["start"])
+    return bound(blocks(text), cut)
 
 
 def split_at_lines(text: Column, spans: Column) -> Column:
     """Spans cut at line ends, empty ones left out."""
 
-    def lines(s: Column) -> Column:
+    def lines(s: Column, blocks: Column) -> Column:
         start = F.struct(s["start"].alias("at"), none().alias("out"))
 
         def step(acc: Column, line: Column) -> Column:
             end = acc["at"] + F.length(line)
             return F.struct((end + 1).alias("at"), F.concat(acc["out"], F.array(span(s["tag"], acc["at"], end))).alias("out"))
 
-        return F.aggregate(F.split(piece(text, s), "\n", -1), start, step, lambda acc: acc["out"])
+        return F.aggregate(F.split(part(blocks, s["start"], s["end"]), "\n", -1), start, step, lambda acc: acc["out"])
 
-    return F.filter(F.flatten(F.transform(spans, lines)), lambda s: s["end"] > s["start"])
+    cut = bound(blocks(text), lambda blocks: F.flatten(F.transform(spans, lambda s: lines(s, blocks))))
+    return F.filter(cut, lambda s: s["end"] > s["start"])
 
 
 def rebuilt(text: Column, subs: Column) -> Column:
     """The text with ``array<struct<start, end, sub>>`` (sorted, disjoint) put in place."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    step = lambda acc, x: F.struct(x["end"].alias("at"), F.concat(acc["out"], F.array(F.substring(text, acc["at"] + 1, x["start"] - acc["at"]), x["sub"])).alias("out"))
-    return F.aggregate(subs, start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
+
+    def join(both: Column) -> Column:
+        blocks, subs = both["blocks"], both["subs"]
+        end = lambda i: F.coalesce(F.get(subs, i)["end"], F.lit(0))
+        parts = F.transform(subs, lambda x, i: F.concat(part(blocks, end(i - 1), x["start"]), F.coalesce(x["sub"], F.lit(""))))
+        return F.concat(F.array_join(parts, ""), F.substring(text, end(F.size(subs) - 1) + 1, F.length(text)))
+
+    return bound(F.struct(blocks(text).alias("blocks"), subs.alias("subs")), join)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
-from ..functions.spans import SPANS, clear_of, coalesce, first_rule_wins, none, piece, rebuilt, scan, span, trimmed
+from ..functions.spans import SPANS, blocks, bound, clear_of, coalesce, first_rule_wins, none, part, rebuilt, scan, span, trimmed
 from .names import pseudonyms
 
 STYLES = ("labels", "numbered", "blocks", "redacted", "fake")
@@ -80,22 +80,30 @@ def with_spans(df: DataFrame, text: str = "text", out: str = "spans", enabled: l
 
 
 def with_values(df: DataFrame, text: str = "text", spans: str = "spans", out: str = "values") -> DataFrame:
-    return df.withColumn(out, F.transform(spans, lambda s: F.struct(s["tag"].alias("tag"), s["start"].alias("start"), s["end"].alias("end"), piece(F.col(text), s).alias("value"))))
+    value = lambda s, blocks: F.struct(s["tag"].alias("tag"), s["start"].alias("start"), s["end"].alias("end"), part(blocks, s["start"], s["end"]).alias("value"))
+    return df.withColumn(out, bound(blocks(F.col(text)), lambda blocks: F.transform(spans, lambda s: value(s, blocks))))
 
 
-def bound(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is worked out once: in a lambda, it would be for every element."""
-    return F.get(F.transform(F.array(value), body), 0)
+def numbers(values: Column) -> Column:
+    """The number of each value within its tag, by first appearance; case does not count.
 
+    Sorted by tag and value, each value meets its first place; sorted by tag and first place, its
+    number; sorted by place, they are as they came."""
+    start = lambda first, last: F.struct(F.lit("").alias("tag"), first, F.lit(0).alias("n"), F.array().cast(last).alias("out"))
 
-def numbers(values: Column) -> Column:
-    """The number of each value within its tag, by first appearance; case does not count. Each tag's
-    different values are ranked once, and every value looks its rank up."""
-    key = lambda v: F.concat_ws("|", v["tag"], F.lower(v["value"]))
-    pairs = F.array_distinct(F.transform(values, lambda v: F.struct(v["tag"].alias("tag"), key(v).alias("key"))))
-    of_tag = lambda pairs, t: F.transform(F.filter(pairs, lambda p: p["tag"] == t), lambda p, i: F.struct(p["key"].alias("key"), (i + 1).alias("n")))
-    ranks = bound(pairs, lambda pairs: F.map_from_entries(F.flatten(F.transform(F.array_distinct(F.transform(pairs, lambda p: p["tag"])), lambda t: of_tag(pairs, t)))))
-    return bound(ranks, lambda ranks: F.transform(values, lambda v: ranks[key(v)]))
+    def first_place(acc: Column, x: Column) -> Column:
+        again = (acc["tag"] == x["tag"]) & (acc["key"] == x["key"])
+        at = F.when(again, acc["n"]).otherwise(x["i"])
+        return F.struct(x["tag"].alias("tag"), x["key"].alias("key"), at.alias("n"), F.concat(acc["out"], F.array(F.struct(x["tag"].alias("tag"), at.alias("at"), x["i"].alias("i")))).alias("out"))
+
+    def number(acc: Column, x: Column) -> Column:
+        n = F.when(acc["tag"] == x["tag"], acc["n"] + (acc["at"] != x["at"]).cast("int")).otherwise(1)
+        return F.struct(x["tag"].alias("tag"), x["at"].alias("at"), n.alias("n"), F.concat(acc["out"], F.array(F.struct(x["i"].alias("i"), n.alias("n")))).alias("out"))
+
+    keyed = F.transform(values, lambda v, i: F.struct(v["tag"].alias("tag"), F.lower(v["value"]).alias("key"), i.alias("i")))
+    places = F.aggregate(F.sort_array(keyed), start(F.lit("").alias("key"), "array<struct<tag:string,at:int,i:int>>"), first_place, lambda acc: acc["out"])
+    found = F.aggregate(F.sort_array(places), start(F.lit(-1).alias("at"), "array<struct<i:int,n:int>>"), number, lambda acc: acc["out"])
+    return F.transform(F.sort_array(found), lambda x: x["n"])
 
 
 def masked(df: DataFrame, style: str = "labels", text: str = "text", spans: str = "spans", out: str = "masked", kept: str | None = None) -> DataFrame:
