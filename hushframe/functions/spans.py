@@ -52,6 +52,32 @@ def part(blocks: Column, start: Column, end: Column) -> Column:
     return F.substring(F.array_join(F.slice(blocks, first + 1, n), ""), start - first * BLOCK + 1, end - start)
 
 
+#: Elements of an array that are folded before what they give is put to the rest.
+RUN = 256
+
+
+def fold(items: Column, state: Column, kind: str, step: Callable[[Column, Column], tuple[Column, Column]], last: Callable[[Column], Column] | None = None) -> Column:
+    """``aggregate`` for results that are arrays (of type ``kind``): ``step`` tells the next state and
+    what to append, ``last`` what to append at the end.
+
+    Each append copies an array, so elements are folded in runs, each with an array of its own."""
+    none = F.array().cast(kind)
+    acc = lambda s, out: F.struct(s.alias("s"), out.alias("out"))
+
+    def one(a: Column, x: Column) -> Column:
+        s, more = step(a["s"], x)
+        return acc(s, F.concat(a["out"], more))
+
+    def run(a: Column, xs: Column) -> Column:
+        return bound(F.aggregate(xs, acc(a["s"], none), one), lambda got: acc(got["s"], F.concat(a["out"], got["out"])))
+
+    def end(a: Column) -> Column:
+        return F.concat(a["out"], last(a["s"])) if last else a["out"]
+
+    runs = bound(items, lambda items: F.transform(F.sequence(F.lit(0), F.shiftright(F.size(items), RUN.bit_length() - 1)), lambda k: F.slice(items, k * RUN + 1, RUN)))
+    return F.aggregate(runs, acc(state, none), run, end)
+
+
 MATCHES = "struct<rank:int,between:array<string>,whole:array<string>,value:array<string>>"
 
 
@@ -73,13 +99,11 @@ def placed(found: Column) -> Column:
     Spark tells matches, not places: the running lengths of what lies between them and of the
     matches give the places. The group must end the match."""
     ends = F.zip_with(found["between"], found["whole"], lambda b, m: F.struct(F.length(b).alias("b"), F.length(m).alias("m")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        end = acc["at"] + x["b"] + x["m"]
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(end)).alias("out"))
+    def step(at: Column, x: Column) -> tuple[Column, Column]:
+        end = at + x["b"] + x["m"]
+        return end, F.array(end)
 
-    ends = F.aggregate(F.slice(ends, F.lit(1), F.size(found["whole"])), start, step, lambda acc: acc["out"])
+    ends = fold(F.slice(ends, F.lit(1), F.size(found["whole"])), F.lit(0), "array<int>", step)
     return F.zip_with(ends, found["value"], lambda end, v: F.struct(found["rank"].alias("rank"), (end - F.length(v)).alias("start"), end.alias("end"), v.alias("value")))
 
 
@@ -115,16 +139,16 @@ def clear_of(spans: Column, others: Column) -> Column:
     """Of disjoint ``spans`` those that overlap none of ``others``, from left to right. One sorted sweep,
     which holds a span back until the next of the others is seen to begin after it."""
     mark = lambda spans, own: F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(own).alias("own"), s["end"].alias("end"), s["tag"].alias("tag")))
-    start = F.struct(F.lit(0).alias("till"), F.lit(None).cast(SPAN).alias("held"), none().alias("out"))
+    start = F.struct(F.lit(0).alias("till"), F.lit(None).cast(SPAN).alias("held"))
+    some = lambda held: F.filter(F.array(held), lambda s: s.isNotNull())
 
-    def step(acc: Column, e: Column) -> Column:
-        ends = acc["held"].isNull() | ((e["own"] == 0) & (e["start"] < acc["held"]["end"]))
-        out = F.when(ends, acc["out"]).otherwise(F.concat(acc["out"], F.array(acc["held"])))
+    def step(acc: Column, e: Column) -> tuple[Column, Column]:
+        hit = (e["own"] == 0) & (e["start"] < acc["held"]["end"])
         held = F.when((e["own"] == 1) & (e["start"] >= acc["till"]), span(e["tag"], e["start"], e["end"]))
-        return F.struct(F.when(e["own"] == 0, F.greatest(acc["till"], e["end"])).otherwise(acc["till"]).alias("till"), held.alias("held"), out.alias("out"))
+        till = F.when(e["own"] == 0, F.greatest(acc["till"], e["end"])).otherwise(acc["till"])
+        return F.struct(till.alias("till"), held.alias("held")), F.when(hit, none()).otherwise(some(acc["held"]))
 
-    last = lambda acc: F.when(acc["held"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(acc["held"])))
-    return F.aggregate(F.array_sort(F.concat(mark(others, 0), mark(spans, 1))), start, step, last)
+    return fold(F.array_sort(F.concat(mark(others, 0), mark(spans, 1))), start, SPANS, step, lambda acc: some(acc["held"]))
 
 
 def ordered(spans: Column) -> Column:
@@ -137,13 +161,13 @@ def coalesce(spans: Column) -> Column:
     """Overlapping spans become one, tagged by a span longer than what it joins; touching
     ones stay apart. Sorted by start."""
 
-    def step(acc: Column, x: Column) -> Column:
-        last = F.element_at(acc, -1)
-        longer = (x["end"] - x["start"]) > (last["end"] - last["start"])
-        joined = span(F.when(longer, x["tag"]).otherwise(last["tag"]), last["start"], F.greatest(last["end"], x["end"]))
-        return F.when((F.size(acc) > 0) & (x["start"] < F.try_element_at(acc, F.lit(-1))["end"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(joined))).otherwise(F.concat(acc, F.array(x)))
+    def step(held: Column, x: Column) -> tuple[Column, Column]:
+        apart = held.isNull() | (x["start"] >= held["end"])
+        longer = (x["end"] - x["start"]) > (held["end"] - held["start"])
+        joined = span(F.when(longer, x["tag"]).otherwise(held["tag"]), held["start"], F.greatest(held["end"], x["end"]))
+        return F.when(apart, x).otherwise(joined), F.when(apart & held.isNotNull(), F.array(held)).otherwise(none())
 
-    return F.aggregate(ordered(spans), none(), lambda acc, x: F.when(F.size(acc) == 0, F.array(x)).otherwise(step(acc, x)))
+    return fold(ordered(spans), F.lit(None).cast(SPAN), SPANS, step, lambda held: F.when(held.isNull(), none()).otherwise(F.array(held)))
 
 
 def trimmed(text: Column, spans: Column) -> Column:

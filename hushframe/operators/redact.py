@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
-from ..functions.spans import SPANS, blocks, bound, clear_of, coalesce, first_rule_wins, none, part, rebuilt, scan, span, trimmed
+from ..functions.spans import SPANS, blocks, bound, clear_of, coalesce, first_rule_wins, fold, none, part, rebuilt, scan, span, trimmed
 from .names import pseudonyms
 
 STYLES = ("labels", "numbered", "blocks", "redacted", "fake")
@@ -89,20 +89,19 @@ def numbers(values: Column) -> Column:
 
     Sorted by tag and value, each value meets its first place; sorted by tag and first place, its
     number; sorted by place, they are as they came."""
-    start = lambda first, last: F.struct(F.lit("").alias("tag"), first, F.lit(0).alias("n"), F.array().cast(last).alias("out"))
+    pair = lambda **columns: F.struct(*[c.alias(name) for name, c in columns.items()])
 
-    def first_place(acc: Column, x: Column) -> Column:
-        again = (acc["tag"] == x["tag"]) & (acc["key"] == x["key"])
-        at = F.when(again, acc["n"]).otherwise(x["i"])
-        return F.struct(x["tag"].alias("tag"), x["key"].alias("key"), at.alias("n"), F.concat(acc["out"], F.array(F.struct(x["tag"].alias("tag"), at.alias("at"), x["i"].alias("i")))).alias("out"))
+    def first_place(acc: Column, x: Column) -> tuple[Column, Column]:
+        at = F.when((acc["tag"] == x["tag"]) & (acc["key"] == x["key"]), acc["at"]).otherwise(x["i"])
+        return pair(tag=x["tag"], key=x["key"], at=at), F.array(pair(tag=x["tag"], at=at, i=x["i"]))
 
-    def number(acc: Column, x: Column) -> Column:
+    def number(acc: Column, x: Column) -> tuple[Column, Column]:
         n = F.when(acc["tag"] == x["tag"], acc["n"] + (acc["at"] != x["at"]).cast("int")).otherwise(1)
-        return F.struct(x["tag"].alias("tag"), x["at"].alias("at"), n.alias("n"), F.concat(acc["out"], F.array(F.struct(x["i"].alias("i"), n.alias("n")))).alias("out"))
+        return pair(tag=x["tag"], at=x["at"], n=n), F.array(pair(i=x["i"], n=n))
 
-    keyed = F.transform(values, lambda v, i: F.struct(v["tag"].alias("tag"), F.lower(v["value"]).alias("key"), i.alias("i")))
-    places = F.aggregate(F.sort_array(keyed), start(F.lit("").alias("key"), "array<struct<tag:string,at:int,i:int>>"), first_place, lambda acc: acc["out"])
-    found = F.aggregate(F.sort_array(places), start(F.lit(-1).alias("at"), "array<struct<i:int,n:int>>"), number, lambda acc: acc["out"])
+    keyed = F.transform(values, lambda v, i: pair(tag=v["tag"], key=F.lower(v["value"]), i=i))
+    places = fold(F.sort_array(keyed), F.lit(None).cast("struct<tag:string,key:string,at:int>"), "array<struct<tag:string,at:int,i:int>>", first_place)
+    found = fold(F.sort_array(places), F.lit(None).cast("struct<tag:string,at:int,n:int>"), "array<struct<i:int,n:int>>", number)
     return F.transform(F.sort_array(found), lambda x: x["n"])
 
 

@@ -1,13 +1,16 @@
 """Words read from pictures: several passes merged, words to lines, lines to text.
 
 A word is a row: a key (a picture), ``str``, ``x, y, w, h`` (y grows downwards) and ``conf``, 0 to 100.
-Merging and lining up depend on the words before; they run on one picture's words at a time.
+Merging and lining up depend on the words before: pictures are dealt to tasks, and a task goes
+through the words of all its pictures, batch by batch.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,55 +20,108 @@ SURE, SAME, LEVEL, WIDEST, TIGHT = 50, 0.5, 0.5, 1.6, 0.35
 UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}]"
 
 
-def shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Areas that box ``a`` shares with the boxes ``b`` (``x, y, w, h``)."""
-    return np.clip(np.minimum(a[:2] + a[2:], b[:, :2] + b[:, 2:]) - np.maximum(a[:2], b[:, :2]), 0, None).prod(1)
-
-
-def surest(words: pd.DataFrame) -> pd.DataFrame:
-    """Of words at the same place the surest; of equally sure ones the first."""
-    words = words.iloc[np.argsort(-words["conf"].to_numpy(), kind="stable")]
-    boxes = words[["x", "y", "w", "h"]].to_numpy(float)
-    areas, kept = boxes[:, 2:].prod(1), []
-    for k in range(len(words)):
-        if not kept or not (shared(boxes[k], boxes[kept]) > SAME * np.minimum(areas[k], areas[kept])).any():
+def by_picture(words: DataFrame, by: str, order: str, kind: str, body: Callable[[pa.Table, list[tuple[int, int]]], pa.Table]) -> DataFrame:
+    """``body`` of tables of whole pictures, words by ``order``, with the rows of each picture."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for b in batches:
+            rows = pa.Table.from_batches([b])
+            held = rows if held is None else pa.concat_tables([held, rows]).combine_chunks()
+            ends = np.flatnonzero(np.diff(keys(held))) + 1
+            if len(ends):  # the last picture may go on
+                yield from body(held.slice(0, ends[-1]), list(zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True))).to_batches()
+                held = held.slice(ends[-1])
+        if held is not None and held.num_rows:
+            yield from body(held, [(0, held.num_rows)]).to_batches()
+
+    def keys(rows: pa.Table) -> np.ndarray:
+        return rows.column(by).combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+
+    return words.repartition(by).sortWithinPartitions(by, F.asc_nulls_last(order)).mapInArrow(run, kind)
+
+
+def boxes_of(rows: pa.Table) -> list[tuple[float, float, float, float]]:
+    return list(zip(*(rows.column(c).cast(pa.float64()).to_numpy().tolist() for c in ("x", "y", "w", "h")), strict=True))
+
+
+def surest(boxes: list[tuple[float, float, float, float]], conf: np.ndarray) -> list[int]:
+    """Of words at the same place the surest; of equally sure ones the first.
+
+    A grid holds the kept words by their corner. Its cells are as large as the largest box, so what
+    a word can meet lies in its cell or next to it."""
+    wide, tall = (max(1e-9, max(b[i] for b in boxes)) for i in (2, 3))
+    grid: dict[tuple[int, int], list[tuple[float, float, float, float, float]]] = {}
+    kept = []
+    for k in np.argsort(-conf, kind="stable").tolist():
+        x, y, w, h = boxes[k]
+        right, bottom, area = x + w, y + h, w * h
+        i, j = int(x // wide), int(y // tall)
+        near = (other for di in (0, -1, 1) for dj in (0, -1, 1) for other in grid.get((i + di, j + dj), ()))
+        for left, top, r, b, size in near:
+            across, down = min(right, r) - max(x, left), min(bottom, b) - max(y, top)
+            if across > 0 and down > 0 and across * down > SAME * min(area, size):
+                break
+        else:
             kept.append(k)
-    return words.iloc[kept]
+            grid.setdefault((i, j), []).append((x, y, right, bottom, area))
+    return kept
 
 
 def merged(words: DataFrame, by: str, order: str = "n") -> DataFrame:
     """The words of all passes, each place once. Words without letter, digit or @, unsure ones
     and ones without a place take no part."""
     fit = words.where((F.col("conf") >= SURE) & F.col("str").rlike(r"[\p{L}\p{N}@]")).dropna(subset=[by, "x", "y", "w", "h"])
-    return fit.groupBy(by).applyInPandas(lambda part: surest(part.sort_values(order, kind="stable")), fit.schema)
-
-
-def lined(words: pd.DataFrame) -> pd.DataFrame:
-    """Adds ``line``: from left to right, each word goes to the nearest line level with it, or
-    starts one. Lines are numbered from the top."""
-    words = words.sort_values("x", kind="stable")
-    lines = np.empty((0, 4))  # left, top, right, bottom
-    of = []
-    for x, y, w, h in words[["x", "y", "w", "h"]].to_numpy(float):
-        heights = lines[:, 3] - lines[:, 1]
-        level = np.minimum(y + h, lines[:, 3]) - np.maximum(y, lines[:, 1]) >= LEVEL * np.minimum(h, heights)
-        gap = np.maximum(0, np.maximum(x - lines[:, 2], lines[:, 0] - x - w))
-        fits = np.flatnonzero(level & (gap < WIDEST * np.maximum(h, heights)))
-        box = np.array([x, y, x + w, y + h])
-        if len(fits):
-            k = fits[gap[fits].argmin()]
-            lines[k] = [*np.minimum(lines[k, :2], box[:2]), *np.maximum(lines[k, 2:], box[2:])]
+
+    def body(rows: pa.Table, pictures: list[tuple[int, int]]) -> pa.Table:
+        boxes, conf = boxes_of(rows), rows.column("conf").cast(pa.float64()).to_numpy()
+        return rows.take(pa.array([a + k for a, b in pictures for k in surest(boxes[a:b], conf[a:b])], pa.int64()))
+
+    return by_picture(fit, by, order, fit.schema, body)
+
+
+def lined(boxes: list[tuple[float, float, float, float]]) -> np.ndarray:
+    """The line of each word: from left to right, it goes to the nearest line level with it, or starts
+    one. Lines are numbered from the top. A word without a place is a line of its own.
+
+    Only lines that a word further right can still reach are looked at."""
+    x0, tallest = np.array([b[0] for b in boxes]), max(b[3] for b in boxes)
+    lines: list[list[float]] = []  # left, top, right, bottom
+    live, often, of = [], 16, [0] * len(boxes)
+    for k in np.argsort(x0, kind="stable").tolist():
+        x, y, w, h = boxes[k]
+        right, bottom, best, least = x + w, y + h, None, np.inf
+        if len(live) > often:
+            live = [i for i in live if not x - lines[i][2] >= WIDEST * max(tallest, lines[i][3] - lines[i][1])]
+            often = 2 * len(live) + 16
+        for i in live if right == right else ():
+            left, top, r, b = lines[i]
+            gap, tall = max(0.0, x - r, left - right), b - top
+            if gap < least and gap < WIDEST * max(h, tall) and min(bottom, b) - max(y, top) >= LEVEL * min(h, tall):
+                best, least = i, gap
+        if best is None:
+            best = len(lines)
+            lines.append([x, y, right, bottom])
+            if right == right and bottom == bottom:
+                live.append(best)
         else:
-            k, lines = len(lines), np.vstack([lines, box])
-        of.append(k)
+            left, top, r, b = lines[best]
+            lines[best] = [min(left, x), min(top, y), max(r, right), max(b, bottom)]
+        of[k] = best
+    found = np.array(lines)
     rank = np.empty(len(lines), np.int32)
-    rank[np.lexsort((lines[:, 0], lines[:, 1]))] = np.arange(len(lines), dtype=np.int32)
-    return words.assign(line=rank[of] if len(of) else np.empty(0, np.int32))
+    rank[np.lexsort((found[:, 0], found[:, 1]))] = np.arange(len(lines), dtype=np.int32)
+    return rank[of]
 
 
 def with_lines(words: DataFrame, by: str, order: str = "n") -> DataFrame:
     kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in words.schema)
-    return words.groupBy(by).applyInPandas(lambda part: lined(part.sort_values(order, kind="stable")), f"{kind}, line int")
+
+    def body(rows: pa.Table, pictures: list[tuple[int, int]]) -> pa.Table:
+        boxes = boxes_of(rows)
+        return rows.append_column("line", pa.array(np.concatenate([lined(boxes[a:b]) for a, b in pictures])))
+
+    return by_picture(words, by, order, f"{kind}, line int", body)
 
 
 def word_parts(words: DataFrame, by: str, order: str = "n") -> DataFrame:
