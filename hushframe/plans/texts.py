@@ -6,11 +6,11 @@ The texts are all documents and all pages. DuckDB's patterns know no look-around
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
-from ..functions.spans import coalesce, first_rule_wins, piece
+from ..functions.spans import coalesce, first_rule_wins, ordered, piece
 from ..operators.chat import anonymize
 from ..operators.redact import detect_terms, masked, redact
 from ..session import table
@@ -77,11 +77,35 @@ def emails_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return masked(texts(spark, sf_dir).withColumn("spans", email.spans(F.col("text")))).select("id", "masked")
 
 
-def first_come(spark: SparkSession, sf_dir: str) -> DataFrame:
+def four_rules() -> Column:
     """First come first served over four rules that overlap."""
     by = {r.name: r for r in R.GENERAL}
-    found = first_rule_wins(R.detect(F.col("text"), [by[n] for n in ("assigned", "email", "card", "ip")]))
-    return exploded(texts(spark, sf_dir).withColumn("s", found), "s")
+    return first_rule_wins(R.detect(F.col("text"), [by[n] for n in ("assigned", "email", "card", "ip")]))
+
+
+def found_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return texts(spark, sf_dir).withColumn("spans", ordered(four_rules()))
+
+
+def values_numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts, what four rules find numbered by tag and value."""
+    return masked(found_texts(spark, sf_dir), "numbered").select("id", "masked")
+
+
+def values_blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as blocks of their length."""
+    return masked(found_texts(spark, sf_dir), "blocks").select("id", "masked")
+
+
+def values_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same numbered, but those that begin at every third place are kept; they use up numbers."""
+    kept = F.transform(F.filter("spans", lambda s: s["start"] % 3 == 0), lambda s: F.concat_ws(":", s["start"], s["end"]))
+    return masked(found_texts(spark, sf_dir).withColumn("keep", kept), "numbered", kept="keep").select("id", "masked")
+
+
+def first_come(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What four rules that overlap find, first come first served."""
+    return exploded(texts(spark, sf_dir).withColumn("s", four_rules()), "s")
 
 
 def coalesced(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -159,9 +183,25 @@ def top_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f"scan_{r.name}": scan_query(r) for r in [*R.GENERAL, *R.NATIONAL, R.FOREIGN_DATES, R.DOMAIN, R.HANDLE, R.SCREEN_DATE, R.MENTION]} | {f"secret_{r.name}": scan_query(r) for r in R.SECRETS}
-QUERIES |= {f.__name__: f for f in (emails_masked, first_come, coalesced, redact_documents, redact_pages, redact_terms, chats, tags_by_source, top_documents)}
+
+
+def masked_sql(sub: str) -> str:
+    """SQL for texts with ``sub`` in place of what four rules find; ``n`` is a value's number."""
+    return f"""
+WITH t AS ({TEXTS}), s AS (SELECT id, tag, start, "end" AS stop, value FROM ({FIRST_SQL})),
+f AS (SELECT *, min(start) OVER (PARTITION BY id, tag, lower(value)) AS first, coalesce(lag(stop) OVER (PARTITION BY id ORDER BY start), 0) AS before FROM s),
+n AS (SELECT *, dense_rank() OVER (PARTITION BY id, tag ORDER BY first) AS n FROM f),
+m AS (SELECT id, string_agg(substr(text, before + 1, start - before) || {sub}, '' ORDER BY start) AS head, max(stop) AS last FROM n JOIN t USING (id) GROUP BY id)
+SELECT t.id, coalesce(head, '') || substr(text, coalesce(last, 0) + 1) AS masked FROM t LEFT JOIN m USING (id)"""
+
+
+NUMBERED = "'[' || tag || '_' || CAST(n AS VARCHAR) || ']'"
+QUERIES |= {f.__name__: f for f in (emails_masked, values_numbered, values_blocked, values_kept, first_come, coalesced, redact_documents, redact_pages, redact_terms, chats, tags_by_source, top_documents)}
 SQL = {f"scan_{n}": spans_sql(n) for n in PLAIN} | {
     "emails_masked": f"SELECT id, regexp_replace(text, '{PLAIN['email'][0]}', '[EMAIL]', 'g') AS masked FROM ({TEXTS})",
+    "values_numbered": masked_sql(NUMBERED),
+    "values_blocked": masked_sql("repeat('█', greatest(3, length(value)))"),
+    "values_kept": masked_sql(f"CASE WHEN start % 3 = 0 THEN value ELSE {NUMBERED} END"),
     "first_come": FIRST_SQL,
     "coalesced": COALESCED_SQL,
     "tags_by_source": TAGS_SQL,
