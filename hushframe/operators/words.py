@@ -68,16 +68,23 @@ def surest(boxes: list[tuple[float, float, float, float]], conf: np.ndarray) ->
     return kept
 
 
-def merged(words: DataFrame, by: str, order: str = "n") -> DataFrame:
-    """The words of all passes, each place once. Words without letter, digit or @, unsure ones
-    and ones without a place take no part."""
-    fit = words.where((F.col("conf") >= SURE) & F.col("str").rlike(r"[\p{L}\p{N}@]")).dropna(subset=[by, "x", "y", "w", "h"])
+def sure(words: DataFrame, by: str) -> DataFrame:
+    """Without words that have no letter, digit or @, unsure ones and ones without a place."""
+    return words.where((F.col("conf") >= SURE) & F.col("str").rlike(r"[\p{L}\p{N}@]")).dropna(subset=[by, "x", "y", "w", "h"])
+
 
-    def body(rows: pa.Table, pictures: list[tuple[int, int]]) -> pa.Table:
-        boxes, conf = boxes_of(rows), rows.column("conf").cast(pa.float64()).to_numpy()
-        return rows.take(pa.array([a + k for a, b in pictures for k in surest(boxes[a:b], conf[a:b])], pa.int64()))
+def surest_of(rows: pa.Table, pictures: list[tuple[int, int]]) -> tuple[pa.Table, list[tuple[int, int]]]:
+    """The surest words of each picture in the order they have, and the rows of each."""
+    boxes, conf = boxes_of(rows), rows.column("conf").cast(pa.float64()).to_numpy()
+    kept = [[a + k for k in sorted(surest(boxes[a:b], conf[a:b]))] for a, b in pictures]
+    ends = np.cumsum([len(k) for k in kept]).tolist()
+    return rows.take(pa.array([i for k in kept for i in k], pa.int64())), list(zip([0, *ends[:-1]], ends, strict=True))
 
-    return by_picture(fit, by, order, fit.schema, body)
+
+def merged(words: DataFrame, by: str, order: str = "n") -> DataFrame:
+    """The words of all passes, each place once; see ``sure`` for those that take no part."""
+    fit = sure(words, by)
+    return by_picture(fit, by, order, fit.schema, lambda rows, pictures: surest_of(rows, pictures)[0])
 
 
 def lined(boxes: list[tuple[float, float, float, float]]) -> np.ndarray:
@@ -114,14 +121,24 @@ def lined(boxes: list[tuple[float, float, float, float]]) -> np.ndarray:
     return rank[of]
 
 
+def lines_of(rows: pa.Table, pictures: list[tuple[int, int]]) -> pa.Table:
+    boxes = boxes_of(rows)
+    return rows.append_column("line", pa.array(np.concatenate([lined(boxes[a:b]) for a, b in pictures])))
+
+
+def line_schema(words: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in words.schema) + ", line int"
+
+
 def with_lines(words: DataFrame, by: str, order: str = "n") -> DataFrame:
-    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in words.schema)
+    """Adds ``line``, the line of each word in its picture."""
+    return by_picture(words, by, order, line_schema(words), lines_of)
 
-    def body(rows: pa.Table, pictures: list[tuple[int, int]]) -> pa.Table:
-        boxes = boxes_of(rows)
-        return rows.append_column("line", pa.array(np.concatenate([lined(boxes[a:b]) for a, b in pictures])))
 
-    return by_picture(words, by, order, f"{kind}, line int", body)
+def merged_lines(words: DataFrame, by: str, order: str = "n") -> DataFrame:
+    """``merged`` and ``with_lines`` in one pass over the words, so that they are dealt once."""
+    fit = sure(words, by)
+    return by_picture(fit, by, order, line_schema(fit), lambda rows, pictures: lines_of(*surest_of(rows, pictures)))
 
 
 def word_parts(words: DataFrame, by: str, order: str = "n") -> DataFrame:

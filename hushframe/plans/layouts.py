@@ -117,7 +117,7 @@ def read_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Placed words of two passes, the second a little off and less sure, merged and lined up."""
     one = page_items(spark, sf_dir).select("id", (F.col("n") * 2).alias("n"), "str", "x", (F.lit(700.0) - F.col("y")).alias("y"), F.greatest(F.col("width"), F.lit(1.0)).alias("w"), F.lit(10.0).alias("h"), F.lit(90.0).alias("conf"))
     two = one.withColumns({"n": F.col("n") + 1, "x": F.col("x") + 1, "conf": F.col("conf") - F.crc32(F.col("str").cast("binary")) % 60})
-    found = words.with_lines(words.merged(one.union(two), "id"), "id")
+    found = words.merged_lines(one.union(two), "id")
     return words.text_of(words.word_parts(found, "id"), "id")
 
 
