@@ -14,7 +14,7 @@ from pyspark.sql.functions import arrow_udf
 
 from ..functions.rules import MENTION
 from ..functions.spans import SPANS, clear_of, ordered
-from .redact import masked, with_spans
+from .redact import free, masked, with_spans
 
 # A name, a time, a date; export formats; line starts that are not people.
 NAME = r"\p{L}[\p{L}\p{M}'’.-]*(?: \p{L}[\p{L}\p{M}'’.-]*){0,3}"
@@ -90,12 +90,14 @@ def find_names(text: Column, names: Column) -> Column:
 def with_chat_names(df: DataFrame, text: str = "text", out: str = "chat") -> DataFrame:
     """Adds ``out``: the spans of senders' names anywhere in the text, and of @mentions (the
     sign stays), sorted."""
-    df = df.withColumn("__names", names_of(senders(F.col(text)))).withColumn("__named", find_names(F.col(text), F.col("__names")))
-    both = F.concat(F.col("__named"), clear_of(MENTION.spans(F.col(text)), F.col("__named")))
-    return df.withColumn(out, ordered(both)).drop("__names", "__named")
+    names, named = free(df, "__names"), free(df, "__named")
+    df = df.withColumn(names, names_of(senders(F.col(text)))).withColumn(named, find_names(F.col(text), F.col(names)))
+    both = F.concat(F.col(named), clear_of(MENTION.spans(F.col(text)), F.col(named)))
+    return df.withColumn(out, ordered(both)).drop(names, named)
 
 
 def anonymize(df: DataFrame, text: str = "text", out: str = "masked", style: str = "fake", enabled: tuple[str, ...] = ("name", "contact", "place", "finance", "id"), **options) -> DataFrame:
     """Chats with names replaced by fake ones, and other personal data by numbered labels."""
-    df = with_spans(with_chat_names(df, text, "__chat"), text, "__spans", enabled=list(enabled), extra="__chat", **options)
-    return masked(df, style, text, "__spans", out).drop("__chat", "__spans")
+    chat, spans = free(df, "__chat"), free(df, "__spans")
+    df = with_spans(with_chat_names(df, text, chat), text, spans, enabled=list(enabled), extra=chat, **options)
+    return masked(df, style, text, spans, out).drop(chat, spans)

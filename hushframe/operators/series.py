@@ -1,6 +1,7 @@
 """Time-series operators, keyed: as-of look-ups, islands, carries, validity, sampling.
 
-All are windows partitioned by key; a key's rows meet in one task, sorted and spillable.
+All but sampling are windows partitioned by key; a key's rows meet in one task, sorted and spillable.
+Sampling is an aggregate, so a key with many rows is reduced before the shuffle.
 """
 
 from __future__ import annotations
@@ -8,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .redact import free
+
 
 def as_of(left: DataFrame, right: DataFrame, by: list[str], time: str, value: str, tolerance: float | None = None) -> DataFrame:
     """``left`` with the last ``right`` row of the same key at or before its time: columns
@@ -50,6 +53,6 @@ def carried(df: DataFrame, by: list[str], order: list[str], value: str, most: in
 
 def sampled(df: DataFrame, by: list[str], time: str, every: str = "250 milliseconds") -> DataFrame:
     """The first row of each key in each slot of time."""
-    slot = F.window(time, every)["start"]
-    first = Window.partitionBy(*by, "__slot").orderBy(time)
-    return df.withColumn("__slot", slot).withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__slot", "__n")
+    row, slot = free(df, "row"), free(df, "slot")
+    firsts = df.groupBy(*by, F.window(time, every).alias(slot)).agg(F.min_by(F.struct(*df.columns), time).alias(row))
+    return firsts.select(f"{row}.*")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.redact import redact
+from ..operators.redact import free, redact
 
 
 def files(spark: SparkSession, path: str, schema=None, most_files: int = 1000) -> DataFrame:
@@ -22,7 +22,8 @@ def files(spark: SparkSession, path: str, schema=None, most_files: int = 1000) -
 def mask_to(stream: DataFrame, out: str, checkpoint: str, style: str = "labels", text: str = "text", **options) -> StreamingQuery:
     """A masked copy of all that comes in; the text itself is not written. Stateless: every
     row is masked on its own, and each file written exactly once."""
-    copy = redact(stream, style, text, "__masked", **options).drop(text).withColumnRenamed("__masked", text)
+    new = free(stream, "__masked")
+    copy = redact(stream, style, text, new, **options).drop(text).withColumnRenamed(new, text)
     return copy.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
 
 

@@ -203,3 +203,9 @@ def test_spans_clear_of_others(spark):
     rows = [([("A", 8, 9), ("A", 0, 3), ("A", 3, 5), ("A", 20, 30)], [("B", 4, 7), ("B", 2, 2), ("B", 1, 9)]), ([("A", 5, 6)], []), ([], [("B", 0, 1)]), (None, [("B", 0, 1)]), ([("A", 0, 4), ("A", 6, 9)], [("B", 4, 6)])]
     got = [r[0] and [tuple(s) for s in r[0]] for r in spark.createDataFrame(rows, kind).select(clear_of(F.col("spans"), F.col("others"))).collect()]
     assert got == [[("A", 20, 30)], [("A", 5, 6)], [], None, [("A", 0, 4), ("A", 6, 9)]]
+
+
+def test_columns_named_like_our_own(spark):
+    df = spark.createDataFrame([("Ann Lee: hi\nBob Roe: hi Ann", 1, 2, 3, 4)], "text string, __names int, __named int, __chat int, __spans int")
+    got = anonymize(df).first()
+    assert got[1:5] == (1, 2, 3, 4) and "Ann" not in got["masked"]
