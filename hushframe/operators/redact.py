@@ -6,8 +6,6 @@ that patterns stand in the plan once; there is no shuffle.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
