@@ -19,8 +19,10 @@ from pyspark.sql import functions as F
 
 from .common import cut, sorted_ranks
 
-#: Bytes of a shard, at most: what a loader holds at once, times the shards it mixes.
-LIMIT = 160 << 10
+#: Bytes of a shard, at most: a file that is read in one go, of which a loader mixes many.
+LIMIT = 64 << 20
+#: The limit of ``op3_sharding`` and of ``SQL``, which parts tables of a few megabytes as well.
+QUERY_LIMIT = 160 << 10
 #: Bits of the hash in use.
 BITS = 60
 #: Bits more than the average shard needs, in the first pass and in each further one.
@@ -45,8 +47,10 @@ def directory(rows: DataFrame, limit: int, low: int, deep: int) -> DataFrame:
     too large; ``single`` tells that all its rows have one hash."""
     cells = cut(rows.groupBy(prefix("bits", deep).alias("cell")).agg(F.sum("bytes").alias("bytes"), (F.min("bits") == F.max("bits")).alias("single")))
     up = cells.select("cell", "bytes", F.explode(F.sequence(F.lit(low), F.lit(deep))).alias("depth")).withColumn("prefix", F.expr(f"shiftright(cell, {deep} - depth)"))
-    fits = up.groupBy("depth", "prefix").agg(F.sum("bytes").alias("bytes")).where(F.col("bytes") <= limit).select("depth", "prefix")
-    found = up.join(fits, ["depth", "prefix"]).groupBy("cell").agg(F.min("depth").alias("depth"))
+    fits = cut(up.groupBy("depth", "prefix").agg(F.sum("bytes").alias("bytes")).where(F.col("bytes") <= limit).select("depth", "prefix"))
+    # No prefix shorter than the shortest that fits takes part: there all cells share a few of them.
+    least = fits.agg(F.min("depth")).first()[0]
+    found = up.where(F.col("depth") >= (deep + 1 if least is None else least)).join(fits, ["depth", "prefix"]).groupBy("cell").agg(F.min("depth").alias("depth"))
     return cut(cells.select("cell", "single").join(found, "cell", "left"))
 
 

@@ -38,7 +38,7 @@ def test_queries_equal_their_sql(spark, name):
 
 def test_shards_of_the_query_have_several_depths(spark):
     found = llm.op3_sharding(spark, "/root/testdata/sf0.01").groupBy("depth", "bucket", "chain").agg(F.sum("bytes").alias("b"))
-    assert found.select("depth").distinct().count() > 1 and found.agg(F.max("b")).first()[0] <= sharding.LIMIT
+    assert found.select("depth").distinct().count() > 1 and found.agg(F.max("b")).first()[0] <= sharding.QUERY_LIMIT
 
 
 def test_written_shards(spark, tmp_path):
