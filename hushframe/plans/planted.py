@@ -1,6 +1,10 @@
-"""Rules over values that Spark makes from the documents' ids, as the given texts hold few of
-them: each rule sees ``x <value> y``. Numbers get whatever check digits the ids give them, so
-most of them are wrong; the SQL tells by arithmetic which are right."""
+"""Rules over values that Spark makes from the documents' ids, as the given texts hold few of them.
+
+``planted_`` queries: each rule sees ``x <value> y``. Numbers get whatever check digits the ids
+give them, so most of them are wrong; the SQL tells by arithmetic which are right.
+
+``forms_`` queries: the forms of a rule in turn, and near misses of them, each behind the words of
+the whole document (their letters other than vowels, so that no rule finds anything there)."""
 
 from __future__ import annotations
 
@@ -72,5 +76,186 @@ def planted_sql(rule: str, form: str, numbers: list[str], before: int, condition
     return f"SELECT doc_id, '{RULES[rule].tag}' AS tag, CAST({before + 2} AS BIGINT) AS start, v AS value FROM (SELECT doc_id, {value} AS v FROM documents) WHERE {condition}"
 
 
-QUERIES = {f"planted_{n}": planted_query(n, *p[:3]) for n, p in PLANTED.items()}
-SQL = {f"planted_{n}": planted_sql(*p) for n, p in PLANTED.items()}
+#: Eight and two digits of a document.
+D8, D2 = "lpad(CAST(doc_id * 7919 % 100000000 AS STRING), 8, '0')", "lpad(CAST(doc_id % 90 + 10 AS STRING), 2, '0')"
+
+
+def joint(*parts: str) -> str:
+    return f"concat({', '.join(parts)})"
+
+
+#: Query: its rule, and texts (SQL) with what the rule finds in them: a whole text, the SQL of a
+#: part and the characters before it, or nothing.
+WHOLE = (0, None)
+FORMS = {
+    "key": ("key", {
+        joint("'sk_live_'", D8): WHOLE,
+        joint("'pk-test-'", D8): WHOLE,
+        joint("'rk_live_'", f"substr({D8}, 1, 7)"): None,
+        joint("'sk-'", D8, D8): WHOLE,
+        joint("'sk-'", D8, "'1234567'"): None,
+        joint("'AKIA'", D8, D8): WHOLE,
+        joint("'AKIA'", D8, D8, "'1'"): None,
+        joint("'ghp_'", D8, D8, D8, "'abcdef'"): WHOLE,
+        joint("'gho_'", D8, D8, D8, "'abcde'"): None,
+        joint("'github_pat_'", D8, D8, D8, "'abc_ef'"): WHOLE,
+        joint("'github_pat_'", D8, D8, D8, "'abc_e'"): None,
+        joint("'xoxb-'", D8, "'-1'"): WHOLE,
+        joint("'xoxc-'", D8, "'-1'"): None,
+        joint("'AIza'", D8, D8, D8, D8, "'a_c'"): WHOLE,
+        joint("'AIza'", D8, D8, D8, D8, "'a_cd'"): None,
+        joint("'eyJ'", D8, "'.eyJ'", D8, "'.'", D8): WHOLE,
+        joint("'eyJ'", D8, "'.eyJ'", D8, "'.1234567'"): None,
+    }),
+    "assigned": ("assigned", {
+        joint("'password = '", D8): (11, D8),
+        joint("'API-key: \"'", D8, "'\"'"): (10, D8),
+        joint("'access_key='", D8): (11, D8),
+        "'pass: abc'": None,
+        joint("'passing: '", D8): None,
+        joint("'token '", D8): None,
+    }),
+    "url": ("url", {
+        joint("'https://h.example/'", D8): WHOLE,
+        joint("'http://h.example/'", D8, "').'"): (0, joint("'http://h.example/'", D8)),
+        joint("'xhttp://h.example/'", D8): None,
+        "'https://'": None,
+    }),
+    "iban": ("iban", {
+        joint("'GB'", D2, "' ABCD '", f"substr({D8}, 1, 4)", "' '", f"substr({D8}, 5, 4)"): WHOLE,
+        joint("'NL'", D2, "'ABCD'", D8, "'12'"): WHOLE,
+        joint("'gb'", D2, "'ABCD'", D8): None,
+        joint("'GB'", D2, "' ABCD EFGH'"): None,
+        joint("'GB'", D2, "' '", f"substr({D8}, 1, 4)"): None,
+    }),
+    "ssn": ("ssn", {
+        joint(f"substr({D8}, 1, 3)", "'-'", D2, "'-'", f"substr({D8}, 5, 4)"): WHOLE,
+        joint(f"substr({D8}, 1, 4)", "'-'", D2, "'-'", f"substr({D8}, 5, 4)"): None,
+        joint(f"substr({D8}, 1, 3)", "'-'", D2, "'1-'", f"substr({D8}, 5, 4)"): None,
+    }),
+    "nino": ("nino", {
+        joint("'AB '", D2, "' 34 56 C'"): WHOLE,
+        joint("'AB'", D2, "'3456C'"): WHOLE,
+        joint("'DB '", D2, "' 34 56 C'"): None,
+        joint("'AB '", D2, "' 34 56 E'"): None,
+    }),
+    "ip": ("ip", {
+        joint("'10.'", D2, "'.255.1'"): WHOLE,
+        joint("'2001:db8:0:1:2:3:4:'", D2): WHOLE,
+        joint("'10.'", D2, "'.256.1'"): None,
+        joint("'10.'", D2, "'.255'"): None,
+        joint("'2001:db8:0:1:2:3:'", D2): None,
+    }),
+    "mac": ("mac", {
+        joint(D2, "':0a:1B:2c:3d:'", D2): WHOLE,
+        joint(D2, "'-0a-1b-2c-3d-'", D2): WHOLE,
+        joint("'0a'", D2, "'.1b2c.3d'", D2): WHOLE,
+        joint(D2, "':0a-1b:2c:3d:'", D2): None,
+        joint(D2, "':0a:1b:2c:3d:4e:'", D2): None,
+        joint("'0a'", D2, "'.1b2c.3d4e.5f'", D2): None,
+    }),
+    "phone": ("phone", {
+        joint("'+44 20 1234 '", f"substr({D8}, 1, 4)"): WHOLE,
+        joint("'020 7946 '", f"substr({D8}, 1, 4)"): WHOLE,
+        joint("'(020) 7946-'", f"substr({D8}, 1, 4)"): WHOLE,
+        joint("'12 34 '", D2): None,
+        D8: None,
+    }),
+    "postcode": ("postcode", {
+        joint("'NW'", f"substr({D2}, 1, 1)", "' 2AB'"): WHOLE,
+        joint("'W'", f"substr({D2}, 1, 1)", "'A2AB'"): WHOLE,
+        joint("'nw'", f"substr({D2}, 1, 1)", "' 2ab'"): None,
+        joint("'NWW'", f"substr({D2}, 1, 1)", "' 2AB'"): None,
+    }),
+    "street": ("street", {
+        joint(D2, "' Baker Street'"): WHOLE,
+        joint(D2, "'B, Old Kent Rd'"): WHOLE,
+        joint(D2, "' baker Street'"): None,
+        joint(D2, "'3456 Baker Street'"): None,
+        joint(D2, "' Baker Streets'"): None,
+    }),
+    "screen_date": ("screen_date", {
+        joint("'Mon, Jan '", D2, "'th, 2024'"): WHOLE,
+        joint("'Sept. '", D2, "', 2024'"): WHOLE,
+        joint(D2, "'th March 2024'"): WHOLE,
+        joint(D2, "':30:15 p.m.'"): WHOLE,
+        joint(D2, "' am'"): WHOLE,
+        joint(D2, "'30PM'"): WHOLE,
+        "'Tuesday'": WHOLE,
+        "'yesterday'": WHOLE,
+        joint(D2, "' mins ago'"): WHOLE,
+        "'an hour ago'": WHOLE,
+        joint("'Jann '", D2): None,
+        joint(D2, "' minz ago'"): None,
+        "'yesterdays'": None,
+        joint("'x'", D2, "':30'"): None,
+    }),
+    "dates": ("foreign_date", {
+        joint("'lunes, '", D2, "' de marzo de 2001'"): WHOLE,
+        joint("'hace '", D2, "' días'"): WHOLE,
+        "'anteayer'": WHOLE,
+        joint("'lundi '", D2, "' août 2001'"): WHOLE,
+        joint("'il y a '", D2, "' jours'"): WHOLE,
+        "'aujourd’hui'": WHOLE,
+        joint(D2, "'h30'"): WHOLE,
+        joint("'Montag, '", D2, "'. März 2001'"): WHOLE,
+        joint("'vor '", D2, "' Tagen'"): WHOLE,
+        "'vorgestern'": WHOLE,
+        joint(D2, "'.30 Uhr'"): WHOLE,
+        joint("'maandag '", D2, "' maart 2001'"): WHOLE,
+        joint(D2, "' dagen geleden'"): WHOLE,
+        "'eergisteren'": WHOLE,
+        joint(D2, "':30 uur'"): WHOLE,
+        joint("'2001年5月'", D2, "'日'"): WHOLE,
+        "'2001年5月'": WHOLE,
+        "'星期一'": WHOLE,
+        "'月曜日'": WHOLE,
+        "'昨天'": WHOLE,
+        "'下午3:15'": WHOLE,
+        joint(D2, "'点半'"): WHOLE,
+        joint(D2, "'分钟前'"): WHOLE,
+        joint("'วันที่ '", D2, "' มกราคม 2544'"): WHOLE,
+        "'วันจันทร์'": WHOLE,
+        joint(D2, "' โมงเช้า'"): WHOLE,
+        joint(D2, "':30 น.'"): WHOLE,
+        joint(D2, "' de marza'"): None,
+        joint("'hace '", D2, "' diaz'"): None,
+        "'hiers'": None,
+        joint("'il y a '", D2, "' jourz'"): None,
+        joint(D2, "' März'"): None,
+        joint("'vor '", D2, "' Tagex'"): None,
+        joint(D2, "' dagen'"): None,
+        joint(D2, "'月'"): None,
+        "'星期八'": None,
+        joint(D2, "'前'"): None,
+        joint(D2, "' มกรา'"): None,
+    }),
+}
+
+
+def told(values: list[str]) -> str:
+    """SQL that gives the documents the values in turn; no value is null."""
+    return f"CASE doc_id % {len(values)} {' '.join(f'WHEN {k} THEN {v}' for k, v in enumerate(values) if v)} END"
+
+
+def forms_query(name: str, rule: str, forms: dict[str, tuple[int, str | None] | None]):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        docs = table(spark, sf_dir, "documents")
+        words = F.regexp_replace(F.coalesce("text", F.lit("")), "[^b-df-hj-np-tv-xz]+", " ")
+        found = docs.select("doc_id", F.concat(words, F.lit(" "), F.expr(told(list(forms))), F.lit(" y")).alias("text"))
+        found = found.select("doc_id", "text", F.explode(RULES[rule].spans(F.col("text"))).alias("s"))
+        place = F.substring("text", F.col("s.start") + 1, F.col("s.end") - F.col("s.start"))
+        return found.select("doc_id", F.col("s.tag").alias("tag"), F.col("s.start").cast("long").alias("start"), place.alias("value"))
+
+    run.__name__ = f"forms_{name}"
+    return run
+
+
+def forms_sql(rule: str, forms: dict[str, tuple[int, str | None] | None]) -> str:
+    values, before = ([f(form, found) if found else "" for form, found in forms.items()] for f in (lambda form, found: found[1] or form, lambda form, found: str(found[0])))
+    words = "regexp_replace(coalesce(text, ''), '[^b-df-hj-np-tv-xz]+', ' ', 'g')"
+    return f"SELECT * FROM (SELECT doc_id, '{RULES[rule].tag}' AS tag, CAST(length({words}) + 1 + ({told(before)}) AS BIGINT) AS start, {told(values)} AS value FROM documents) WHERE value IS NOT NULL"
+
+
+QUERIES = {f"planted_{n}": planted_query(n, *p[:3]) for n, p in PLANTED.items()} | {f"forms_{n}": forms_query(n, *f) for n, f in FORMS.items()}
+SQL = {f"planted_{n}": planted_sql(*p) for n, p in PLANTED.items()} | {f"forms_{n}": forms_sql(*f) for n, f in FORMS.items()}

@@ -209,3 +209,26 @@ def test_columns_named_like_our_own(spark):
     df = spark.createDataFrame([("Ann Lee: hi\nBob Roe: hi Ann", 1, 2, 3, 4)], "text string, __names int, __named int, __chat int, __spans int")
     got = anonymize(df).first()
     assert got[1:5] == (1, 2, 3, 4) and "Ann" not in got["masked"]
+
+
+NAMES = re.compile(r"(?i)(?<![A-Za-z0-9_@.-])(?:[a-z0-9-]+\.)+(?:" + R.DOMAINS + r")(?:/[^\s]*)?(?![A-Za-z0-9_])")
+HOSTS = re.compile(r"(?i)(?<![A-Za-z0-9_.-])(?:[a-z0-9-]+\.)+(?:internal|local|corp|lan)(?![A-Za-z0-9_])")
+
+
+def test_names_of_any_number_of_labels(spark):
+    """Equal to a plain pattern that goes back over all labels, on texts of odd labels, and whole for
+    names of many."""
+    rng = random.Random(11)
+    parts = ["a", "com", ".", ".", ".", "co", "-", "com-", "io", "..", "@", "_", "/", " ", "local", "lan", "Internal", "é", "7", "corp."]
+    texts = ["".join(rng.choices(parts, k=rng.randint(1, 14))) for _ in range(3000)]
+    rules = {"domain": R.DOMAIN, "host": next(r for r in R.SECRETS if r.name == "host")}
+    df = spark.createDataFrame([(t,) for t in texts], "text string").select("text", *[r.spans(F.col("text")).alias(n) for n, r in rules.items()])
+    for r in df.collect():
+        for name, plain in (("domain", NAMES), ("host", HOSTS)):
+            assert [(s["start"], s["end"]) for s in r[name]] == [m.span() for m in plain.finditer(r["text"])], (name, r["text"])
+    for n in (300, 50_000):
+        for name, last in (("domain", "com"), ("host", "corp")):
+            text = "x " + "ab." * n + last + ".zz y " + f"q.{last}." * n
+            [found] = spark.createDataFrame([(text,)], "text string").select(rules[name].spans(F.col("text"))).first()
+            ends = [(2, 2 + 3 * n + len(last)), (8 + 3 * n + len(last), len(text) - 1)]
+            assert [(s["start"], s["end"]) for s in found] == ends
