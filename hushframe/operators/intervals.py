@@ -22,10 +22,13 @@ def overlapping(left: DataFrame, right: DataFrame, by: list[str], of_left: tuple
     """The pairs of rows of the same key ``by`` whose intervals share a place: an equality join on the
     bins both touch. A pair that meets in several bins counts in the first. Other columns of the two
     have to differ in name; null keys and ends meet nothing."""
-    met = binned(left, of_left, "__bin", size).join(binned(right, of_right, "__bin", size), [*by, "__bin"])
+    place = "bin"
+    while place in {*left.columns, *right.columns}:
+        place += "_"
+    met = binned(left, of_left, place, size).join(binned(right, of_right, place, size), [*by, place])
     (a, b), (c, d) = of_left, of_right
     met = met.where((F.col(a) < F.col(d)) & (F.col(b) > F.col(c)))
-    return met.where(F.col("__bin") == F.floor(F.greatest(F.col(a), F.col(c)) / size)).drop("__bin")
+    return met.where(F.col(place) == F.floor(F.greatest(F.col(a), F.col(c)) / size)).drop(place)
 
 
 def coalesced(spans: DataFrame, by: list[str], tag: str = "tag", size: int = SIZE) -> DataFrame:

@@ -18,14 +18,15 @@ def as_of(left: DataFrame, right: DataFrame, by: list[str], time: str, value: st
 
     One sort of both sides together, no join: the latest right-hand row is carried forward.
     Rows of ``right`` at the same time come first; of several, the largest value counts."""
-    hit = F.struct(F.col(time).alias("t"), F.col(value).alias("v"))
-    a = left.withColumn("__side", F.lit(1)).withColumn("__hit", F.lit(None).cast(right.select(hit).schema[0].dataType))
-    b = right.select(*by, time, F.lit(0).alias("__side"), hit.alias("__hit"))
+    side, hit, last = (free(left, n) for n in ("side", "hit", "last"))
+    seen = F.struct(F.col(time).alias("t"), F.col(value).alias("v"))
+    a = left.withColumn(side, F.lit(1)).withColumn(hit, F.lit(None).cast(right.select(seen).schema[0].dataType))
+    b = right.select(*by, time, F.lit(0).alias(side), seen.alias(hit))
     both = a.unionByName(b, allowMissingColumns=True)
-    w = Window.partitionBy(*by).orderBy(time, "__side", F.col("__hit.v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
-    found = both.withColumn("__last", F.last("__hit", ignorenulls=True).over(w)).where("__side = 1")
-    near = F.lit(True) if tolerance is None else seconds(F.col(time)) - seconds(F.col("__last.t")) <= tolerance
-    return found.select(*left.columns, F.when(near, F.col("__last.v")).alias(value if value not in left.columns else f"{value}_as_of"), F.when(near, F.col("__last.t")).alias(f"{value}_{time}"))
+    w = Window.partitionBy(*by).orderBy(time, side, F.col(f"{hit}.v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn(last, F.last(hit, ignorenulls=True).over(w)).where(F.col(side) == 1)
+    near = F.lit(True) if tolerance is None else seconds(F.col(time)) - seconds(F.col(f"{last}.t")) <= tolerance
+    return found.select(*left.columns, F.when(near, F.col(f"{last}.v")).alias(value if value not in left.columns else f"{value}_as_of"), F.when(near, F.col(f"{last}.t")).alias(f"{value}_{time}"))
 
 
 def seconds(t: Column) -> Column:

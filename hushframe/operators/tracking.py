@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .redact import free
+
 #: Seconds a track may go unseen, overlap and distance (in box sizes) that a
 #: match needs, weight of the distance, and how many steps a movement is carried on.
 MAX_GAP, LEAST_OVERLAP, MOST_DISTANCE, DISTANCE_WEIGHT, MOST_STEPS = 1.2, 0.1, 1.0, 0.5, 2.0
@@ -135,7 +137,8 @@ def tracks(found: DataFrame, by: str, order: str, max_gap: float = MAX_GAP) -> D
 
 def kept(tracked: DataFrame, by: list[str], order: str, least: float = LONE_SCORE) -> DataFrame:
     """The tracks seen more than once, or once with a good score."""
-    return tracked.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(*by))).where((F.col("__n") > 1) | (F.col("score") >= least)).drop("__n")
+    n = free(tracked, "n")
+    return tracked.withColumn(n, F.count(F.lit(1)).over(Window.partitionBy(*by))).where((F.col(n) > 1) | (F.col("score") >= least)).drop(n)
 
 
 def boxes_at(tracked: DataFrame, by: list[str], times: DataFrame, on: list[str], lead: float = LEAD, hold: float = HOLD) -> DataFrame:

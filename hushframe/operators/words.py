@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .redact import free
+
 #: Least confidence; share of the smaller box from which two words are one;
 #: share of a height that words of a line have in common; widest gap in heights; tight gap.
 SURE, SAME, LEVEL, WIDEST, TIGHT = 50, 0.5, 0.5, 1.6, 0.35
@@ -150,11 +152,12 @@ def word_parts(words: DataFrame, by: str, order: str = "n") -> DataFrame:
     before, right = F.lag("str").over(page), F.lag(F.col("x") + F.col("w")).over(page)
     tight = before.endswith(".") & F.col("str").rlike("^[a-z0-9]") & (F.col("x") - right < TIGHT * F.col("h"))
     unspaced = (before.rlike(f"{UNSPACED}$") & F.col("str").rlike(rf"^(?:{UNSPACED}|[0-9])")) | (before.rlike("[0-9]$") & F.col("str").rlike(f"^{UNSPACED}"))
-    rows = words.withColumn("__sep", F.when(first | tight | unspaced, "").otherwise(" "))
+    sep = free(words, "sep")
+    rows = words.withColumn(sep, F.when(first | tight | unspaced, "").otherwise(" "))
     last = F.coalesce(F.lead("line").over(page) != F.col("line"), F.lit(True))
-    rows = rows.withColumn("piece", F.concat("__sep", "str", F.when(last, "\n").otherwise("")))
+    rows = rows.withColumn("piece", F.concat(sep, "str", F.when(last, "\n").otherwise("")))
     upto = F.coalesce(F.sum(F.length("piece")).over(page.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return rows.withColumn("start", upto + F.length("__sep")).withColumn("end", F.col("start") + F.length("str")).drop("__sep")
+    return rows.withColumn("start", upto + F.length(sep)).withColumn("end", F.col("start") + F.length("str")).drop(sep)
 
 
 def text_of(parts: DataFrame, by: str, order: str = "n") -> DataFrame:
