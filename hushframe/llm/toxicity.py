@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_of, per_text, ranges, smallest
+from .common import bucket_of, cut, per_text, ranges, smallest
 
 BUCKETS = 1 << 18
 WORDS = re.compile(r"[^\W\d_]+")
@@ -199,7 +199,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     Rows without a label are left out; None if there are none, or of one label only."""
     marked = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col)).cast("int").alias("y"))
     ids = docs.select(F.col(id_col).alias("id")).join(marked, "id")
-    chosen = smallest(ids.distinct(), "id", most_rows)
+    chosen = smallest(cut(ids.distinct()), "id", most_rows)
     # One row per id, however often it is repeated: the greatest text.
     found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").groupBy("id", "y").agg(F.max("text").alias("text"))
     hashed = per_text(lambda texts: pa.array([terms(t).astype(np.int32) for t in texts.to_pylist()], pa.list_(pa.int32())), "array<int>")

@@ -52,3 +52,15 @@ def test_equals_scoring_everything(kind, n, width, block):
 def test_postings_read(kind, share):
     values = vectors(kind, 6000, 64, np.random.default_rng(5))
     assert run(values, 2048, 40) < share * 40 * values.size
+
+
+def test_smallest_is_the_same_with_and_without_a_cut(spark):
+    """Of many rows, those whose hashes are smallest, though few of them reach the sort."""
+    from pyspark.sql import functions as F
+
+    from hushframe.llm.common import smallest
+
+    rows = spark.range(20_000).select("id", F.xxhash64("id").alias("h"))
+    want = [r["id"] for r in rows.orderBy("h", "id").limit(500).collect()]
+    assert [r["id"] for r in smallest(spark.range(20_000), "id", 500).collect()] == want
+    assert smallest(spark.range(30), "id", 500).count() == 30 and smallest(spark.range(0), "id", 500).count() == 0
