@@ -6,7 +6,7 @@ words, scored by their letters, its names. Terms are words of every fiftieth doc
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.spans import piece, scan
@@ -45,14 +45,19 @@ def names_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entities.in_two_rounds(docs, ["doc_id"], names_in_text).select("doc_id", "label", "start", "end", F.round("score", 2).alias("score"))
 
 
+def upper(word: Column) -> Column:
+    """A word in capitals, letter by letter: one whose capital is two letters (``ß``) stays as it is."""
+    return F.array_join(F.transform(F.split(word, ""), lambda c: F.when(F.length(F.upper(c)) == 1, F.upper(c)).otherwise(c)), "")
+
+
 def terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = F.split("text", BLANKS, -1)
     two = F.when(F.lower(F.get(w, 4)) != F.lower(F.get(w, 5)), F.concat(F.get(w, 4), F.lit(" "), F.get(w, 5)))
-    return table(spark, sf_dir, "documents").where("doc_id % 50 = 0").select(F.explode(F.array(F.upper(F.get(w, 2)), two)).alias("term"))
+    return table(spark, sf_dir, "documents").where("doc_id % 50 = 0").select(F.explode(F.array(upper(F.get(w, 2)), two)).alias("term"))
 
 
 def term_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where the terms stand in all documents."""
+    """Where the terms stand in all documents; of places of one term that overlap, the first."""
     found = terms_.term_spans(table(spark, sf_dir, "documents"), terms(spark, sf_dir), ["doc_id"])
     return found.select("doc_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
 
@@ -85,6 +90,9 @@ t AS MATERIALIZED (SELECT DISTINCT lower(term) AS term, len(regexp_extract_all(l
 d AS (SELECT doc_id, regexp_extract_all(text, '[\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}]') AS a FROM documents),
 e AS MATERIALIZED (SELECT doc_id, i, v, regexp_matches(v, '^[\p{{L}}\p{{N}}]') AS word, coalesce(sum(length(v)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM (SELECT doc_id, unnest(a) AS v, unnest(range(len(a))) AS i FROM d)),
 g AS (SELECT doc_id, i, n, lag(word) OVER o AS before, start, string_agg(lower(v), '') OVER (PARTITION BY doc_id, n ORDER BY i ROWS BETWEEN CURRENT ROW AND n - 1 FOLLOWING) AS run, lead(word, n) OVER o AS after
-  FROM e, (SELECT DISTINCT n FROM t) WINDOW o AS (PARTITION BY doc_id, n ORDER BY i))
-SELECT doc_id, start, start + length(run) AS "end" FROM g JOIN t ON t.term = g.run AND t.n = g.n WHERE before IS DISTINCT FROM true AND after IS DISTINCT FROM true""",
+  FROM e, (SELECT DISTINCT n FROM t) WINDOW o AS (PARTITION BY doc_id, n ORDER BY i)),
+m AS MATERIALIZED (SELECT doc_id, term, start, length(run) AS len FROM g JOIN t ON t.term = g.run AND t.n = g.n WHERE before IS DISTINCT FROM true AND after IS DISTINCT FROM true),
+k AS (SELECT *, sum(apart) OVER (PARTITION BY doc_id, term ORDER BY start) AS island FROM (SELECT *, CASE WHEN start < lag(start) OVER (PARTITION BY doc_id, term ORDER BY start) + len THEN 0 ELSE 1 END AS apart FROM m)),
+f AS (SELECT doc_id, len, list_reduce(list_transform(list(start ORDER BY start), lambda s: [s]), lambda a, b: CASE WHEN b[1] >= a[-1] + len THEN list_concat(a, b) ELSE a END) AS starts FROM k GROUP BY doc_id, term, len, island)
+SELECT doc_id, start, start + len AS "end" FROM (SELECT doc_id, len, unnest(starts) AS start FROM f)""",
 }

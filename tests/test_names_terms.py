@@ -131,3 +131,18 @@ def test_looks_of_words_on_a_page(spark):
     assert got == {0: "hidden", 1: "covered", 2: None, 3: "outside", 4: None, 5: "outside", 6: "hidden", 7: None}
     single = spark.createDataFrame([(1, y, x, 255, 0, 0) for y in range(2) for x in (2, 0, 1)], "p int, y int, x int, r int, g int, b int")
     assert [[round(v, 9) for v in r["light"]] for r in findings.light_rows(single, ["p"]).collect()] == [[76.245] * 3] * 2
+
+
+def test_term_matches_of_odd_words_equal_sql(spark, tmp_path):
+    """Letters whose capital is two letters, and places of one term that overlap."""
+    import duckdb
+
+    from hushframe.plans import names
+
+    texts = ["a b ß d the. the e", "STRASSE SS ss ß im strasse", "the. the. the. the. the. the.", "x the. The. the. y the. the."]
+    duck = duckdb.connect()
+    duck.sql(f"CREATE TABLE documents AS SELECT * FROM (SELECT unnest(range({len(texts)})) AS doc_id, unnest({texts!r}) AS text)")
+    duck.sql(f"COPY documents TO '{tmp_path}/documents.parquet'")
+    got = sorted(map(tuple, names.term_matches(spark, str(tmp_path)).collect()))
+    assert got == sorted(duck.sql(names.SQL["term_matches"]).fetchall())
+    assert (1, 14, 15) in got and (1, 11, 13) not in got and [r for r in got if r[0] == 2] == [(2, 0, 8), (2, 10, 18), (2, 20, 28)]
