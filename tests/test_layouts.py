@@ -2,6 +2,7 @@ import datetime as dt
 import math
 import random
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -114,6 +115,25 @@ def test_tracks_like_plain_tracker(spark):
         assert len(set(want.values())) == len(set(seen.values())) == len({(want[n], seen[n]) for n in want})
 
 
+@pytest.mark.parametrize("copies", [1, 3, 40])
+def test_copies_are_matched_by_kinds(copies, monkeypatch):
+    """Copies of boxes get the tracks of the plain tracker, and add no pairs that are compared."""
+    rows, compared = [], []
+    for t, n, x, y, w, h in boxes(5, 12):
+        rows += [(t, n * copies + k, float(round(x / 8) * 8), float(round(y / 8) * 8), 32.0, 40.0) for k in range(copies)]
+    if copies == 3:  # copies that go on by different ways, and kinds that fit as well as others
+        rows = [(t, n, x + (8 if n % 7 == 0 else 0), y, w, h) for t, n, x, y, w, h in rows]
+    plain, live, made, got = plain_tracks(rows, 1.0), tracking.none_live(), 0, {}
+    like = tracking.likeness
+    monkeypatch.setattr(tracking, "likeness", lambda a, b: compared.append(len(a) * len(b)) or like(a, b))
+    for t in sorted({r[0] for r in rows}):
+        step = sorted(r for r in rows if r[0] == t)
+        live, made, found = tracking.advanced(live, made, t, np.array([r[2:] for r in step]), 1.0)
+        got |= dict(zip([r[1] for r in step], found.tolist(), strict=True))
+    assert got == {n: k + 1 for n, k in plain.items()}
+    assert copies != 40 or sum(compared) < 40 * len(rows)
+
+
 KEYS = "v int, k int, t double, x double, y double, w double, h double, score double"
 
 
