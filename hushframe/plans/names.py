@@ -22,10 +22,10 @@ NAME = r"[A-Z][a-z]+(?:\n[A-Z][a-z]+)?"
 def token_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A model's decoded words, marked as pieces, put back to their places in each line."""
     lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line", "chunk"))
-    words = lines.select("doc_id", "line", "chunk", F.posexplode(F.split("chunk", BLANKS, -1)).alias("n", "w")).where("w <> ''")
+    words = lines.select("doc_id", "line", F.posexplode(F.split("chunk", BLANKS, -1)).alias("n", "w")).where("w <> ''")
     tokens = words.withColumns({"word": F.concat(F.lit("##▁"), F.lower("w")), "entity": F.lit("I-PER"), "score": F.lit(1.0)})
-    found = entities.with_places(tokens, ["doc_id", "line"])
-    return found.select("doc_id", F.col("line").cast("long").alias("line"), F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.lower(F.substring("chunk", F.col("start") + 1, F.col("end") - F.col("start"))).alias("word"))
+    found = entities.with_places(tokens, ["doc_id", "line"], chunks=lines)
+    return found.select("doc_id", F.col("line").cast("long").alias("line"), F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.lower("value").alias("word"))
 
 
 def names_in_text(asked: DataFrame) -> DataFrame:

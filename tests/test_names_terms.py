@@ -55,6 +55,14 @@ def test_tokens_with_places_make_names(spark):
     assert [tuple(r) for r in entities.named(placed, ["c"]).select("label", "start", "end").collect()] == [("PER", 5, 15)]
 
 
+def test_places_in_texts_that_come_once(spark):
+    text = "Frau Ána García, x"
+    tokens = spark.createDataFrame([(1, 0, "frau", "O", 0.9), (1, 1, "ana", "B-PER", 0.9), (1, 2, "none", "O", 0.9)], "c int, n int, word string, entity string, score double")
+    found = entities.with_places(tokens, ["c"], chunks=spark.createDataFrame([(1, text), (2, "frau")], "c int, chunk string"))
+    assert "chunk" not in found.columns
+    assert [tuple(r) for r in found.orderBy("start").select("c", "n", "start", "end", "value").collect()] == [(1, 0, 0, 4, "Frau"), (1, 1, 5, 8, "Ána")]
+
+
 def test_languages_of_tags(spark):
     want = {"de-CH": "de", "zh": "zh-Hans", "zh-TW": "zh-Hant", "zh-Hant-CN": "zh-Hant", "ZH-mo": "zh-Hant", "it": "en", "pt-BR": "en", "TH": "th", "": "en", None: "en", "english": "en", "ja-JP": "ja"}
     models = {"de": "multi", "zh-Hans": "multi", "zh-Hant": "multi", "ja": "multi", "th": "th", "en": "en"}
