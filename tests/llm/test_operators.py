@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -376,3 +377,22 @@ def test_mix(spark, odd):
     taken = mixing.take(odd.where("doc_id < 100"))
     assert taken.count() == mixing.mix(odd.where("doc_id < 100")).agg(F.sum("copies")).first()[0]
     assert taken.columns == odd.columns
+
+
+def test_quality_is_fitted_on_all_labelled_rows(spark):
+    """A forest's threshold is that of the scores of all rows, which are more than one task or a sample holds."""
+    n = 24_000
+    word = F.concat(F.lit("w"), F.col("k").cast("string"), F.lit("x"), F.col("doc_id").cast("string"))
+    end = F.when(F.col("doc_id") % 10 == 0, F.repeat(F.lit(" 9|!"), (F.col("doc_id") % 37).cast("int"))).otherwise(F.repeat(F.lit(" Ab,"), (F.col("doc_id") % 23).cast("int")))
+    docs = spark.range(n).withColumnRenamed("id", "doc_id").withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(52)))).groupBy("doc_id").agg(F.array_join(F.collect_list(word), " ").alias("text")).withColumn("text", F.concat("text", end))
+    labels = spark.range(n).select(F.col("id").alias("doc_id"), (F.col("id") % 10 > 0).cast("int").alias("quality"))
+    forest = quality.train(docs, labels)
+    rows = docs.select("doc_id", "text").toPandas()
+    counts, x = quality.measured(pa.array(rows.text))
+    assert not quality.failed(counts).any()
+    scores, good = forest.score(x), rows.doc_id.to_numpy() % 10 > 0
+    tries = np.unique(np.quantile(scores, np.linspace(0, 1, quality.TRIES)))
+    kept, dropped = (scores[good][:, None] <= tries).mean(0), (scores[~good][:, None] > tries).mean(0)
+    assert abs(forest.threshold - quality.best(tries, kept, dropped, quality.KEEP)) < 1e-9
+    told = quality.rules(docs, labels).toPandas().set_index("doc_id").kept
+    assert told[[i for i in range(n) if i % 10]].mean() >= quality.KEEP
