@@ -30,8 +30,8 @@ def piece(text: Column, s: Column) -> Column:
     return F.substring(text, s["start"] + 1, s["end"] - s["start"])
 
 
-#: Code points of a block of text.
-BLOCK = 2048
+#: Code points of a block of text, and of one where the pieces are many and short.
+BLOCK, SMALL = 2048, 256
 
 
 def bound(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -39,17 +39,17 @@ def bound(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
-def blocks(text: Column) -> Column:
+def blocks(text: Column, size: int = BLOCK) -> Column:
     """The text in blocks, for many pieces of one text: to find a piece, characters are counted from
     the beginning of what it is a piece of."""
-    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
 
 
-def part(blocks: Column, start: Column, end: Column) -> Column:
-    """What lies between two places of a text in ``blocks``."""
-    first = F.greatest(F.lit(0), F.shiftright(start, BLOCK.bit_length() - 1))
-    n = F.greatest(F.lit(0), F.shiftright(end, BLOCK.bit_length() - 1) - first + 1)
-    return F.substring(F.array_join(F.slice(blocks, first + 1, n), ""), start - first * BLOCK + 1, end - start)
+def part(blocks: Column, start: Column, end: Column, size: int = BLOCK) -> Column:
+    """What lies between two places of a text in ``blocks`` of a size (a power of two)."""
+    first = F.greatest(F.lit(0), F.shiftright(start, size.bit_length() - 1))
+    n = F.greatest(F.lit(0), F.shiftright(end, size.bit_length() - 1) - first + 1)
+    return F.substring(F.array_join(F.slice(blocks, first + 1, n), ""), start - first * size + 1, end - start)
 
 
 #: Elements of an array that are folded before what they give is put to the rest.

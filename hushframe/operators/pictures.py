@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rules import WB
-from ..functions.spans import piece, span
+from ..functions.spans import SMALL, blocks, bound, part, span
 
 #: Room around a box, in its heights; text height where a picture has no lines.
 ROOM, HEIGHT = 0.18, 30
@@ -79,12 +79,13 @@ def readable_names(text: Column, spans: Column) -> Column:
     """The spans without names that are noise: those that do not begin with a letter, or have
     fewer than two, unless one is Chinese or Korean."""
 
-    def fine(s: Column) -> Column:
-        value = piece(text, s)
-        letters = value.rlike(r"^\p{L}\P{L}*\p{L}") | (value.rlike(r"^\p{L}") & value.rlike(r"[\p{IsHan}\p{IsHangul}]"))
-        return (s["tag"] != "NAME") | letters
+    def letters(value: Column) -> Column:
+        return value.rlike(r"^\p{L}\P{L}*\p{L}") | (value.rlike(r"^\p{L}") & value.rlike(r"[\p{IsHan}\p{IsHangul}]"))
 
-    return F.filter(spans, fine)
+    def fine(blocks: Column) -> Column:
+        return F.filter(spans, lambda s: (s["tag"] != "NAME") | bound(part(blocks, s["start"], s["end"], SMALL), letters))
+
+    return bound(blocks(text, SMALL), fine)
 
 
 def with_own_boxes(boxes: DataFrame, rules: DataFrame, by: list[str], order: str = "n") -> DataFrame:

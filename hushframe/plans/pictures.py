@@ -21,9 +21,9 @@ def emails_mended(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def names_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of letters and digits of a document as names: how many are noise."""
-    found = scan(F.col("text"), "[A-Za-z0-9]+", "NAME")
-    kept = pictures.readable_names(F.col("text"), found)
-    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.size(found).cast("long").alias("all"), F.size(kept).cast("long").alias("kept"))
+    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", "text", scan(F.col("text"), "[A-Za-z0-9]+", "NAME").alias("found"))
+    kept = pictures.readable_names(F.col("text"), F.col("found"))
+    docs = docs.select("doc_id", F.size("found").cast("long").alias("all"), F.size(kept).cast("long").alias("kept"))
     return docs.select("doc_id", "kept", (F.col("all") - F.col("kept")).alias("noise"))
 
 

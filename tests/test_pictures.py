@@ -1,6 +1,9 @@
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
+from hushframe.functions.spans import scan
 from hushframe.operators import entities, layout, pictures, tools, tracking
 
 SPANNED = "text string, spans array<struct<tag:string,start:int,end:int>>"
@@ -94,3 +97,21 @@ def test_tools(spark):
     assert tools.SCREENSHOT.redact(secrets, extra="spans").first()["masked"] == "x [TOKEN]"
     with pytest.raises(ValueError):
         tools.CHAT.redact(df, on=["faces"])
+
+
+def test_names_of_a_long_text_take_as_long_as_those_of_short_ones(spark):
+    n, of = 30_000, 60
+    words = F.transform(F.sequence(F.lit(1), F.lit(n)), lambda k: F.concat(F.when(k % 3 == 0, "ab").otherwise("1"), k.cast("string")))
+    long = spark.range(1).select(F.array_join(words, " ").alias("text"))
+    short = spark.range(of).select(F.array_join(F.slice(words, F.col("id").cast("int") * (n // of) + 1, n // of), " ").alias("text")).coalesce(1)
+
+    def took(df):
+        df = df.localCheckpoint()
+        kept = df.select(F.size(pictures.readable_names(F.col("text"), scan(F.col("text"), "[A-Za-z0-9]+", "NAME"))).alias("n"))
+        start = time.time()
+        assert kept.agg(F.sum("n")).first()[0] == n // 3
+        begun = time.time()
+        assert kept.agg(F.sum("n")).first()[0] == n // 3
+        return min(begun - start, time.time() - begun)
+
+    assert took(long) < 5 * took(short) + 1
