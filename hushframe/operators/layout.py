@@ -1,14 +1,18 @@
 """Page layout: placed text items to page text, and spans of it back to boxes.
 
 Items are rows: a page key, a position ``n`` in reading order, ``str``, the left end ``x`` and
-base line ``y``, ``width`` and font ``size``; lengths are in points, y grows upwards.
+base line ``y``, ``width`` and font ``size``; lengths are in points, y grows upwards. Where a page's
+items are one array already, ``pieces``, ``arranged`` and ``page_boxes`` do the same within the row.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from ..functions.spans import bound, fold
 from .intervals import overlapping
 
 #: In font sizes; fixed values. A base line further off starts a line; a wider gap is a space.
@@ -28,17 +32,61 @@ def page_parts(items: DataFrame, by: list[str], order: str = "n", eol: str | Non
     page = Window.partitionBy(*by).orderBy(order)
     has = F.coalesce(F.length("str") > 0, F.lit(False))
     ends = F.coalesce(F.col(eol), F.lit(False)) if eol else F.lit(False)
-    rows = items.withColumn("__has", has).withColumn("__at", F.sum(has.cast("int")).over(page.rowsBetween(Window.unboundedPreceding, 0)))
-    rows = rows.withColumn("__empty_eol", F.max(F.when(~F.col("__has"), ends)).over(Window.partitionBy(*by, "__at"))).where("__has")
-    closes = ends | (F.coalesce(F.col("__empty_eol"), F.lit(False)) & ~F.col("str").endswith("\n"))
-    rows = rows.withColumn("__after", F.when(closes, "\n").otherwise(""))
+    if eol is None:
+        rows = items.where(has).withColumn("__after", F.lit(""))
+    else:
+        rows = ended(items, by, page, has, ends)
     open_ended = (F.lag("__after").over(page) == "") & ~F.lag("str").over(page).rlike(r"(?U)\s$") & ~F.col("str").rlike(r"(?U)^\s")
     gap = F.col("x") - F.lag(F.col("x") + F.col("width")).over(page)
     apart = F.when(F.abs(F.col("y") - F.lag("y").over(page)) >= LINE_STEP * F.col("size"), "\n").when(gap > WORD_GAP * F.col("size"), " ").otherwise("")
     rows = rows.withColumn("__before", F.when(open_ended, apart).otherwise("")).withColumn("piece", F.concat("__before", "str", "__after"))
     upto = F.coalesce(F.sum(F.length("piece")).over(page.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     rows = rows.withColumn("start", upto + F.length("__before")).withColumn("end", F.col("start") + F.length("str"))
-    return rows.drop("__has", "__at", "__empty_eol", "__after", "__before")
+    return rows.drop("__after", "__before")
+
+
+def ended(items: DataFrame, by: list[str], page: WindowSpec, has: Column, ends: Column) -> DataFrame:
+    """The items with text, and ``__after``: a line break where an item, or an empty one behind it, ends a line."""
+    rows = items.withColumn("__has", has).withColumn("__at", F.sum(has.cast("int")).over(page.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.withColumn("__empty_eol", F.max(F.when(~F.col("__has"), ends)).over(Window.partitionBy(*by, "__at"))).where("__has")
+    closes = ends | (F.coalesce(F.col("__empty_eol"), F.lit(False)) & ~F.col("str").endswith("\n"))
+    return rows.withColumn("__after", F.when(closes, "\n").otherwise("")).drop("__has", "__at", "__empty_eol")
+
+
+def pieces(items: Column) -> Column:
+    """The shares of a page's text of its ``items``: an array of structs in reading order, all with text."""
+
+    def one(s: Column, i: Column) -> Column:
+        before = F.get(items, i - 1)
+        apart = F.when(F.abs(s["y"] - before["y"]) >= LINE_STEP * s["size"], "\n").when(s["x"] - (before["x"] + before["width"]) > WORD_GAP * s["size"], " ").otherwise("")
+        open_ended = (i > 0) & ~before["str"].rlike(r"(?U)\s$") & ~s["str"].rlike(r"(?U)^\s")
+        return F.concat(F.when(open_ended, apart).otherwise(""), s["str"])
+
+    return F.transform(items, one)
+
+
+def arranged(items: Column) -> Column:
+    """``array<struct<item, start, end>>``: the items with their place in the page's text, as ``page_parts``."""
+
+    def step(at: Column, n: Column) -> tuple[Column, Column]:
+        return at + n, F.array(at + n)
+
+    ends = fold(F.transform(pieces(items), lambda p: F.length(p)), F.lit(0), "array<int>", step)
+    return F.zip_with(items, ends, lambda s, e: F.struct(s.alias("item"), (e - F.length(s["str"])).alias("start"), e.alias("end")))
+
+
+def page_boxes(pages: DataFrame, by: list[str], found: Callable[[Column], Column], fonts: DataFrame | None = None) -> DataFrame:
+    """``span_rects`` of the spans that ``found`` tells of a page's text, for pages whose items are the
+    array ``items``: no row leaves its task. Items are given places only on pages with spans."""
+    texts = pages.select(*by, "items", F.array_join(pieces(F.col("items")), "").alias("__text"))
+    some = texts.select(*by, "items", F.explode(F.filter(F.array(found(F.col("__text"))), lambda spans: F.size(spans) > 0)).alias("__spans"))
+
+    def met(parts: Column) -> Column:
+        touched = lambda s: F.filter(parts, lambda p: (p["start"] < s["end"]) & (p["end"] > s["start"]))
+        return F.flatten(F.transform("__spans", lambda s: F.transform(touched(s), lambda p: F.struct(s["start"].alias("__s"), s["end"].alias("__e"), p["start"].alias("__ps"), p["end"].alias("__pe"), p["item"].alias("item")))))
+
+    hit = some.select(*by, F.explode(bound(arranged(F.col("items")), met)).alias("__h")).select(*by, "__h.__s", "__h.__e", "__h.__ps", "__h.__pe", "__h.item.*")
+    return boxed(hit, by, [], fonts)
 
 
 def page_text(parts: DataFrame, by: list[str], order: str = "n") -> DataFrame:
@@ -66,6 +114,12 @@ def span_rects(spans: DataFrame, parts: DataFrame, by: list[str], keep: list[str
     turned = all(c in parts.columns for c in "abcd")
     p = parts.select(*by, "n", F.col("start").alias("__ps"), F.col("end").alias("__pe"), "x", "y", "width", "size", *(["str", "font"] if fonts is not None else []), *("abcd" if turned else ""))
     hit = overlapping(spans.select(*by, F.col("start").alias("__s"), F.col("end").alias("__e"), *keep), p, by, ("__s", "__e"), ("__ps", "__pe"))
+    return boxed(hit, by, keep, fonts)
+
+
+def boxed(hit: DataFrame, by: list[str], keep: list[str], fonts: DataFrame | None) -> DataFrame:
+    """The boxes of items and the spans (``__s``, ``__e``) that they meet at their places (``__ps``, ``__pe``)."""
+    turned = all(c in hit.columns for c in "abcd")
     first, last = F.greatest("__s", "__ps") - F.col("__ps"), F.least("__e", "__pe") - F.col("__ps")
     if fonts is None:
         each = F.col("width") / (F.col("__pe") - F.col("__ps"))

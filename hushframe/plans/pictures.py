@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.spans import scan
 from ..operators import entities, layout, pictures
 from ..session import table
-from .layouts import PAGE_TEXTS, PARTS, SQL as LAYOUT_SQL, email_rects, page_items
+from .layouts import PAGE_TEXTS, PARTS, SQL as LAYOUT_SQL, email_rects, page_items, page_texts
 
 
 def emails_mended(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,8 +30,7 @@ def names_read(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bar_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages and bars of each document: the addresses' bars, those at every third place switched
     off, and one bar by hand on each second page."""
-    parts = layout.page_parts(page_items(spark, sf_dir), ["id"])
-    texts = layout.page_text(parts, ["id"])
+    texts = page_texts(spark, sf_dir)
     doc = F.substring_index("id", ":", 1).cast("long").alias("doc_id")
     bars = layout.keyed_bars(layout.merged_rects(email_rects(spark, sf_dir), ["id", "start"]).withColumn("end", F.col("start")), ["id"])
     manual = texts.where(F.substring_index("id", ":", -1).cast("long") % 2 == 1).select("id", F.lit(True).alias("on"))

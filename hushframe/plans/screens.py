@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import rules as R
 from ..operators import boxes, intervals, layout, pictures, screens
 from ..session import table
-from .layouts import EMAIL, PARTS, PAGE_TEXTS, page_items
+from .layouts import EMAIL, PARTS, PAGE_TEXTS, pages
 from .texts import COALESCED_SQL, exploded, spans_sql, texts
 
 #: What a line of a screen says, by its event.
@@ -32,13 +32,11 @@ def spans_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def turned_rects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Email addresses of page text back to boxes, of items at angles, in two fonts."""
-    k = F.col("n") % len(TURNS)
-    turn = {c: F.element_at(F.array(*[F.lit(float(t[i])) for t in TURNS]), (k + 1).cast("int")) for i, c in enumerate("abcd")}
+    turn = {c: lambda n, i=i: F.element_at(F.array(*[F.lit(float(t[i])) for t in TURNS]), (n % len(TURNS) + 1).cast("int")) for i, c in enumerate("abcd")}
     letters = F.transform(F.sequence(F.lit(97), F.lit(122)), lambda c: F.char(c))
     fonts = spark.range(2).select(F.col("id").alias("font"), F.map_from_arrays(letters, F.transform(letters, lambda c: (F.ascii(c) % 5 + 3 + F.col("id")).cast("double"))).alias("widths"))
-    parts = layout.page_parts(page_items(spark, sf_dir).withColumns(turn).withColumn("font", F.col("n") % 3), ["id"])
-    found = layout.page_text(parts, ["id"]).select("id", F.explode(EMAIL.spans(F.col("text"))).alias("s")).select("id", "s.start", "s.end")
-    return layout.span_rects(found, parts, ["id"], [], fonts).select("id", F.col("start").cast("long").alias("start"), F.col("n").cast("long").alias("n"), *[F.round(c, 3).alias(c) for c in ("x0", "y0", "x1", "y1")])
+    placed = pages(spark, sf_dir, turn | {"font": lambda n: n % 3})
+    return layout.page_boxes(placed, ["id"], EMAIL.spans, fonts).select("id", F.col("start").cast("long").alias("start"), F.col("n").cast("long").alias("n"), *[F.round(c, 3).alias(c) for c in ("x0", "y0", "x1", "y1")])
 
 
 def screen(spark: SparkSession, sf_dir: str) -> DataFrame:

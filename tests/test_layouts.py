@@ -7,6 +7,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from hushframe import catalog
+from hushframe.functions.spans import scan
 from hushframe.operators import layout, screens, tracking
 from hushframe.streaming import jobs
 
@@ -196,3 +198,29 @@ def test_streams(spark, tmp_path):
 def test_unknown_style(spark):
     with pytest.raises(ValueError):
         jobs.mask_to(spark.createDataFrame([("a",)], "text string"), "x", "y", style="none")
+
+
+def test_pages_in_arrays_equal_pages_in_rows(spark):
+    rng = random.Random(5)
+    words = ["ab@c.org", "x", "a ", " b", "c\n", "née", "w" * 9]
+    rows = [(p, n, rng.choice(words), rng.randint(0, 9) * 5.0, rng.randint(0, 2) * 4.0, rng.randint(1, 9) * 2.0, 10.0, False) for p in range(20) for n in range(rng.randint(1, 600))]
+    items = spark.createDataFrame(rows, ITEM).drop("eol")
+    email = lambda t: scan(t, r"[a-z]+@[a-z.]+", "EMAIL")
+    parts = layout.page_parts(items, ["p"])
+    texts = layout.page_text(parts, ["p"])
+    want = layout.span_rects(texts.select("p", F.explode(email(F.col("text"))).alias("s")).select("p", "s.start", "s.end"), parts, ["p"], [])
+    pages = items.groupBy("p").agg(F.array_sort(F.collect_list(F.struct("n", "str", "x", "y", "width", "size"))).alias("items"))
+    rows_of = lambda df: sorted(map(tuple, df.collect()))
+    assert rows_of(pages.select("p", F.array_join(layout.pieces(F.col("items")), ""))) == rows_of(texts)
+    got = layout.page_boxes(pages, ["p"], email)
+    assert rows_of(got.select(*want.columns)) == rows_of(want)
+    places = pages.select("p", F.explode(layout.arranged(F.col("items"))).alias("a")).select("p", "a.item.n", "a.start", "a.end")
+    assert rows_of(places) == rows_of(parts.select("p", "n", "start", "end"))
+
+
+@pytest.mark.parametrize(("name", "most"), [("page_texts", 0), ("page_rects", 0), ("turned_rects", 0), ("line_places", 1)])
+def test_words_of_pages_are_not_shuffled_or_sorted_again(spark, name, most):
+    """The items of a page come from one document: at most one shuffle and sort of them."""
+    plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(id") <= 2 * most
+    assert plan.count("+- Sort [id") <= most
