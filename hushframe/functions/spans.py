@@ -86,11 +86,14 @@ def matches(text: Column, pattern: str, group: int = 0, rank: int = 0, hint: Col
     ``group``; null where there are none. ``hint``, a cheap condition that every text with a
     match fulfils, saves other texts the pattern."""
     p = F.lit(pattern)
-    whole = F.regexp_extract_all(text, p, F.lit(0))
-    value = F.regexp_extract_all(text, p, F.lit(group)) if group else whole
-    found = F.struct(F.lit(rank).alias("rank"), F.split(text, pattern, -1).alias("between"), whole.alias("whole"), value.alias("value")).cast(MATCHES)
-    seen = F.rlike(text, p)
-    return F.when(seen if hint is None else hint & seen, found)
+
+    def found(whole: Column) -> Column:
+        value = F.regexp_extract_all(text, p, F.lit(group)) if group else whole
+        return F.when(F.size(whole) > 0, F.struct(F.lit(rank).alias("rank"), F.split(text, pattern, -1).alias("between"), whole.alias("whole"), value.alias("value")).cast(MATCHES))
+
+    # The text is gone through once to see whether there are matches, and what they are.
+    got = bound(F.regexp_extract_all(text, p, F.lit(0)), found)
+    return got if hint is None else F.when(hint, got)
 
 
 def placed(found: Column) -> Column:

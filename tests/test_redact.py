@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hushframe.functions import rules as R
-from hushframe.functions.spans import clear_of, coalesce, first_rule_wins, first_wins, span, split_at_lines, trimmed
+from hushframe.functions.spans import clear_of, coalesce, first_rule_wins, first_wins, scan, span, split_at_lines, trimmed
 from hushframe.operators.chat import anonymize, joined, senders
 from hushframe.operators.names import fakes
 from hushframe.operators.redact import counts, parse_terms, redact, with_spans
@@ -232,3 +232,9 @@ def test_names_of_any_number_of_labels(spark):
             [found] = spark.createDataFrame([(text,)], "text string").select(rules[name].spans(F.col("text"))).first()
             ends = [(2, 2 + 3 * n + len(last)), (8 + 3 * n + len(last), len(text) - 1)]
             assert [(s["start"], s["end"]) for s in found] == ends
+
+
+def test_a_pattern_goes_through_a_text_once_to_find_its_matches(spark):
+    """Once for the matches and once for what lies between them; not again to see whether there are any."""
+    told = str(scan(F.col("t"), "a+", "X"))
+    assert told.count("regexp_extract_all(") == 1 and told.lower().count("rlike(") == 0
