@@ -14,6 +14,7 @@ import json
 import os
 import re
 from array import array
+from collections.abc import Callable
 from pathlib import Path
 
 #: Pre-tokens kept per worker, some 90 MB.
@@ -49,6 +50,38 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in printable} | {b: chr(256 + n) for n, b in enumerate(rest)}
 
 
+def exact(text: str) -> bool:
+    """Whether the patterns are exact for a text. They are for all of Latin-1, which is quickly told."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return not UNUSUAL.search(text)
+    return True
+
+
+class Kept(dict):
+    """A table of what ``make`` gives, of at most ``most`` keys: once half of them are new, those that were
+    not asked for since the last time go, and the common ones stay. Long keys stay for one text."""
+
+    def __init__(self, make: Callable[[str], bytes], most: int):
+        super().__init__()
+        self.make, self.half, self.before, self.long = make, max(1, most // 2), {}, {}
+
+    def __missing__(self, key: str) -> bytes:
+        before = self.before if len(key) <= LONGEST else self.long
+        got = before.get(key)
+        if got is None:
+            got = self.make(key)
+        if before is self.long:
+            before[key] = got
+            return got
+        if len(self) >= self.half:
+            self.before = dict(self)
+            self.clear()
+        self[key] = got
+        return got
+
+
 class Encoder:
     """``ids(text)``: the ids that the library's ``encode(text, add_special_tokens=False)``
     gives, as little-endian unsigned 32-bit integers, as bytes."""
@@ -64,8 +97,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.letters = byte_letters()
-        self.known: dict[str, bytes] = {}
-        self.most = most
+        self.known = Kept(self.asked, most)
         about = json.loads(Path(path).read_text(encoding="utf-8"))
         self.added = [t["content"] for t in about.get("added_tokens") or []]
         before, normal = about.get("pre_tokenizer") or {}, about.get("normalizer")
@@ -84,23 +116,17 @@ class Encoder:
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def asked(self, piece: str) -> bytes:
+        """The ids of a pre-token, from the model."""
+        if piece.isascii() and piece.isprintable():
+            letters = piece.replace(" ", "\u0120")
+        else:
+            letters = piece.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
+
     def ids(self, text: str) -> bytes:
-        if self.kind is None or UNUSUAL.search(text) or any(t in text for t in self.added):
+        if self.kind is None or not exact(text) or any(t in text for t in self.added):
             return self.whole(text)
         pattern, lower = KINDS[self.kind]
-        found, known = pattern.findall(text.lower() if lower else text), self.known
-        try:
-            return b"".join(map(known.__getitem__, found))
-        except KeyError:
-            pass
-        new = set(found).difference(known)
-        if len(known) > self.most:
-            known.clear()
-            new = set(found)
-        long = {}
-        for piece in new:
-            letters = piece.encode().decode("latin-1").translate(self.letters)
-            (known if len(piece) <= LONGEST else long)[piece] = array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
-        if long:
-            return b"".join([long[p] if p in long else known[p] for p in found])
-        return b"".join(map(known.__getitem__, found))
+        self.known.long.clear()
+        return b"".join(map(self.known.__getitem__, pattern.findall(text.lower() if lower else text)))

@@ -396,3 +396,14 @@ def test_quality_is_fitted_on_all_labelled_rows(spark):
     assert abs(forest.threshold - quality.best(tries, kept, dropped, quality.KEEP)) < 1e-9
     told = quality.rules(docs, labels).toPandas().set_index("doc_id").kept
     assert told[[i for i in range(n) if i % 10]].mean() >= quality.KEEP
+
+
+def test_common_pieces_are_asked_of_the_model_once():
+    name = tokenizer_path("byte_bpe_50k.json")
+    e, asked = Encoder(name, most=64), []
+    make = e.known.make
+    e.known.make = lambda piece: asked.append(piece) or make(piece)
+    texts = [f" common w{'xyz'[k % 3] * (k % 7 + 1)}{chr(97 + k % 26)}{chr(97 + k // 26 % 26)} {'long' * 20} {'long' * 20}" for k in range(600)]
+    assert [e.ids(t) for t in texts] == [e.whole(t) for t in texts]
+    assert asked.count(" common") == 1 and asked.count(" " + "long" * 20) == 600
+    assert len(e.known) + len(e.known.before) <= 64
