@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import logging
 import zlib
+from array import array
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
@@ -51,7 +52,7 @@ def pieces_of(total: int, length: int) -> list[tuple[int, int]]:
 
 def fillings(lengths: list[int], counts: dict[int, int], room: int) -> Iterator[tuple[int, ...] | None]:
     """Undominated fillings of ``room``, largest pieces first; None for each dominated one.
-    ``lengths`` is ascending, and ``counts`` says how many are left of each."""
+    ``lengths`` is ascending, and ``counts`` says how many are left of each, whenever one is asked for."""
 
     def dominated(chosen: list[int], waste: int) -> bool:
         if not waste:
@@ -116,16 +117,15 @@ def best_fit(histogram: dict[int, int], length: int) -> list[tuple[tuple[int, ..
 @dataclass
 class Node:
     """A state of the search: its largest piece, the fillings not yet tried, what is left to pack, the
-    sequences used, the fillings that are done with, and the filling in use and how often.
+    sequences used, and the filling in use and how often.
 
-    A filling is closed below a node that uses it ``times`` times, as long as the largest piece is
-    the same: plans that use it more often were looked at before."""
+    There are about as many at once as there are lengths, so a node keeps the lengths that it has, and
+    no counts: those of all pieces left are the same each time that the search comes back to it."""
 
     top: int
     options: Iterator[tuple[int, ...] | None]
     remaining: int
     size: int
-    closed: frozenset[tuple[int, ...]]
     filling: tuple[int, ...] = ()
     times: int = 0
     in_use: bool = False
@@ -144,23 +144,22 @@ def search(histogram: dict[int, int], length: int = LENGTH, steps: int = STEPS)
     counts = dict(histogram)
     plan: list[tuple[tuple[int, ...], int]] = []
     stack: list[Node] = []
+    # A filling is closed below a node that uses it: plans that use it more often were looked at before.
+    closed: set[tuple[int, ...]] = set()
 
-    def open_node(remaining: int, size: int, before: Node | None) -> None:
+    def open_node(remaining: int, size: int) -> None:
         lengths = sorted(x for x, n in counts.items() if n > 0)
-        top = lengths[-1]
-        here = dict(counts)
-        here[top] -= 1
-        closed = before.closed | {before.filling} if before and before.top == top else frozenset()
-        stack.append(Node(top, fillings([x for x in lengths if here[x] > 0], here, length - top), remaining, size, closed))
+        top = lengths[-1] if counts[lengths[-1]] > 1 else lengths.pop()
+        stack.append(Node(top, fillings(array("q", lengths), counts, length - top), remaining, size))
 
     if best_size > bound:
-        open_node(total, 0, None)
+        open_node(total, 0)
     while stack and best_size > bound:
         node = stack[-1]
         if node.in_use:
             for x in node.filling:
                 counts[x] += node.times
-            plan.pop()
+            closed.remove(plan.pop()[0])
             node.in_use = False
         if not steps:
             return best, False
@@ -168,13 +167,14 @@ def search(histogram: dict[int, int], length: int = LENGTH, steps: int = STEPS)
         if node.times > 1:
             node.times -= 1
         else:
-            try:
-                option = next(node.options)
-            except StopIteration:
+            counts[node.top] -= 1  # it begins the sequence that is filled
+            option = next(node.options, "end")
+            counts[node.top] += 1
+            if option == "end":
                 stack.pop()
                 continue
             filling = (node.top, *option) if option is not None else None
-            if filling is None or filling in node.closed:
+            if filling is None or filling in closed:
                 node.times = 0
                 continue
             node.filling, node.times = filling, min(counts[x] // n for x, n in Counter(filling).items())
@@ -184,11 +184,12 @@ def search(histogram: dict[int, int], length: int = LENGTH, steps: int = STEPS)
         for x in node.filling:
             counts[x] -= node.times
         plan.append((node.filling, node.times))
+        closed.add(node.filling)
         node.in_use = True
         if not after:
             best, best_size = list(plan), used
             continue
-        open_node(after, used, node)
+        open_node(after, used)
     return best, True
 
 

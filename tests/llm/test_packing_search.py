@@ -1,6 +1,7 @@
 """The search for a plan: complete where it says that it has ended."""
 
 import random
+import tracemalloc
 from collections import Counter
 
 from hushframe.llm import packing
@@ -71,3 +72,14 @@ def test_steps_that_run_out_leave_a_whole_plan():
     pieces = [rng.randint(200, 700) for _ in range(60)]
     size, done = plan_of(pieces, 1000, 3)
     assert size >= plan_of(pieces, 1000, 20_000)[0] >= -(-sum(pieces) // 1000)
+
+
+def test_search_of_all_lengths_needs_little_memory():
+    """A node of the search for each length or so, and nothing as large as the histogram in each."""
+    histogram = {x: 1 + 3_000_000 * (x * 7919 % 101) // (x + 200) ** 2 for x in range(1, 2048)}
+    tracemalloc.start()
+    try:
+        packing.search(histogram, 2048, 2_000)
+        assert tracemalloc.get_traced_memory()[1] < 50e6
+    finally:
+        tracemalloc.stop()
