@@ -87,6 +87,16 @@ def test_two_rounds(spark):
     assert sorted(asked) == sorted([text, text, "Ann Lee", "Bob met", "ann in Rome"])  # once per text and model
 
 
+def test_two_rounds_take_no_text_along_with_names(spark):
+    """Lines need no window, and no row of a name has the text that it is read from."""
+    docs = spark.createDataFrame([(1, "Ann Lee\nBob", "en")], "d int, text string, model string")
+    infer = lambda df: df.withColumn("found", F.array(F.struct(F.lit("PER").alias("label"), F.lit(0).alias("start"), F.lit(7).alias("end"), F.lit(0.9).alias("score"))))
+    found = entities.in_two_rounds(docs, ["d"], infer)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "substring(text#" not in plan and "Window" not in plan
+    assert {tuple(r)[:4] for r in found.collect()} == {(1, "PER", 0, 7), (1, "PER", 8, 11)}
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_term_spans_equal_detect_terms(spark, seed):
     rng = random.Random(seed)
