@@ -238,3 +238,11 @@ def test_a_pattern_goes_through_a_text_once_to_find_its_matches(spark):
     """Once for the matches and once for what lies between them; not again to see whether there are any."""
     told = str(scan(F.col("t"), "a+", "X"))
     assert told.count("regexp_extract_all(") == 1 and told.lower().count("rlike(") == 0
+
+
+def test_addresses_ask_once_where_a_word_begins():
+    """And only where what may begin one stands."""
+    rule = next(r for r in R.GENERAL if r.name == "ip")
+    assert rule.pattern.count(R.W0) == 1
+    found = re.findall(rule.pattern, "10.0.0.255 x10.0.0.1 10.0.0.256 fe80:0:0:0:1:2:3:aB 1:2:3:4:5:6:7 add.a:b 1.2.3.4.5")
+    assert found == ["10.0.0.255", "fe80:0:0:0:1:2:3:aB", "1.2.3.4"]
