@@ -246,3 +246,11 @@ def test_addresses_ask_once_where_a_word_begins():
     assert rule.pattern.count(R.W0) == 1
     found = re.findall(rule.pattern, "10.0.0.255 x10.0.0.1 10.0.0.256 fe80:0:0:0:1:2:3:aB 1:2:3:4:5:6:7 add.a:b 1.2.3.4.5")
     assert found == ["10.0.0.255", "fe80:0:0:0:1:2:3:aB", "1.2.3.4"]
+
+
+def test_screen_dates_ask_once_where_a_word_begins(spark):
+    """And only where what may begin one stands; a time before am or pm may begin inside of a word."""
+    assert R.SCREEN_DATE.pattern.count(R.W0) == 1
+    text = "Mon, Jan 3rd x12:30 pm 7 MINS ago onehour ago an hour ago ytoday today 5 pm 12.30"
+    spans = spark.createDataFrame([(text,)], "text string").select(R.SCREEN_DATE.spans(F.col("text")).alias("s")).first()["s"]
+    assert [text[s["start"] : s["end"]] for s in spans] == ["Mon, Jan 3rd", "12:30 pm", "7 MINS ago", "an hour ago", "today", "5 pm", "12.30"]
