@@ -164,3 +164,24 @@ def test_term_matches_of_odd_words_equal_sql(spark, tmp_path):
     got = sorted(map(tuple, names.term_matches(spark, str(tmp_path)).collect()))
     assert got == sorted(duck.sql(names.SQL["term_matches"]).fetchall())
     assert (1, 14, 15) in got and (1, 11, 13) not in got and [r for r in got if r[0] == 2] == [(2, 0, 8), (2, 10, 18), (2, 20, 28)]
+
+
+def test_term_spans_stay_in_their_task(spark, monkeypatch):
+    """What passes the filter is not shuffled where terms are few, and the same is found where they are many;
+    of overlapping runs of a term the first stays, also where a key has fewer atoms than the text."""
+    texts = [(1, "a. a. a. a."), (2, "x aͅb AΙB aͅB"), (3, None), (4, ""), (5, "The the. THE"), (6, "a." * 9), (7, "b" * 300_000 + " the")]
+    df = spark.createDataFrame(texts, "doc int, text string")
+    table = spark.createDataFrame([("a. a.",), ("the",), ("aιb",), ("x.y",), ("\U00010400 b",)], "term string")
+    want = {(1, 0, 5), (1, 6, 11), (2, 2, 5), (2, 6, 9), (2, 10, 13), (5, 0, 3), (5, 4, 7), (5, 9, 12), (7, 300_001, 300_004)}
+    for small in (terms.SMALL, -1):
+        monkeypatch.setattr(terms, "SMALL", small)
+        found = terms.term_spans(df, table, ["doc"]).select("doc", "start", "end")
+        assert sorted(map(tuple, found.collect())) == sorted(want)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert ("SortMergeJoin" in plan) == (small < 0)
+
+
+def test_plain_code_points():
+    small, word, _ = terms.tables()
+    assert all(terms.plain(chr(c)) == chr(small[c]) for c in range(0x110000))
+    assert word[ord("é")] and word[ord("٣")] and not word[ord("_")]
