@@ -300,3 +300,10 @@ def test_texts_of_pictures_that_are_a_row_each(spark):
     assert sorted(got) == sorted(want) and len(want) > 150
     plan = layouts.read_lines(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Generate explode") == 1
+
+
+def test_words_of_a_page_are_no_rows(spark):
+    from hushframe.plans import layouts
+
+    plan = layouts.read_lines(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Generate explode") == 1 and "MapInArrow" in plan

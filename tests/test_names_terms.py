@@ -185,3 +185,15 @@ def test_plain_code_points():
     small, word, _ = terms.tables()
     assert all(terms.plain(chr(c)) == chr(small[c]) for c in range(0x110000))
     assert word[ord("é")] and word[ord("٣")] and not word[ord("_")]
+
+
+def test_few_terms_meet_texts_without_a_shuffle(spark):
+    """Also where Spark takes the table of documents, which the terms come from, for a large one."""
+    from hushframe.plans import names
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = names.term_matches(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
